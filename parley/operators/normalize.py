@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from parley.functions import message as ms, text as tx, times as tm
@@ -48,8 +50,8 @@ def normalize(raw: DataFrame, book: DataFrame) -> DataFrame:
     One lookup for the authors, one for all ids mentioned in a message, then a
     single projection.
     """
-    named = resolve_ids(raw, book, "user", "user_name")
-    named = attach_names(named, RAW_KEY, mention_ids(F.col("text"), F.col("blocks")), book)
+    named = attach_names(raw, RAW_KEY, mention_ids(F.col("text"), F.col("blocks")), book)
+    named = resolve_ids(named, book, "user", "user_name")
     names = F.col("names")
     step = named.withColumn(
         "_text", tx.message_text(F.col("text"), F.col("blocks"), F.col("files"), names)
@@ -89,9 +91,12 @@ def _raw_message_id(raw: DataFrame) -> DataFrame:
     return raw.withColumn("message_id", ms.message_id(F.col("conversation_name"), F.col("ts")))
 
 
-def attachments_from_files(raw: DataFrame) -> DataFrame:
-    """One row per file; items that are not objects are skipped but keep their index."""
-    items = _raw_message_id(raw).select("message_id", F.posexplode("files").alias("_i", "_json"))
+def attachments_from_files(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per file; items that are not objects are skipped but keep their index.
+
+    `keep` names raw columns to carry along.
+    """
+    items = _raw_message_id(raw).select("message_id", *keep, F.posexplode("files").alias("_i", "_json"))
     parsed = items.withColumn("f", F.when(F.ltrim("_json").startswith("{"), F.from_json("_json", FILE_ITEM)))
     mime = F.coalesce("f.mimetype", F.lit(""))
     return parsed.where("f is not null").select(
@@ -105,11 +110,12 @@ def attachments_from_files(raw: DataFrame) -> DataFrame:
         mime.startswith("image/").alias("is_image"),
         mime.startswith("video/").alias("is_video"),
         F.coalesce(F.col("f.filetype").isin(*ms.DOCUMENT_TYPES), F.lit(False)).alias("is_document"),
+        *keep,
     )
 
 
-def attachments_from_links(raw: DataFrame) -> DataFrame:
-    items = _raw_message_id(raw).select("message_id", F.posexplode("attachments").alias("_i", "_json"))
+def attachments_from_links(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    items = _raw_message_id(raw).select("message_id", *keep, F.posexplode("attachments").alias("_i", "_json"))
     parsed = items.withColumn("a", F.when(F.ltrim("_json").startswith("{"), F.from_json("_json", LINK_ITEM)))
     return parsed.where("a is not null").select(
         F.concat_ws(":", "message_id", F.lit("attachment"), F.col("_i").cast("string")).alias("id"),
@@ -122,24 +128,25 @@ def attachments_from_links(raw: DataFrame) -> DataFrame:
         F.lit(False).alias("is_image"),
         F.lit(False).alias("is_video"),
         F.lit(False).alias("is_document"),
+        *keep,
     )
 
 
-def attachments(raw: DataFrame) -> DataFrame:
-    return attachments_from_files(raw).unionByName(attachments_from_links(raw))
+def attachments(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    return attachments_from_files(raw, keep).unionByName(attachments_from_links(raw, keep))
 
 
-def reactions(raw: DataFrame, book: DataFrame, ingested_us: int) -> DataFrame:
+def reactions(raw: DataFrame, book: DataFrame, ingested_us: int, keep: Sequence[str] = ()) -> DataFrame:
     """One row per (message, emoji, person); the time is that of the load."""
-    each = _raw_message_id(raw).select("message_id", F.explode("reactions").alias("_json"))
+    each = _raw_message_id(raw).select("message_id", *keep, F.explode("reactions").alias("_json"))
     each = each.withColumn("r", F.when(F.ltrim("_json").startswith("{"), F.from_json("_json", REACTION_ITEM)))
     each = each.where("r is not null").select(
-        "message_id", F.col("r.name").alias("emoji_name"), F.explode("r.users").alias("_who")
+        "message_id", *keep, F.col("r.name").alias("emoji_name"), F.explode("r.users").alias("_who")
     )
     named = resolve_ids(each, book, "_who", "user_name").where("user_name is not null")
     emoji = F.concat(F.lit(":"), F.coalesce("emoji_name", F.lit("None")), F.lit(":"))
     return (
-        named.select("message_id", emoji.alias("emoji"), "emoji_name", "user_name")
+        named.select("message_id", emoji.alias("emoji"), "emoji_name", "user_name", *keep)
         .distinct()
         .withColumn("ts_us", F.lit(ingested_us).cast("bigint"))
     )

@@ -35,7 +35,7 @@ def chunk_corpus(spark, sf):
 
 TRANSCRIPTS = """SELECT c.id, c.name AS conversation_name, c.type, concat_ws(chr(10), CASE WHEN c.type = 'channel' THEN concat(chr(10), '=== CHANNEL: ', c.name, ' ===')
     ELSE concat(chr(10), '=== DM: ', coalesce(array_to_string(c.participants, ' & '), ''), ' ===') END, l.lines) AS transcript, l.last_ts_us
-  FROM (SELECT id, name, type, participants FROM conversations_dim UNION ALL SELECT id, concat('p', name), type, participants FROM prose_dim) c
+  FROM (SELECT id, name, type, participants FROM conversations_dim UNION ALL SELECT concat('p', id), concat('p', name), type, participants FROM prose_dim) c
   JOIN (SELECT conversation_name, string_agg(CASE WHEN clean_text <> '' THEN concat(coalesce(user_name, 'None'), ': ', substr(clean_text, 1, 200)) END, chr(10) ORDER BY ts_us, id) AS lines, max(last_us) AS last_ts_us
     FROM (SELECT *, row_number() OVER (PARTITION BY conversation_name ORDER BY ts_us, id) AS rn, max(ts_us) OVER (PARTITION BY conversation_name) AS last_us FROM
       (SELECT id, conversation_name, ts_us, user_name, clean_text FROM messages UNION ALL SELECT id, concat('p', conversation_name), ts_us, user_name, clean_text FROM prose))
@@ -46,7 +46,9 @@ def _everyone(spark, sf):
     cols = ["id", "conversation_name", "ts_us", "user_name", "clean_text", "text"]
     prose = v.prose(spark, sf).withColumn("conversation_name", F.concat(F.lit("p"), "conversation_name"))
     messages = v.messages(spark, sf, threads=False).select(*cols).unionByName(prose.select(*cols))
-    dms = v.prose_dim(spark, sf).withColumn("name", F.concat(F.lit("p"), "name"))
+    dms = v.prose_dim(spark, sf)
+    for c in ("id", "name"):
+        dms = dms.withColumn(c, F.concat(F.lit("p"), c))
     return messages, v.conversations_dim(spark, sf).unionByName(dms)
 
 

@@ -40,9 +40,10 @@ def search_messages(spark, sf):
 
 @query("list_conversations", """SELECT c.id, c.name, c.type, count(m.id) AS actual_message_count, min(m.datetime) AS start_date,
   max(m.datetime) AS end_date, max(m.ts_us) AS last_message_ts_us
-  FROM (SELECT id, name, type FROM conversations_dim UNION ALL SELECT id, name, type FROM prose_dim) c LEFT JOIN messages m ON m.conversation_name = c.name GROUP BY c.id, c.name, c.type""")
+  FROM (SELECT id, name, type FROM conversations_dim UNION ALL SELECT concat('p', id), concat('p', name), type FROM prose_dim) c LEFT JOIN messages m ON m.conversation_name = c.name GROUP BY c.id, c.name, c.type""")
 def list_conversations(spark, sf):
-    dim = v.conversations_dim(spark, sf).unionByName(v.prose_dim(spark, sf)).drop("participants")
+    quiet = v.prose_dim(spark, sf).selectExpr("concat('p', id) as id", "concat('p', name) as name", "type")
+    dim = v.conversations_dim(spark, sf).drop("participants").unionByName(quiet)
     return lk.list_conversations(dim, v.messages(spark, sf, threads=False, clean=False), ordered=False)
 
 

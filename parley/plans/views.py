@@ -171,7 +171,7 @@ def landed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     Whole seconds and six decimals, as the service writes ts.
     """
     m = messages(spark, sf_dir, threads=True, clean=False)
-    ts = "format_string('%d.%06d', {0} div 1000000, {0} % 1000000)"
+    ts = "format_string('%d.%06d', ({0}) div 1000000, ({0}) % 1000000)"
     m = m.selectExpr(
         "event_id", "conversation_id", "conversation_type",
         f"case when event_id % 97 = 5 then null when event_id % 97 = 6 then 'abc' else {ts.format('ts_us')} end as ts",

@@ -14,24 +14,30 @@ from parley.functions.text import blank_to_null
 from parley.schemas import CORRUPT, RAW_CHANNEL, RAW_DM, RAW_MESSAGE, RAW_USER
 
 
+READ_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+LANDED = T.StructType([*RAW_MESSAGE.fields, T.StructField(CORRUPT, T.StringType())])
+
+
 def parse_messages(lines: DataFrame, column: str = "value") -> DataFrame:
-    """JSON text -> raw message columns; `_corrupt` keeps lines that are not JSON."""
-    schema = T.StructType([*RAW_MESSAGE.fields, T.StructField(CORRUPT, T.StringType())])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    parsed = lines.withColumn("_raw", F.from_json(column, schema, options))
+    """JSON text -> raw message columns; `_corrupt` keeps lines that are not JSON.
+
+    `inline` turns the parsed record into plain columns once per row; selecting
+    its fields would let the optimizer repeat the parse in every expression and
+    filter above.
+    """
     kept = [c for c in lines.columns if c != column]
-    return parsed.select(*kept, "_raw.*")
+    return lines.select(*kept, F.inline(F.array(F.from_json(column, LANDED, READ_OPTIONS))))
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    return parse_messages(spark.read.text(path))
+    return spark.read.schema(LANDED).options(**READ_OPTIONS).json(path)
 
 
 def stream_messages(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.format("text")
+    reader = spark.readStream.schema(LANDED).options(**READ_OPTIONS)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return parse_messages(reader.load(path))
+    return reader.json(path)
 
 
 def records_to_raw(records: DataFrame) -> DataFrame:

@@ -92,41 +92,33 @@ def finish_pending_swap(spark: SparkSession, path: str, partitions: Sequence[str
 
 def upsert_into(
     spark: SparkSession, path: str, new: DataFrame, schema: T.StructType, key: Sequence[str],
-    order: Sequence[Column], partitions: Sequence[str], batch_path: str,
+    order: Sequence[Column], partitions: Sequence[str],
 ) -> None:
     """Insert or replace `new` by key in the partitioned parquet table at `path`.
 
-    `batch_path` holds the batch while it is merged: it is computed once and its
-    partition values, a short list of dates and types, select what to rewrite.
+    `new` is read twice, the first time only for its partition values: a short
+    list of dates and types that selects what to rewrite. Pass rows that come
+    from a written batch, so that both reads see the same.
     """
     finish_pending_swap(spark, path, partitions)
-    new.write.mode("overwrite").partitionBy(*partitions).parquet(batch_path)
+    touched = new.select(*partitions).distinct().collect()
+    if not touched:
+        return
     stored = T.StructType(
         [f for f in schema.fields if f.name not in partitions]
         + [T.StructField(p, T.StringType()) for p in partitions]
     )
-    batch = spark.read.schema(_order_fields(spark, batch_path, stored)).parquet(batch_path)
-    touched = batch.select(*partitions).distinct().collect()
-    if not touched:
-        _drop(spark, batch_path)
-        return
-    old = read_table(spark, path, stored)
     hit = F.lit(True)
     for name in partitions:
         hit = hit & F.col(name).isin(sorted({row[name] for row in touched}))
-    merged = upsert(old.where(hit), batch, key, order)
-    merged = merged.select(*[f.name for f in stored.fields])
+    merged = upsert(read_table(spark, path, stored).where(hit), new, key, order).select(*stored.names)
     staged = f"{path}__staged"
-    merged.write.mode("overwrite").partitionBy(*partitions).parquet(staged)
+    # Rebalancing gives few files per partition and still splits a swollen one.
+    (
+        merged.hint("rebalance", *partitions)
+        .write.mode("overwrite").partitionBy(*partitions).parquet(staged)
+    )
     _swap_in(spark, staged, path, partitions)
-    _drop(spark, batch_path)
-
-
-def _order_fields(spark: SparkSession, batch_path: str, stored: T.StructType) -> T.StructType:
-    """Stored columns plus any ordering columns only the batch carries."""
-    found = spark.read.parquet(batch_path).schema
-    known = set(stored.names)
-    return T.StructType(list(stored.fields) + [f for f in found.fields if f.name not in known])
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from parley import schemas
-from parley.functions.message import edited_ts_us, message_id
+from parley.functions.message import edited_ts_us
 from parley.functions.times import epoch_us
 from parley.operators.ingest import update_marks
 from parley.operators.normalize import (
@@ -45,15 +45,6 @@ def read_messages_table(spark: SparkSession, store: Store) -> DataFrame:
     return read_table(spark, store.path("messages"), MESSAGE_TABLE)
 
 
-def _dated_child(rows: DataFrame, raw: DataFrame) -> DataFrame:
-    """Children lie in the date partition of their message."""
-    dates = raw.select(
-        message_id(F.col("conversation_name"), F.col("ts")).alias("message_id"),
-        epoch_us(F.col("ts")).alias("ts_us"),
-    )
-    return rows.join(with_date(dates).select("message_id", "dt").distinct(), "message_id")
-
-
 def _child_schema(schema):
     return schemas.T.StructType([*schema.fields, schemas.T.StructField("dt", schemas.S)])
 
@@ -80,20 +71,20 @@ def load_batch(
     with_conversation_name(latest, conversations, book).write.mode("overwrite").parquet(f"{base}-raw")
     kept = spark.read.parquet(f"{base}-raw")
 
-    rows = with_date(normalize(kept, book))
+    dated = with_date(kept.withColumn("ts_us", epoch_us(F.col("ts"))))
+
     upsert_into(
-        spark, store.path("messages"), rows, MESSAGE_TABLE, ["id"], [F.desc("ts_us")],
-        MESSAGE_PARTITIONS, f"{base}-messages",
+        spark, store.path("messages"), with_date(normalize(kept, book)), MESSAGE_TABLE, ["id"],
+        [F.desc("ts_us")], MESSAGE_PARTITIONS,
     )
-    files = _dated_child(attachments(kept), kept)
+    # Attachments and reactions lie in the date partition of their message.
     upsert_into(
-        spark, store.path("attachments"), files, ATTACHMENT_TABLE, ["id"], [F.desc("message_id")],
-        ["dt"], f"{base}-attachments",
+        spark, store.path("attachments"), attachments(dated, ["dt"]), ATTACHMENT_TABLE, ["id"],
+        [F.desc("message_id")], ["dt"],
     )
-    emoji = _dated_child(reactions(kept, book, as_of_us), kept)
     upsert_into(
-        spark, store.path("reactions"), emoji, REACTION_TABLE, ["message_id", "emoji", "user_name"],
-        [F.desc("ts_us")], ["dt"], f"{base}-reactions",
+        spark, store.path("reactions"), reactions(dated, book, as_of_us, ["dt"]), REACTION_TABLE,
+        ["message_id", "emoji", "user_name"], [F.desc("ts_us")], ["dt"],
     )
     _write_marks(spark, store, kept, base)
 
