@@ -14,7 +14,7 @@ LINK = r"https?://"
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
+    return F.when(c != "", c)
 
 
 def parse_items(items: Column, item_type) -> Column:
@@ -37,13 +37,19 @@ def _name_or_id(names: Column, i: Column) -> Column:
     return F.coalesce(F.try_element_at(names, i), i)
 
 
+def _extract(text: Column, mark: str, pattern: str) -> Column:
+    """All first groups; the regular expression runs only where the mark occurs."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    return F.when(F.contains(text, F.lit(mark)), found).otherwise(F.array().cast("array<string>"))
+
+
 def user_mention_ids(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(USER_MENTION), F.lit(1))
+    return _extract(text, "<@", USER_MENTION)
 
 
 def channel_mention_ids(text: Column) -> Column:
     """Ids of channel mentions that carry no label, the only ones to look up."""
-    return F.regexp_extract_all(text, F.lit(r"<#(C[A-Z0-9]+)>"), F.lit(1))
+    return _extract(text, "<#", r"<#(C[A-Z0-9]+)>")
 
 
 def resolve_user_mentions(text: Column, names: Column) -> Column:
@@ -68,11 +74,6 @@ def resolve_special_mentions(text: Column) -> Column:
     return F.regexp_replace(text, SPECIAL_MENTION, "@$1")
 
 
-def resolve_text(text: Column, names: Column) -> Column:
-    """All three rewrites, in order: users, channels, special mentions."""
-    return resolve_special_mentions(resolve_channel_mentions(resolve_user_mentions(text, names), names))
-
-
 def mentioned_users(text: Column, names: Column) -> Column:
     """Sorted distinct names of the known users mentioned; NULL when there are none."""
     known = F.filter(
@@ -122,11 +123,19 @@ def first_file_text(files: Column) -> Column:
     return F.when(first.isNotNull(), titled)
 
 
-def message_text(text: Column, blocks: Column, files: Column, names: Column) -> Column:
-    """Plain text, else rich-text blocks, else the first file, else ''."""
-    from_blocks = F.when(F.size(blocks) > 0, rich_text(blocks, names))
-    return F.coalesce(
-        blank_to_null(text), blank_to_null(from_blocks), first_file_text(files), F.lit("")
+def rich_text_if_needed(text: Column, blocks: Column, names: Column) -> Column:
+    """Rich text of messages that have no plain text."""
+    empty = F.coalesce(text == "", F.lit(True))
+    return F.when(empty & (F.size(blocks) > 0), rich_text(blocks, names))
+
+
+def message_text(text: Column, rich: Column, files: Column) -> Column:
+    """Plain text, else rich text, else the first file, else ''."""
+    return (
+        F.when(text != "", text)
+        .when(rich != "", rich)
+        .when(F.size(files) > 0, F.coalesce(first_file_text(files), F.lit("")))
+        .otherwise("")
     )
 
 

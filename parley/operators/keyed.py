@@ -9,14 +9,18 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 BROADCAST_ROWS = 100_000
 
 
+def is_small(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Row count that stops at the limit."""
+    return side.limit(max_rows + 1).count() <= max_rows
+
+
 def broadcast_if_small(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a row count that stops at the limit.
+    """Broadcast hint behind a checked row count.
 
     Above the limit no hint is set: Spark then plans a shuffle join, where
     adaptive execution splits partitions swollen by a hot key.
     """
-    few = side.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(side) if few else side
+    return F.broadcast(side) if is_small(side, max_rows) else side
 
 
 def latest_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:

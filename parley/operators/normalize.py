@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from parley.functions import message as ms, text as tx, times as tm
 from parley.operators.keyed import latest_per_key
-from parley.operators.resolve import attach_names, mention_ids, resolve_ids
+from parley.operators.resolve import attach_names, mention_ids, resolve_ids, with_clean_text
 from parley.schemas import CORRUPT, FILE_ITEM, LINK_ITEM, MESSAGES, REACTION_ITEM
 
 RAW_KEY = ("conversation_id", "ts")
@@ -47,16 +47,16 @@ def with_conversation_name(raw: DataFrame, conversations: DataFrame, book: DataF
 def normalize(raw: DataFrame, book: DataFrame) -> DataFrame:
     """The 22 message columns. `raw` carries conversation_name and conversation_type.
 
-    One lookup for the authors, one for all ids mentioned in a message, then a
-    single projection.
+    One lookup for the authors, one for all ids mentioned in a message, then
+    plain projections.
     """
     named = attach_names(raw, RAW_KEY, mention_ids(F.col("text"), F.col("blocks")), book)
     named = resolve_ids(named, book, "user", "user_name")
     names = F.col("names")
-    step = named.withColumn(
-        "_text", tx.message_text(F.col("text"), F.col("blocks"), F.col("files"), names)
-    )
-    step = step.withColumn("_clean", tx.resolve_text(F.col("_text"), names))
+    # Shared parts are columns of their own, so that each is computed once per row.
+    step = named.withColumn("_rich", tx.rich_text_if_needed(F.col("text"), F.col("blocks"), names))
+    step = step.withColumn("_text", tx.message_text(F.col("text"), F.col("_rich"), F.col("files")))
+    step = with_clean_text(step, "_text", "_clean")
     step = step.withColumn("_us", tm.epoch_us(F.col("ts"))).withColumn(
         "_parent", ms.is_thread_parent(F.col("thread_ts"), F.col("ts"))
     )

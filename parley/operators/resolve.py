@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from parley.functions import text as tx
 from parley.functions.names import conversation_name
-from parley.operators.keyed import broadcast_if_small
+from parley.operators.keyed import broadcast_if_small, is_small
+
+# Mentioned ids per row that are looked up directly.
+DIRECT_IDS = 3
 
 
 def user_mappings(users: DataFrame) -> DataFrame:
@@ -43,16 +46,35 @@ def attach_names(
 ) -> DataFrame:
     """Add to each row a small map id -> name holding just the ids the row mentions.
 
-    Only (key, id) pairs travel to the lookup, not the message; the pairs come
-    back as one map per key. Works for name books of any size.
+    With a name book counted as small, rows with few ids are answered by
+    broadcast lookups and never move; only rows with many ids are shuffled. With a
+    larger book all rows go the second way.
     """
-    wanted = df.select(*key, F.explode(F.array_distinct(ids)).alias("ref_id"))
+    no_ids = F.array().cast("array<string>")
+    tagged = df.withColumn("_ids", F.array_distinct(F.coalesce(ids, no_ids)))
+    if not is_small(book):
+        return _attach_by_pairs(tagged, key, book, out).drop("_ids")
+    few = tagged.where(F.size("_ids") <= DIRECT_IDS)
+    entries = []
+    for i in range(DIRECT_IDS):
+        side = F.broadcast(book.select(F.col("ref_id").alias(f"_id{i}"), F.col("ref_name").alias(f"_name{i}")))
+        few = few.join(side, F.get("_ids", F.lit(i)) == F.col(f"_id{i}"), "left")
+        entries.append(F.struct(F.col(f"_id{i}").alias("ref_id"), F.col(f"_name{i}").alias("ref_name")))
+    found = F.filter(F.array(*entries), lambda e: e["ref_id"].isNotNull())
+    direct = few.withColumn(out, F.map_from_entries(found)).select(*df.columns, out)
+    many = _attach_by_pairs(tagged.where(F.size("_ids") > DIRECT_IDS), key, book, out)
+    return direct.unionByName(many.select(*df.columns, out))
+
+
+def _attach_by_pairs(tagged: DataFrame, key: Sequence[str], book: DataFrame, out: str) -> DataFrame:
+    """Only (key, id) pairs travel to the lookup, not the rows; they come back as one map per key."""
+    wanted = tagged.select(*key, F.explode("_ids").alias("ref_id"))
     found = (
         wanted.join(book, "ref_id")
         .groupBy(*key)
         .agg(F.map_from_entries(F.collect_set(F.struct("ref_id", "ref_name"))).alias(out))
     )
-    return df.join(found, list(key), "left")
+    return tagged.join(found, list(key), "left")
 
 
 def mention_ids(text: Column, blocks: Column | None = None) -> Column:
@@ -67,10 +89,18 @@ def mention_ids(text: Column, blocks: Column | None = None) -> Column:
 def rewrite_mentions(messages: DataFrame, book: DataFrame, key: Sequence[str] = ("id",)) -> DataFrame:
     """Set `clean_text` and `mentions_users` from `text`."""
     named = attach_names(messages, key, mention_ids(F.col("text")), book)
+    named = named.withColumn("mentions_users", tx.mentioned_users(F.col("text"), F.col("names")))
+    return with_clean_text(named, "text", "clean_text").drop("names")
+
+
+def with_clean_text(df: DataFrame, text: str, out: str) -> DataFrame:
+    """The three rewrites in order, each a column of its own so that none is computed twice."""
+    names = F.col("names")
     return (
-        named.withColumn("clean_text", tx.resolve_text(F.col("text"), F.col("names")))
-        .withColumn("mentions_users", tx.mentioned_users(F.col("text"), F.col("names")))
-        .drop("names")
+        df.withColumn("_people", tx.resolve_user_mentions(F.col(text), names))
+        .withColumn("_rooms", tx.resolve_channel_mentions(F.col("_people"), names))
+        .withColumn(out, tx.resolve_special_mentions(F.col("_rooms")))
+        .drop("_people", "_rooms")
     )
 
 

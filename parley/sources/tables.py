@@ -90,19 +90,24 @@ def finish_pending_swap(spark: SparkSession, path: str, partitions: Sequence[str
     return False
 
 
+def touched_partitions(batch: DataFrame, partitions: Sequence[str]) -> dict[str, list[str]]:
+    """Values of the partition columns in a batch: a short list of dates and types."""
+    rows = batch.select(*partitions).distinct().collect()
+    return {name: sorted({row[name] for row in rows}) for name in partitions}
+
+
 def upsert_into(
     spark: SparkSession, path: str, new: DataFrame, schema: T.StructType, key: Sequence[str],
-    order: Sequence[Column], partitions: Sequence[str],
+    order: Sequence[Column], touched: dict[str, list[str]],
 ) -> None:
     """Insert or replace `new` by key in the partitioned parquet table at `path`.
 
-    `new` is read twice, the first time only for its partition values: a short
-    list of dates and types that selects what to rewrite. Pass rows that come
-    from a written batch, so that both reads see the same.
+    `touched` names the partition columns and the values `new` may fall into;
+    only those partitions are read and rewritten.
     """
+    partitions = list(touched)
     finish_pending_swap(spark, path, partitions)
-    touched = new.select(*partitions).distinct().collect()
-    if not touched:
+    if not all(touched.values()):
         return
     stored = T.StructType(
         [f for f in schema.fields if f.name not in partitions]
@@ -110,7 +115,7 @@ def upsert_into(
     )
     hit = F.lit(True)
     for name in partitions:
-        hit = hit & F.col(name).isin(sorted({row[name] for row in touched}))
+        hit = hit & F.col(name).isin(touched[name])
     merged = upsert(read_table(spark, path, stored).where(hit), new, key, order).select(*stored.names)
     staged = f"{path}__staged"
     # Rebalancing gives few files per partition and still splits a swollen one.

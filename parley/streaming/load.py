@@ -21,7 +21,7 @@ from parley.operators.normalize import (
 from parley.operators.resolve import name_book
 from parley.sources.landing import stream_messages
 from parley.sources.tables import (
-    MESSAGE_PARTITIONS, finish_pending_swap, read_table, upsert_into, with_date,
+    MESSAGE_PARTITIONS, finish_pending_swap, read_table, touched_partitions, upsert_into, with_date,
 )
 
 
@@ -72,19 +72,21 @@ def load_batch(
     kept = spark.read.parquet(f"{base}-raw")
 
     dated = with_date(kept.withColumn("ts_us", epoch_us(F.col("ts"))))
+    touched = touched_partitions(dated, MESSAGE_PARTITIONS)
+    dates = {"dt": touched["dt"]}
 
     upsert_into(
         spark, store.path("messages"), with_date(normalize(kept, book)), MESSAGE_TABLE, ["id"],
-        [F.desc("ts_us")], MESSAGE_PARTITIONS,
+        [F.desc("ts_us")], touched,
     )
     # Attachments and reactions lie in the date partition of their message.
     upsert_into(
         spark, store.path("attachments"), attachments(dated, ["dt"]), ATTACHMENT_TABLE, ["id"],
-        [F.desc("message_id")], ["dt"],
+        [F.desc("message_id")], dates,
     )
     upsert_into(
         spark, store.path("reactions"), reactions(dated, book, as_of_us, ["dt"]), REACTION_TABLE,
-        ["message_id", "emoji", "user_name"], [F.desc("ts_us")], ["dt"],
+        ["message_id", "emoji", "user_name"], [F.desc("ts_us")], dates,
     )
     _write_marks(spark, store, kept, base)
 
