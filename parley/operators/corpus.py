@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from parley.functions.text import body
 from parley.operators.keyed import first_n_per_group
+from parley.session import written
 
 # Executors need not have this package installed: its task functions travel by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -181,9 +182,10 @@ def chunk_corpus(corpus: DataFrame, max_length: int = CHUNK_CHARS) -> DataFrame:
     made. Greedy filling depends on everything before, yet no task reads a whole
     user: texts are cut into blocks by their character offset, each block is
     reduced to a short table, the tables are walked in order, and each block then
-    numbers its own texts. Sizes travel through Python, texts do not.
+    numbers its own texts. Sizes travel through Python, texts do not. The sized
+    texts are written out first, as three steps read them.
     """
-    sized = _with_offsets(corpus)
+    sized = written(_with_offsets(corpus), "corpus")
     sizes = sized.select("user_name", "block", "start", "size")
     summaries = sizes.groupBy("user_name", "block").applyInPandas(
         _summarise_block(max_length),
@@ -251,23 +253,27 @@ def transcript_budget(
     written out, and the running sum runs over that short list.
     """
     can_fit = budget // (SHORTEST_TRANSCRIPT + 1) + 1
-    newest = (
+    newest = written(
         conversations.join(_last_times(messages).withColumnRenamed("conversation_name", "name"), "name")
-        .orderBy(F.desc("last_ts_us"), "id").limit(can_fit)
+        .orderBy(F.desc("last_ts_us"), "id").limit(can_fit),
+        "newest",
     )
     names = newest.select(F.col("name").alias("conversation_name")).distinct()
-    written = transcripts(
-        messages.join(F.broadcast(names), "conversation_name", "left_semi"),
-        newest, per_conversation, order,
+    texts = written(
+        transcripts(
+            messages.join(F.broadcast(names), "conversation_name", "left_semi"),
+            newest, per_conversation, order,
+        ),
+        "transcripts",
     )
-    sizes = written.select("id", F.char_length("transcript").alias("_size")).join(
+    sizes = texts.select("id", F.char_length("transcript").alias("_size")).join(
         newest.select("id", "last_ts_us"), "id"
     )
     # At most `can_fit` rows, so one task may order them.
     before = W.orderBy(F.desc("last_ts_us"), "id").rowsBetween(W.unboundedPreceding, -1)
     placed = sizes.withColumn("start", F.coalesce(F.sum(F.col("_size") + 1).over(before), F.lit(0)))
     kept = placed.where(F.col("start") < budget).select("id", "start")
-    return written.join(F.broadcast(kept), "id").select(
+    return texts.join(F.broadcast(kept), "id").select(
         "id", "conversation_name", "start",
         F.substring(F.col("transcript"), F.lit(1), (F.lit(budget) - F.col("start")).cast("int")).alias("part"),
     )

@@ -12,6 +12,7 @@ from parley.functions.times import DAY_US, HOUR_US, age_hours, ts_text
 from parley.operators.bots import filter_bots
 from parley.operators.keyed import broadcast_if_small, number_in_order
 from parley.operators.resolve import with_author_test, with_display_name
+from parley.session import written
 from parley.sources.tables import since
 
 CONTEXT_DAYS = 14
@@ -132,7 +133,9 @@ def followup_context(
     per item would grow with items times messages.
 
     Rows: the messages with `position`, and for items `context_size`, else NULL.
+    The items are written out first, as two steps read them.
     """
+    items = written(items.select("id", "conversation_name", "ts_us"), "followups")
     ends = items.groupBy("conversation_name").agg(F.max("ts_us").alias("_end"))
     window = since(messages, context_from_us, strict=False)
     earlier = window.join(ends, "conversation_name").where(F.col("ts_us") <= F.col("_end")).drop("_end")

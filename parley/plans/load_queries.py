@@ -32,7 +32,7 @@ shown AS (SELECT *, concat(cname, ':', ts) AS mid,
 
 
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
-    return landing.parse_messages(v.landed_lines(spark, sf).select("value"))
+    return landing.read_messages(spark, v.landing_dir(spark, sf))
 
 
 def _book(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,9 +52,7 @@ def _named(spark: SparkSession, sf: str) -> DataFrame:
   user_name AS "user", CAST(CASE WHEN event_id % 17 IN (1, 4) THEN 3 ELSE 0 END AS BIGINT) AS files
   FROM messages WHERE event_id % 97 <> 7 UNION ALL SELECT NULL, NULL, NULL, 0 FROM messages WHERE event_id % 97 = 7""")
 def src_messages(spark, sf):
-    path = scratch_path(spark, "landing")
-    v.landed_lines(spark, sf).select("value").write.text(path)
-    raw = landing.read_messages(spark, path)
+    raw = _raw(spark, sf)
     files = F.coalesce(F.when(F.size("files") >= 0, F.size("files")), F.lit(0)).cast("bigint")
     return raw.select("conversation_id", "ts", "user", files.alias("files"))
 
@@ -161,7 +159,7 @@ def infer_conv_type(spark, sf):
 def sink_roundtrip(spark, sf):
     path = scratch_path(spark, "messages")
     rows = tables.with_date(v.messages(spark, sf, threads=False))
-    rows.write.partitionBy(*tables.MESSAGE_PARTITIONS).parquet(path)
+    rows.hint("rebalance", *tables.MESSAGE_PARTITIONS).write.partitionBy(*tables.MESSAGE_PARTITIONS).parquet(path)
     return spark.read.parquet(path).select("id", "conversation_type", "ts_us", "clean_text")
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parley.functions.times import DAY_US, HOUR_US, datetime_text, ntz_us
+from parley.session import scratch_path
 
 AS_OF_US = 1_706_788_800_000_000
 OWNER = "Customer#000000001"
@@ -214,6 +215,23 @@ def landed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("event_id", F.coalesce(broken, line).alias("value"))
 
 
+_landed: dict[tuple[str, str], str] = {}
+
+
+def landing_dir(spark: SparkSession, sf_dir: str) -> str:
+    """Landing files of the events, written once per application."""
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known not in _landed:
+        path = scratch_path(spark, "landing")
+        lines = landed_lines(spark, sf_dir).select("value")
+        cores = spark.sparkContext.defaultParallelism
+        if len(load(spark, sf_dir, "events").inputFiles()) < cores:
+            lines = lines.repartition(cores)
+        lines.write.text(path)
+        _landed[known] = path
+    return _landed[known]
+
+
 SQL = f"""WITH RECURSIVE
 users AS (SELECT concat('U', c_custkey) AS slack_id, CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS name,
     concat('cust', c_custkey) AS display_name, CASE WHEN c_custkey % 7 <> 0 THEN c_name END AS real_name,
