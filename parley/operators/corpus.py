@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -82,6 +83,49 @@ def _next_breaks(start: np.ndarray, size: np.ndarray, limit: int) -> np.ndarray:
     return np.maximum(np.searchsorted(ends, start + limit, side="right"), np.arange(len(size)) + 1)
 
 
+def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Runs of equal keys in sorted batches; one run at a time is held."""
+    held: list[pd.DataFrame] = []
+    for pdf in frames:
+        if pdf.empty:
+            continue
+        changed = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()
+        cuts = np.flatnonzero(changed)
+        if held and (held[-1][keys].iloc[-1] == pdf[keys].iloc[0]).all():
+            cuts = cuts[1:]
+        for cut_from, cut_to in zip([0, *cuts], [*cuts, len(pdf)]):
+            if cut_from == cut_to:
+                continue
+            if held and cut_from in cuts:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            held.append(pdf.iloc[cut_from:cut_to])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _in_frames(parts: Iterator[pd.DataFrame], rows: int = 10_000) -> Iterator[pd.DataFrame]:
+    """Small results gathered into batches."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        if size >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _per_run(keys: list[str], run):
+    """A mapInPandas function that applies `run` to each run of equal keys."""
+
+    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _in_frames(run(pdf) for pdf in _groups(frames, keys))
+
+    return apply
+
+
 def _summarise_block(limit: int):
     """What a block does to the fill of the chunk that is open when it begins.
 
@@ -91,7 +135,6 @@ def _summarise_block(limit: int):
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start")
         start, size = pdf["start"].to_numpy("int64"), pdf["size"].to_numpy("int64")
         n, total = len(size), int(size.sum())
         upto = start + size - start[0]
@@ -124,37 +167,41 @@ def _summarise_block(limit: int):
 
 
 def _enter_blocks(limit: int):
-    """Walk a user's block summaries: chunk number and fill at the start of each block."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        chunk, fill, entry = 0, 0, []
-        for total, upto, breaks, left in zip(pdf["total"], pdf["upto"], pdf["breaks"], pdf["fill"]):
-            entry.append((chunk, fill))
-            p = int(np.searchsorted(np.asarray(upto), limit - fill, side="right"))
-            if p < len(upto) and fill + total > limit:
-                # An empty chunk is never closed: the very first text cannot start a second one.
-                first_empty = 1 if fill == 0 and p == 0 else 0
-                chunk, fill = chunk + int(breaks[p]) - first_empty, int(left[p])
-            else:
-                fill += int(total)
-        return pd.DataFrame(
-            {
-                "user_name": pdf["user_name"].to_numpy(),
-                "block": pdf["block"].to_numpy(),
-                "entry_chunk": [c for c, _ in entry],
-                "entry_fill": [f for _, f in entry],
-            }
-        )
-
-    return run
+    """Walk block summaries in order: chunk number and fill at the start of each block."""
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, chunk, fill = None, 0, 0
+        for pdf in frames:
+            entry = []
+            for who, total, upto, breaks, left in zip(
+                pdf["user_name"], pdf["total"], pdf["upto"], pdf["breaks"], pdf["fill"]
+            ):
+                if who != user:
+                    user, chunk, fill = who, 0, 0
+                entry.append((chunk, fill))
+                p = int(np.searchsorted(np.asarray(upto), limit - fill, side="right"))
+                if p < len(upto) and fill + total > limit:
+                    # An empty chunk is never closed: a user's first text cannot start a second one.
+                    first_empty = 1 if fill == 0 and p == 0 else 0
+                    chunk, fill = chunk + int(breaks[p]) - first_empty, int(left[p])
+                else:
+                    fill += int(total)
+            yield pd.DataFrame(
+                {
+                    "user_name": pdf["user_name"].to_numpy(),
+                    "block": pdf["block"].to_numpy(),
+                    "entry_chunk": [c for c, _ in entry],
+                    "entry_fill": [f for _, f in entry],
+                }
+            )
+
+    return walk
 
 
 def _place_texts(limit: int):
     """Chunk number of each text of a block, given the state at its start."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start")
         start, size = pdf["start"].to_numpy("int64"), pdf["size"].to_numpy("int64")
         chunk, fill = int(pdf["entry_chunk"].iloc[0]), int(pdf["entry_fill"].iloc[0])
         n = len(size)
@@ -187,15 +234,17 @@ def chunk_corpus(corpus: DataFrame, max_length: int = CHUNK_CHARS) -> DataFrame:
     """
     sized = written(_with_offsets(corpus), "corpus")
     sizes = sized.select("user_name", "block", "start", "size")
-    summaries = sizes.groupBy("user_name", "block").applyInPandas(
-        _summarise_block(max_length),
+    block = ["user_name", "block"]
+    summaries = sizes.repartition(*block).sortWithinPartitions("user_name", "start").mapInPandas(
+        _per_run(block, _summarise_block(max_length)),
         "user_name string, block bigint, total bigint, upto array<bigint>, breaks array<bigint>, fill array<bigint>",
     )
-    entries = summaries.groupBy("user_name").applyInPandas(
+    entries = summaries.repartition("user_name").sortWithinPartitions(*block).mapInPandas(
         _enter_blocks(max_length), "user_name string, block bigint, entry_chunk bigint, entry_fill bigint"
     )
-    placed = sizes.join(entries, ["user_name", "block"]).groupBy("user_name", "block").applyInPandas(
-        _place_texts(max_length), "user_name string, start bigint, chunk_no bigint"
+    placed = (
+        sizes.join(entries, block).repartition(*block).sortWithinPartitions("user_name", "start")
+        .mapInPandas(_per_run(block, _place_texts(max_length)), "user_name string, start bigint, chunk_no bigint")
     )
     texts = F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda s: s["text"])
     # A chunk holds at most max_length characters or one text.

@@ -71,7 +71,8 @@ def unanswered_dms(
         .where(F.lit(as_of_us) - F.col("ts_us") > DAY_US)
         .join(names, "conversation_name", "left_semi")
     )
-    last = window.join(broadcast_if_small(newest), ["conversation_name", "ts_us"], "left_semi")
+    newest = broadcast_if_small(written(newest, "latest-dms"))
+    last = window.join(newest, ["conversation_name", "ts_us"], "left_semi")
     flagged = with_author_test(last, users, lambda name: name == owner, "_mine")
     return flagged.where(~F.col("_mine")).drop("_mine")
 

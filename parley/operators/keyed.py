@@ -6,7 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from parley.session import written
+
 BROADCAST_ROWS = 100_000
+HOT_ROWS = 1_000_000
 
 
 def is_small(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -33,22 +36,35 @@ def latest_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def _ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, rank: str) -> DataFrame:
+    """`row_number() <= n`; Spark keeps at most n rows per group on the map side (WindowGroupLimit)."""
+    w = W.partitionBy(*group).orderBy(*order)
+    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
+
+
 def first_n_per_group(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], spread_by: Sequence[str], n: int,
-    fan_out: int = 256, keep_rank: str | None = None,
+    hot_rows: int = HOT_ROWS, fan_out: int = 256, keep_rank: str | None = None,
 ) -> DataFrame:
-    """First `n` rows of each group in two steps.
+    """First `n` rows of each group.
 
-    Step one ranks inside `fan_out` hash slices of each group, so a hot group is
-    spread over that many tasks; step two ranks at most `n * fan_out` rows.
+    Groups are counted first, reading only the group columns. Those above
+    `hot_rows` are ranked inside `fan_out` hash slices, each by its own task, so
+    that at most `n * fan_out` of their rows meet in the final ranking. All other
+    groups go straight there.
     """
-    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*spread_by), F.lit(fan_out)))
-    near = W.partitionBy(*group, "_slice").orderBy(*order)
-    short = sliced.withColumn("_rn", F.row_number().over(near)).where(F.col("_rn") <= n).drop("_rn", "_slice")
-    rank = keep_rank or "_rn"
-    final = short.withColumn(rank, F.row_number().over(W.partitionBy(*group).orderBy(*order)))
-    final = final.where(F.col(rank) <= n)
-    return final if keep_rank else final.drop(rank)
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    hot = written(sizes.where(F.col("_n") > hot_rows).select(*group), "hot-groups")
+    rows = df
+    if not hot.isEmpty():
+        hot = broadcast_if_small(hot)
+        sliced = df.join(hot, list(group), "left_semi").withColumn(
+            "_slice", F.pmod(F.xxhash64(*spread_by), F.lit(fan_out))
+        )
+        short = _ranked(sliced, [*group, "_slice"], order, n, "_rn").drop("_rn", "_slice")
+        rows = df.join(hot, list(group), "left_anti").unionByName(short)
+    final = _ranked(rows, group, order, n, keep_rank or "_rn")
+    return final if keep_rank else final.drop("_rn")
 
 
 def number_in_order(

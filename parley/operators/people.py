@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from parley.functions.times import DAY_US
 from parley.operators.bots import filter_bots
-from parley.operators.keyed import latest_per_key
+from parley.operators.keyed import broadcast_if_small, latest_per_key
 from parley.operators.lookup import user_ambiguity
 from parley.operators.resolve import with_author_test, with_display_name
+from parley.session import written
 from parley.sources.tables import since
 
 MENTIONS_SHOWN = 200
@@ -65,8 +66,12 @@ def interactions_all(
     messages: DataFrame, users: DataFrame, conversations: DataFrame, person: str, cutoff_us: int,
     limit: int = ALL_SHOWN, exact: bool = False,
 ) -> DataFrame:
-    """Newest messages of every conversation the person ever wrote in."""
-    theirs = conversations_of(messages, users, person, exact)
+    """Newest messages of every conversation the person ever wrote in.
+
+    The conversations are found first and written out: the list is usually short
+    enough to be broadcast, and then the messages are not shuffled.
+    """
+    theirs = broadcast_if_small(written(conversations_of(messages, users, person, exact), "conversations"))
     hits = since(messages, cutoff_us).join(theirs, "conversation_name", "left_semi")
     return _shown(hits, conversations, users, limit)
 

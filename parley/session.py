@@ -33,9 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_used: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _used.append(path)
+    return path
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete what this program wrote aside; frames that read it are gone with it."""
+    for path in _used:
+        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    _used.clear()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

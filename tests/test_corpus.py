@@ -23,6 +23,8 @@ def corpus_frame(spark, rows):
 @pytest.mark.parametrize("seed,limit,block", [(1, 50, 40), (2, 50, 7), (3, 50, 10_000), (4, 200, 130), (5, 30, 1), (6, 64, 64), (7, 40, 25)])
 def test_chunks_equal_one_pass(spark, monkeypatch, seed, limit, block):
     monkeypatch.setattr(co, "BLOCK_CHARS", block)
+    # Small batches, so that blocks run across them.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     rng = random.Random(seed)
     rows, want = [], {}
     for user in ("hot", "u1", "u2"):
@@ -35,7 +37,10 @@ def test_chunks_equal_one_pass(spark, monkeypatch, seed, limit, block):
                 texts.append(text)
         want[user] = greedy(texts, limit)
     rng.shuffle(rows)
-    got = co.chunk_corpus(corpus_frame(spark, rows), limit).orderBy("user_name", "chunk_no").collect()
+    try:
+        got = co.chunk_corpus(corpus_frame(spark, rows), limit).orderBy("user_name", "chunk_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     for user, chunks in want.items():
         mine = [r for r in got if r["user_name"] == user]
         assert [r["chunk"] for r in mine] == chunks

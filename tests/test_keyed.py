@@ -2,12 +2,13 @@
 
 import random
 
+import pytest
 from pyspark.sql import Window as W, functions as F
 
 from parley.operators import keyed
 
 
-def hot_rows(spark, n=3000):
+def hot_rows_frame(spark, n=3000):
     """A third of the rows belong to one group; many times collide."""
     rng = random.Random(5)
     rows = [("hot" if i % 3 == 0 else f"g{rng.randrange(50)}", rng.randrange(400), f"i{i:05d}") for i in range(n)]
@@ -18,24 +19,29 @@ def same(a, b):
     return sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
-def test_first_n_equals_plain_rank(spark):
-    df = hot_rows(spark)
+@pytest.mark.parametrize("hot_rows", [1_000_000, 500, 10])
+def test_first_n_equals_plain_rank(spark, hot_rows):
+    df = hot_rows_frame(spark)
     w = W.partitionBy("g").orderBy("ts", "id")
     plain = df.withColumn("rn", F.row_number().over(w)).where("rn <= 7")
-    fast = keyed.first_n_per_group(df, ["g"], [F.asc("ts"), F.asc("id")], ["id"], 7, fan_out=16, keep_rank="rn")
+    order = [F.asc("ts"), F.asc("id")]
+    fast = keyed.first_n_per_group(df, ["g"], order, ["id"], 7, hot_rows, fan_out=16, keep_rank="rn")
     assert same(plain, fast)
-    newest = keyed.first_n_per_group(df, ["g"], [F.desc("ts"), F.asc("id")], ["id"], 3)
+    newest = keyed.first_n_per_group(df, ["g"], [F.desc("ts"), F.asc("id")], ["id"], 3, hot_rows)
     assert newest.where("g = 'hot'").count() == 3 and newest.columns == df.columns
 
 
 def test_first_n_prunes_before_the_shuffle(spark):
-    df = keyed.first_n_per_group(hot_rows(spark), ["g"], [F.asc("ts"), F.asc("id")], ["id"], 10)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") >= 3
+    order = [F.asc("ts"), F.asc("id")]
+    plans = [
+        keyed.first_n_per_group(hot_rows_frame(spark), ["g"], order, ["id"], 10, hot)._jdf.queryExecution().executedPlan().toString()
+        for hot in (1_000_000, 500)
+    ]
+    assert plans[0].count("WindowGroupLimit") == 2 and plans[1].count("WindowGroupLimit") == 4
 
 
 def test_numbering_equals_plain_rank(spark):
-    df = hot_rows(spark)
+    df = hot_rows_frame(spark)
     by_id, by_ts = W.partitionBy("g").orderBy("ts", "id"), W.partitionBy("g").orderBy("ts")
     plain = df.withColumn("p", F.row_number().over(by_id).cast("long")).withColumn("e", (F.rank().over(by_ts) - 1).cast("long"))
     for width in (1, 7, 1000):
@@ -44,7 +50,7 @@ def test_numbering_equals_plain_rank(spark):
 
 
 def test_latest_ignores_input_order(spark):
-    df = hot_rows(spark)
+    df = hot_rows_frame(spark)
     one = keyed.latest_per_key(df, ["g"], [F.desc("ts"), F.desc("id")])
     two = keyed.latest_per_key(df.orderBy(F.rand(3)), ["g"], [F.desc("ts"), F.desc("id")])
     assert same(one, two) and one.count() == df.select("g").distinct().count()
