@@ -15,6 +15,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     session = local_session(4, "parley-tests", 4)
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.maxMetadataStringLength", 5000)  # plans are read in full
     yield session
     session.stop()
 
