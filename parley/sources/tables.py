@@ -41,7 +41,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def drop_path(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)
 
@@ -75,7 +75,7 @@ def _swap_in(spark: SparkSession, staged: str, path: str, partitions: Sequence[s
         .partitionBy(*partitions)
         .parquet(path)
     )
-    _drop(spark, staged)
+    drop_path(spark, staged)
 
 
 def finish_pending_swap(spark: SparkSession, path: str, partitions: Sequence[str]) -> bool:
@@ -86,7 +86,7 @@ def finish_pending_swap(spark: SparkSession, path: str, partitions: Sequence[str
     if path_exists(spark, f"{staged}/_SUCCESS"):
         _swap_in(spark, staged, path, partitions)
         return True
-    _drop(spark, staged)
+    drop_path(spark, staged)
     return False
 
 
@@ -126,6 +126,23 @@ def upsert_into(
     _swap_in(spark, staged, path, partitions)
 
 
+def replace_small(spark: SparkSession, path: str, rows: DataFrame) -> None:
+    """Overwrite a small table that `rows` may itself read: written aside first, then in place."""
+    aside = f"{path}__aside"
+    rows.write.mode("overwrite").parquet(aside)
+    spark.read.parquet(aside).write.mode("overwrite").parquet(path)
+    drop_path(spark, aside)
+
+
+def read_small(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table of `replace_small`; a copy that was complete aside but not yet in place is put there first."""
+    aside = f"{path}__aside"
+    if path_exists(spark, f"{aside}/_SUCCESS"):
+        spark.read.parquet(aside).write.mode("overwrite").parquet(path)
+        drop_path(spark, aside)
+    return read_table(spark, path, schema)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

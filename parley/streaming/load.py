@@ -14,14 +14,15 @@ from pyspark.sql.streaming import StreamingQuery
 from parley import schemas
 from parley.functions.message import edited_ts_us
 from parley.functions.times import epoch_us
-from parley.operators.ingest import update_marks
+from parley.operators.ingest import update_marks, upsert_conversations
 from parley.operators.normalize import (
     attachments, last_sent, normalize, reactions, split_bad_rows, with_conversation_name,
 )
 from parley.operators.resolve import name_book
 from parley.sources.landing import stream_messages
 from parley.sources.tables import (
-    MESSAGE_PARTITIONS, finish_pending_swap, read_table, touched_partitions, upsert_into, with_date,
+    MESSAGE_PARTITIONS, drop_path, finish_pending_swap, path_exists, read_small, read_table, replace_small,
+    touched_partitions, upsert_into, with_date,
 )
 
 
@@ -66,10 +67,11 @@ def load_batch(
     # Of copies of one message the last edit wins, then any fixed order.
     order = [F.desc_nulls_last(edited_ts_us(F.col("edited"))), F.desc(F.xxhash64(*good.columns))]
     latest = last_sent(good, order)
-    # Parsed once, then read by the message, attachment, reaction and mark writers.
-    base = f"{store.path('_batch')}-{batch_id}"
-    with_conversation_name(latest, conversations, book).write.mode("overwrite").parquet(f"{base}-raw")
-    kept = spark.read.parquet(f"{base}-raw")
+    # Parsed once, then read by all writers below.
+    known = known_conversations(spark, store, conversations)
+    parsed = store.path(f"_batch-{batch_id}")
+    with_conversation_name(latest, known, book).write.mode("overwrite").parquet(parsed)
+    kept = spark.read.parquet(parsed)
 
     dated = with_date(kept.withColumn("ts_us", epoch_us(F.col("ts"))))
     touched = touched_partitions(dated, MESSAGE_PARTITIONS)
@@ -88,15 +90,44 @@ def load_batch(
         spark, store.path("reactions"), reactions(dated, book, as_of_us, ["dt"]), REACTION_TABLE,
         ["message_id", "emoji", "user_name"], [F.desc("ts_us")], dates,
     )
-    _write_marks(spark, store, kept, base)
+    _write_conversations(spark, store, known, kept, book, as_of_us)
+    _write_marks(spark, store, kept)
+    drop_path(spark, parsed)
 
 
-def _write_marks(spark: SparkSession, store: Store, kept: DataFrame, base: str) -> None:
-    """One row per conversation: written aside first, then over the old marks."""
-    old = read_table(spark, store.path("sync_state"), schemas.SYNC_STATE)
+def _write_marks(spark: SparkSession, store: Store, kept: DataFrame) -> None:
+    old = read_small(spark, store.path("sync_state"), schemas.SYNC_STATE)
     loaded = kept.select("conversation_id", epoch_us(F.col("ts")).alias("ts_us"))
-    update_marks(old, loaded).write.mode("overwrite").parquet(f"{base}-marks")
-    spark.read.parquet(f"{base}-marks").write.mode("overwrite").parquet(store.path("sync_state"))
+    replace_small(spark, store.path("sync_state"), update_marks(old, loaded))
+
+
+def known_conversations(spark: SparkSession, store: Store, given: DataFrame) -> DataFrame:
+    """The stored conversations; before the first load the given ones."""
+    stored = read_small(spark, store.path("conversations"), schemas.CONVERSATIONS)
+    if path_exists(spark, store.path("conversations")):
+        return stored
+    return stored.unionByName(given, allowMissingColumns=True)
+
+
+def _write_conversations(
+    spark: SparkSession, store: Store, known: DataFrame, kept: DataFrame, book: DataFrame, as_of_us: int
+) -> None:
+    """Add the conversations of a batch and move their newest message time on.
+
+    Message counts need the whole table and are left to `conversation_stats`.
+    """
+    seen = kept.groupBy(F.col("conversation_id").alias("id")).agg(
+        F.max("conversation_type").alias("type"), F.max(epoch_us(F.col("ts"))).alias("_newest")
+    )
+    nobody = F.lit(None).cast("array<string>")
+    fresh = seen.select(
+        "id", F.lit(None).cast("string").alias("name"), "type", nobody.alias("participants"), F.lit(1).alias("seq")
+    )
+    merged = upsert_conversations(known, fresh, book, F.timestamp_micros(F.lit(as_of_us)))
+    moved = merged.join(seen.select("id", "_newest"), "id", "left").withColumn(
+        "latest_message_ts_us", F.greatest("latest_message_ts_us", "_newest")
+    )
+    replace_small(spark, store.path("conversations"), moved.select(*schemas.CONVERSATIONS.names))
 
 
 def stream_load(

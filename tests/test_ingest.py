@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,7 +102,7 @@ def run(spark, people, landing_dir, store):
 
 def tables_of(spark, store):
     frames = [load.read_messages_table(spark, store)] + [
-        spark.read.parquet(store.path(t)) for t in ("attachments", "reactions", "sync_state")]
+        spark.read.parquet(store.path(t)) for t in ("attachments", "reactions", "sync_state", "conversations")]
     return [sorted(map(repr, (r.asDict() for r in f.select(*sorted(f.columns)).collect()))) for f in frames]
 
 
@@ -118,6 +119,9 @@ def test_stream_in_steps_equals_one_go_and_replays_cleanly(spark, people, tmp_pa
     assert dict(tuple(r) for r in spark.read.parquet(stepwise.path("sync_state")).collect()) == {
         "C2": 1700147600000000, "D7": 1700144000000000}
     assert spark.read.json(stepwise.path("quarantine")).count() == 1
+    rooms = {r["id"]: (r["name"], r["type"], r["latest_message_ts_us"]) for r in spark.read.parquet(stepwise.path("conversations")).collect()}
+    assert rooms == {"C2": ("dev", "channel", 1700147600000000), "D7": ("DM: D7", "dm", 1700144000000000)}
+    assert not [n for n in os.listdir(stepwise.root) if n.startswith("_batch")]
 
     # Nothing new: nothing changes.
     run(spark, people, tmp_path / "in_a", stepwise)
@@ -142,6 +146,17 @@ def test_lost_swap_is_finished(spark, tmp_path):
     assert not tables.finish_pending_swap(spark, path, ["dt"])
 
 
+def test_small_table_survives_a_lost_driver(spark, tmp_path):
+    path = str(tmp_path / "s")
+    state = lambda n: spark.createDataFrame([("C1", n)], schemas.SYNC_STATE)
+    tables.replace_small(spark, path, state(1))
+    tables.replace_small(spark, path, tables.read_small(spark, path, schemas.SYNC_STATE).withColumn("last_ts_us", F.lit(2).cast("long")))
+    assert tables.read_small(spark, path, schemas.SYNC_STATE).first()["last_ts_us"] == 2
+    state(3).write.parquet(f"{path}__aside")
+    assert tables.read_small(spark, path, schemas.SYNC_STATE).first()["last_ts_us"] == 3
+    assert tables.read_small(spark, str(tmp_path / "none"), schemas.SYNC_STATE).isEmpty()
+
+
 def test_half_written_stage_is_dropped(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.createDataFrame([("a", "x")], "id string, dt string").write.partitionBy("dt").parquet(path)
