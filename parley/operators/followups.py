@@ -10,13 +10,12 @@ from pyspark.sql import DataFrame, functions as F
 from parley.functions import text as tx
 from parley.functions.times import DAY_US, HOUR_US, age_hours, ts_text
 from parley.operators.bots import filter_bots
-from parley.operators.keyed import broadcast_if_small, number_in_order
+from parley.operators.keyed import broadcast_if_small
 from parley.operators.resolve import with_author_test, with_display_name
 from parley.session import written
 from parley.sources.tables import since
 
 CONTEXT_DAYS = 14
-POSITION_BUCKET_US = 60_000_000
 
 
 @dataclass(frozen=True)
@@ -129,37 +128,25 @@ def followup_context(
 
     The context of an item is everything earlier in its conversation from
     `context_from_us` on, so the contexts of one conversation are prefixes of one
-    list. Messages are numbered by time; an item at `context_size` n owns
-    positions 1..n. That keeps the result as long as the history, where one list
-    per item would grow with items times messages.
-
-    Rows: the messages with `position`, and for items `context_size`, else NULL.
-    The items are written out first, as two steps read them.
+    list by time, and the time of an item says where its prefix ends. The result
+    is a filtered read, no longer than the history; one list per item would grow
+    with items times messages.
     """
-    items = written(items.select("id", "conversation_name", "ts_us"), "followups")
     ends = items.groupBy("conversation_name").agg(F.max("ts_us").alias("_end"))
-    window = since(messages, context_from_us, strict=False)
-    earlier = window.join(ends, "conversation_name").where(F.col("ts_us") <= F.col("_end")).drop("_end")
-    numbered = number_in_order(
-        earlier.select("conversation_name", "id", "ts_us", "datetime", "user_name", "clean_text"),
-        ["conversation_name"], "ts_us", ["id"], POSITION_BUCKET_US, "position", "_earlier",
+    ends = broadcast_if_small(written(ends, "followup-ends"))
+    earlier = (
+        since(messages, context_from_us, strict=False)
+        .join(ends, "conversation_name").where(F.col("ts_us") < F.col("_end"))
     )
-    marks = items.select("id", F.lit(True).alias("_is_item")).distinct()
-    marked = numbered.join(marks, "id", "left")
-    return with_display_name(marked, users, "user").select(
-        "conversation_name", "position", "id", "ts_us", "datetime", "user",
-        F.col("clean_text").alias("text"),
-        F.when(F.col("_is_item"), F.col("_earlier")).alias("context_size"),
+    return with_display_name(earlier, users, "user").select(
+        "conversation_name", "id", "ts_us", "datetime", "user", F.col("clean_text").alias("text")
     )
 
 
-def context_of(context: DataFrame, item_id: str) -> DataFrame:
+def context_of(context: DataFrame, conversation: str, item_ts_us: int) -> DataFrame:
     """The context list of one item, oldest first."""
-    item = context.where((F.col("id") == item_id) & F.col("context_size").isNotNull()).first()
-    if item is None:
-        return context.limit(0)
-    mine = (F.col("conversation_name") == item["conversation_name"]) & (F.col("position") <= item["context_size"])
-    return context.where(mine).orderBy("position")
+    mine = (F.col("conversation_name") == conversation) & (F.col("ts_us") < item_ts_us)
+    return context.where(mine).orderBy("ts_us", "id")
 
 
 @dataclass
@@ -177,12 +164,14 @@ def list_followups(
     """Status, totals, bot-filtered items and their bot-filtered context."""
     if not owner.name:
         return Followups("error")
-    found = followups(messages, conversations, users, owner, as_of_us, max_age_hours)
+    found = written(
+        followups(messages, conversations, users, owner, as_of_us, max_age_hours, ordered=False), "followups"
+    )
     summary = followups_summary(found)
     context_from = as_of_us - max_age_hours * HOUR_US - CONTEXT_DAYS * DAY_US
     return Followups(
         summary.first()["status"],
         summary,
-        filter_bots(found, ignored),
+        filter_bots(found, ignored).orderBy(F.desc("age_hours"), "id"),
         filter_bots(followup_context(messages, found, users, context_from), ignored),
     )

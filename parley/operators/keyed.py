@@ -65,29 +65,3 @@ def first_n_per_group(
         rows = df.join(hot, list(group), "left_anti").unionByName(short)
     final = _ranked(rows, group, order, n, keep_rank or "_rn")
     return final if keep_rank else final.drop("_rn")
-
-
-def number_in_order(
-    df: DataFrame, group: Sequence[str], ts_us: str, ties: Sequence[str],
-    bucket_us: int, position: str, earlier: str,
-) -> DataFrame:
-    """Position of each row in its group by time, without one task per group.
-
-    Rows are counted per (group, time bucket); the running sum over those few
-    counts gives each bucket its offset; only rows of one bucket are then ranked
-    together. `position` starts at 1 and follows (time, ties); `earlier` counts
-    the rows with a strictly smaller time.
-    """
-    cut = df.withColumn("_bucket", F.floor(F.col(ts_us) / F.lit(bucket_us)))
-    per_bucket = cut.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_bucket.select(
-        *group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
-    )
-    inside = W.partitionBy(*group, "_bucket")
-    return (
-        cut.join(offsets, [*group, "_bucket"])
-        .withColumn(position, F.col("_offset") + F.row_number().over(inside.orderBy(ts_us, *ties)))
-        .withColumn(earlier, F.col("_offset") + F.rank().over(inside.orderBy(ts_us)) - 1)
-        .drop("_bucket", "_offset")
-    )

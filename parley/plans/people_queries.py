@@ -203,11 +203,10 @@ CONTEXT_FROM = v.CUTOFF_72H - fu.CONTEXT_DAYS * 86_400_000_000
 
 
 @query("followup_context", f"""--more
-items AS ({ITEMS}), ends AS (SELECT conversation_name AS ec, max(ts_us) AS last_us FROM items GROUP BY conversation_name),
-ctx AS (SELECT m.* FROM messages m JOIN ends ON ec = m.conversation_name WHERE m.ts_us >= {CONTEXT_FROM} AND m.ts_us <= last_us)
-SELECT m.conversation_name, row_number() OVER (PARTITION BY m.conversation_name ORDER BY m.ts_us, m.id) AS position, m.id, m.ts_us, m.datetime, {DISPLAY} AS "user",
-  m.clean_text AS text, CASE WHEN m.id IN (SELECT id FROM items) THEN (SELECT count(*) FROM ctx x WHERE x.conversation_name = m.conversation_name AND x.ts_us < m.ts_us) END AS context_size
-FROM ctx m LEFT JOIN users u ON u.slack_id = m.user_name""")
+items AS ({ITEMS}), ends AS (SELECT conversation_name AS ec, max(ts_us) AS last_us FROM items GROUP BY conversation_name)
+SELECT m.conversation_name, m.id, m.ts_us, m.datetime, {DISPLAY} AS "user", m.clean_text AS text
+FROM messages m JOIN ends ON ec = m.conversation_name LEFT JOIN users u ON u.slack_id = m.user_name
+WHERE m.ts_us >= {CONTEXT_FROM} AND m.ts_us < last_us""")
 def followup_context(spark, sf):
     return fu.followup_context(_all(spark, sf, threads=False), _items(spark, sf), v.users(spark, sf), CONTEXT_FROM)
 

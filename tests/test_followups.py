@@ -63,17 +63,19 @@ def test_items_match_a_full_search(chat, people):
 @pytest.mark.parametrize("limit", [100_000, 0])
 def test_context_is_every_earlier_message(chat, people, monkeypatch, limit):
     from parley.operators import resolve as rs
-    monkeypatch.setattr(rs, "broadcast_if_small", lambda side: fu.broadcast_if_small(side, limit))
+    plain = fu.broadcast_if_small
+    for module in (rs, fu):
+        monkeypatch.setattr(module, "broadcast_if_small", lambda side: plain(side, limit))
     rows, m, conv = chat
     items = fu.followups(m, conv, people[0], fu.Owner("Ann"), AS_OF)
     start = CUTOFF - 14 * 24 * HOUR_US
     context = fu.followup_context(m, items, people[0], start).cache()
     for item in items.collect()[:12]:
         want = sorted((r[2], r[0]) for r in rows if r[1] == item["conversation_name"] and start <= r[2] < item["ts_us"])
-        got = [(r["ts_us"], r["id"]) for r in fu.context_of(context, item["id"]).collect()]
+        got = [(r["ts_us"], r["id"]) for r in fu.context_of(context, item["conversation_name"], item["ts_us"]).collect()]
         assert got == want
     assert context.groupBy("id").count().where("count > 1").isEmpty()
-    assert fu.context_of(context, "nope").isEmpty()
+    assert fu.context_of(context, "nope", AS_OF).isEmpty()
 
 
 def test_whole_answer(chat, people):

@@ -40,15 +40,6 @@ def test_first_n_prunes_before_the_shuffle(spark):
     assert plans[0].count("WindowGroupLimit") == 2 and plans[1].count("WindowGroupLimit") == 4
 
 
-def test_numbering_equals_plain_rank(spark):
-    df = hot_rows_frame(spark)
-    by_id, by_ts = W.partitionBy("g").orderBy("ts", "id"), W.partitionBy("g").orderBy("ts")
-    plain = df.withColumn("p", F.row_number().over(by_id).cast("long")).withColumn("e", (F.rank().over(by_ts) - 1).cast("long"))
-    for width in (1, 7, 1000):
-        fast = keyed.number_in_order(df, ["g"], "ts", ["id"], width, "p", "e")
-        assert same(plain.select("g", "ts", "id", "p", "e"), fast.select("g", "ts", "id", "p", "e"))
-
-
 def test_latest_ignores_input_order(spark):
     df = hot_rows_frame(spark)
     one = keyed.latest_per_key(df, ["g"], [F.desc("ts"), F.desc("id")])

@@ -56,6 +56,13 @@ def test_person_search_shuffles_no_messages(stored):
     assert "SortMergeJoin" not in plan and "TakeOrderedAndProject" in plan
 
 
+def test_context_is_a_filtered_read(stored):
+    m, users, conv = stored
+    items = followups.followups(m, conv, users, followups.Owner(v.OWNER), v.AS_OF_US, ordered=False)
+    plan = plan_of(followups.followup_context(m, items, users, v.CUTOFF_30D))
+    assert "Exchange hashpartitioning" not in plan and "Window" not in plan
+
+
 def test_counting_comes_before_the_name_lookup(stored):
     m, users, _ = stored
     window = activity.channel_window(m, v.AS_OF_US - 14 * DAY_US)
