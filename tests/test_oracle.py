@@ -6,7 +6,7 @@ from conftest import SMALL
 import __spark_entry__ as entry_points
 import oracle
 
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, SQL = entry_points.QUERIES, entry_points.ORACLE
 
 
 @pytest.fixture(scope="module")

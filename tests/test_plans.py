@@ -10,7 +10,7 @@ from parley.operators import activity, followups, people, resolve as rs
 from parley.plans import views as v
 from parley.sources import tables
 
-QUERIES = entry_points.queries()
+QUERIES = entry_points.QUERIES
 
 
 def plan_of(df):
