@@ -40,8 +40,8 @@ def _bounds(rule: quality_rules.Rule) -> str:
 _STOP = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
 
 RULES_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text,
-    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
   FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM win) WHERE n > 1),
@@ -50,7 +50,7 @@ c AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     length(text) - length(replace(text, '!', '')) AS n_bangs,
     len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
-    len(list_filter(w, x -> lower(x) IN ({_STOP}))) AS n_stop_words
+    len(list_filter(w, lambda x: lower(x) IN ({_STOP}))) AS n_stop_words
   FROM d LEFT JOIN rep ON rep.doc_id = d.doc_id),
 m AS (SELECT *, n_words < {quality_rules.MIN_WORDS}
       OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed,
