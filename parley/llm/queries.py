@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parley.llm import bpe, quality_rules, simhash, token_counts as counted
+from parley.llm import bpe, decontaminate, quality_rules, simhash, token_counts as counted
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -98,3 +98,8 @@ def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = counted.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+@query("op4_benchmark_decontamination")
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
