@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parley.llm import bpe, decontaminate, quality_rules, simhash, token_counts as counted
+from parley.llm import bpe, decontaminate, quality_rules, secret_scan, simhash, token_counts as counted
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -103,3 +103,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_benchmark_decontamination")
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_secret_scan")
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
