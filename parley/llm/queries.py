@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parley.llm import bpe, chat_format, decontaminate, quality_rules, secret_scan, simhash, token_counts as counted
+from parley.llm import bpe, chat_format, decontaminate, quality_rules, secret_scan, simhash, token_counts as counted, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -117,3 +117,8 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], given.schema)
     return chat_format.digests(chat_format.windows(given.unionByName(more)))
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
