@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parley.llm import bpe, chat_format, decontaminate, quality_rules, secret_scan, simhash, token_counts as counted, toxicity
+from parley.llm import bpe, chat_format, decontaminate, quality_rules, secret_scan, simhash, site_quality, token_counts as counted, toxicity, url_reputation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -122,3 +122,18 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_toxicity")
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_url_filter")
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    outcomes = url_reputation.outcomes_by_text(pages, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = url_reputation.verdicts(pages, outcomes)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op8_quality_classifier")
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = site_quality.judged(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+    return found.select("doc_id", "p", "host_mean", "path_mean", "score", "kept")
