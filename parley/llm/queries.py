@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parley.llm import bpe, chat_format, decontaminate, quality_rules, secret_scan, simhash, site_quality, token_counts as counted, toxicity, url_reputation
+from parley.llm import bpe, chat_format, decontaminate, quality_rules, secret_scan, shrinkage, simhash, site_quality, token_counts as counted, toxicity, url_reputation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -124,7 +124,59 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op7_url_filter")
+def _prior(hits: str, n: str, mean: str, source: str) -> str:
+    spread = f"{mean} * (1 - {mean})"
+    rho = (
+        f"sum(CASE WHEN {n} > 0 THEN {n} * pow({hits} / {n} - {mean}, 2) - {spread} END)"
+        f" / nullif(sum(CASE WHEN {n} > 1 THEN ({n} - 1) * {spread} END), 0)"
+    )
+    low, high = shrinkage.LEAST_RHO, shrinkage.MOST_RHO
+    return f"SELECT 1 / least(greatest(coalesce({rho}, {low}), {low}), {high}) - 1 AS m FROM {source}"
+
+
+def _fits(rule: url_reputation.Rule) -> str:
+    return f"(host = '{rule.host}' OR ends_with(host, '.{rule.host}')) AND starts_with(path, '{rule.path}')"
+
+
+_LONGEST = sorted(url_reputation.RULES, key=lambda r: -len(r.name))
+_TWO = ", ".join(f"'{x}'" for x in url_reputation.TWO_LABELS)
+
+URL_SQL = f"""WITH u AS (SELECT page_id, html, CASE WHEN coalesce(instr(url, '://'), 0) > 0
+    THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+told AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+votes AS (SELECT regexp_replace(coalesce(text, ''), '[^\p{{L}}\p{{N}}]+', '', 'g') AS key,
+    CASE WHEN avg(quality) <= 0.5 THEN 1 ELSE 0 END AS bad FROM documents JOIN told USING (doc_id) GROUP BY 1),
+shown AS (SELECT host, regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)</h1>(.*)</article>', 1), '<[^>]*>', '', 'g'),
+    '&(amp|lt|gt|quot|apos|nbsp|#[0-9]+|#x[0-9A-Fa-f]+);', '', 'g'), '[^\p{{L}}\p{{N}}]+', '', 'g') AS key FROM p WHERE html IS NOT NULL),
+counted AS (SELECT host, count(*) AS n, sum(bad) AS bad FROM shown JOIN votes USING (key) GROUP BY host),
+hosts AS (SELECT host, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS two
+  FROM (SELECT DISTINCT host FROM p) LEFT JOIN counted USING (host)),
+h AS (SELECT host, n, bad,
+    CASE WHEN regexp_matches(host, '^[0-9.]+(:[0-9]+)?$') THEN host
+      WHEN two IN ({_TWO}) THEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') ELSE two END AS domain,
+    CASE WHEN regexp_matches(host, '^[0-9.]+(:[0-9]+)?$') THEN '' WHEN two IN ({_TWO}) THEN two
+      ELSE string_split(host, '.')[-1] END AS suffix FROM hosts),
+o AS (SELECT sum(bad) / nullif(sum(n), 0) AS mu FROM h),
+s AS (SELECT suffix, sum(n) AS sn, sum(bad) AS sb, any_value(mu) AS mu FROM h, o GROUP BY suffix),
+sm AS ({_prior("sb", "sn", "mu", "s")}),
+sp AS (SELECT suffix, (sb + m * mu) / (sn + m) AS s_mean FROM s, sm),
+d AS (SELECT domain, suffix, sum(n) AS dn, sum(bad) AS db, any_value(s_mean) AS s_mean FROM h JOIN sp USING (suffix) GROUP BY domain, suffix),
+dm AS ({_prior("db", "dn", "s_mean", "d")}),
+dp AS (SELECT domain, suffix, (db + m * s_mean) / (dn + m) AS d_mean FROM d, dm),
+hd AS (SELECT host, n, bad, d_mean FROM h JOIN dp USING (domain, suffix)),
+hm AS ({_prior("bad", "n", "d_mean", "hd")}),
+hp AS (SELECT host, (bad + m * d_mean) / (n + m) AS mean, n + m AS w FROM hd, hm),
+judged AS (SELECT host, coalesce(mean - {url_reputation.DEVIATIONS} * sqrt(mean * (1 - mean) / (w + 1)), 0) > {url_reputation.MOST_BAD} AS blocked FROM hp)
+SELECT page_id, host, path,
+  CASE {" ".join(f"WHEN {_fits(r)} THEN '{r.name}'" for r in _LONGEST)} END AS rule,
+  CASE {" ".join(f"WHEN {_fits(r)} THEN '{'allow' if r.allow else 'block'}'" for r in _LONGEST)}
+    WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
+FROM p JOIN judged USING (host)"""
+
+
+@query("op7_url_filter", URL_SQL)
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     outcomes = url_reputation.outcomes_by_text(pages, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
