@@ -28,7 +28,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from parley.llm.bpe_files import SPACE, Vocabulary, byte_letters, file_text, read_vocabulary
+from parley.llm.bpe_files import (
+    NEWER_CLASS, SPACE, Vocabulary, byte_letters, file_text, has_newer, lowered, read_vocabulary,
+)
 from parley.llm.common import keyed_texts
 
 KEPT_WORDS = 200_000
@@ -38,6 +40,10 @@ _SUFFIXES = "'s|'t|'re|'ve|'m|'ll|'d"
 #: The same cuts; the first needs no Unicode tables.
 ASCII_CUT = re.compile(f"{_SUFFIXES}|[a-z]+|[0-9]|[^\\t-\\r a-z0-9]+")
 CUT = regex.compile(f"{_SUFFIXES}|\\p{{L}}+|\\p{{N}}|[^{SPACE}\\p{{L}}\\p{{N}}]+")
+CUT_NEWER = regex.compile(
+    f"{_SUFFIXES}|[\\p{{L}}--[{NEWER_CLASS}]]+|[\\p{{N}}--[{NEWER_CLASS}]]|[[^{SPACE}\\p{{L}}\\p{{N}}]||[{NEWER_CLASS}]]+",
+    regex.V1,
+)
 
 
 def join_symbols(symbols: list[int], ranks: dict[int, int], made: list[int]) -> list[int]:
@@ -111,8 +117,8 @@ class Encoder(dict):
         if text.isascii():
             words = ASCII_CUT.findall(text.lower())
         else:
-            # Letter by letter, the final form of sigma is not used.
-            words = CUT.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+            text = lowered(unicodedata.normalize("NFC", text))
+            words = (CUT_NEWER if has_newer(text) else CUT).findall(text)
         return b"".join([self[w] for w in words])
 
     def encode(self, text: str | None) -> bytes:

@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from parley.llm.bpe_files import SPACE, Vocabulary, byte_letters, file_text, read_vocabulary
+from parley.llm.bpe_files import NEWER_CLASS, SPACE, Vocabulary, byte_letters, file_text, has_newer, read_vocabulary
 from parley.llm.common import keyed_texts
 
 KEPT_WORDS = 300_000
@@ -34,6 +34,11 @@ ASCII_CUT = re.compile(f"{_SUFFIXES}| ?[A-Za-z]+| ?[0-9]+| ?[^{_A}A-Za-z0-9]+|[{
 CUT = regex.compile(
     f"{_SUFFIXES}| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{SPACE}\\p{{L}}\\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
+CUT_NEWER = regex.compile(
+    f"{_SUFFIXES}| ?[\\p{{L}}--[{NEWER_CLASS}]]+| ?[\\p{{N}}--[{NEWER_CLASS}]]+"
+    f"| ?[[^{SPACE}\\p{{L}}\\p{{N}}]||[{NEWER_CLASS}]]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+",
+    regex.V1,
+)
 NONE = np.int32(2**31 - 1)
 
 
@@ -123,7 +128,9 @@ class Counter(dict):
         self.old: dict[str, int] = {}
 
     def _cut(self, text: str) -> list[str]:
-        return (ASCII_CUT if text.isascii() else CUT).findall(text)
+        if text.isascii():
+            return ASCII_CUT.findall(text)
+        return (CUT_NEWER if has_newer(text) else CUT).findall(text)
 
     def cut(self, text: str) -> tuple[int, list[str]]:
         """Number of special strings, and the pre-tokens between them."""
