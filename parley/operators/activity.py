@@ -176,15 +176,20 @@ def channel_activity(
     messages carries a literal conversation and time filter.
     """
     resolved = resolve_conversation(conversations, channels, channel).first()["resolved_name"]
-    if get_conversation(conversations, channels, resolved).isEmpty():
+    known = get_conversation(conversations, channels, resolved).first()
+    if known is not None:
+        resolved = known["name"]  # messages are filed by name, also when asked by id
+    else:
         resolved = conversation_containing(messages, channel).first()["conversation_name"]
         if resolved is None:
             close = [r["name"] for r in channel_suggestions(channels, channel).collect()]
             return ChannelActivity("not_found", channel, suggestions=close)
-    window = channel_window(messages, as_of_us - days_back * DAY_US, resolved)
+    cutoff = as_of_us - days_back * DAY_US
+    window = channel_window(messages, cutoff, resolved)
     if window.isEmpty():
         return ChannelActivity("no_activity", channel, resolved)
-    whole = messages.where(F.col("conversation_name") == resolved)
+    # A parent in the window has the time of its thread, so no other replies are wanted.
+    whole = messages.where((F.col("conversation_name") == resolved) & (F.col("thread_ts_us") > cutoff))
     return ChannelActivity(
         "ok", channel, resolved,
         summary=channel_summary(window),

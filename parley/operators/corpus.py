@@ -17,20 +17,18 @@ from parley.session import written
 # Executors need not have this package installed: its task functions travel by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CORPUS_PER_DM = 1000
 CHUNK_CHARS = 15_000
-TRANSCRIPT_PER_CONVERSATION = 500
-LINE_CHARS = 200
 TRANSCRIPT_BUDGET = 50_000
 # Shortest possible transcript: line break and a header without names.
 SHORTEST_TRANSCRIPT = len("\n=== DM:  ===")
 BLOCK_CHARS = 4_000_000
 
 
-def _first_messages(messages: DataFrame, n: int, order: str) -> DataFrame:
+def _first_messages(messages: DataFrame, n: int | None, order: str) -> DataFrame:
+    """The first n messages of each conversation, or all of them."""
     by_time = [F.asc("ts_us"), F.asc("id")] if order == "oldest" else [F.desc("ts_us"), F.desc("id")]
     narrow = messages.select("conversation_name", "id", "ts_us", "user_name", "clean_text", "text")
-    return first_n_per_group(narrow, ["conversation_name"], by_time, ["id"], n)
+    return narrow if n is None else first_n_per_group(narrow, ["conversation_name"], by_time, ["id"], n)
 
 
 def _last_times(messages: DataFrame) -> DataFrame:
@@ -39,9 +37,9 @@ def _last_times(messages: DataFrame) -> DataFrame:
 
 def user_corpus(
     messages: DataFrame, conversations: DataFrame, user_name: str | None = None,
-    per_conversation: int = CORPUS_PER_DM, order: str = "oldest",
+    per_conversation: int | None = None, order: str = "oldest",
 ) -> DataFrame:
-    """Texts a user wrote among the first messages of each DM; all users when none is named.
+    """Texts a user wrote in DMs (among the first `per_conversation` messages of each, if given); all users when none is named.
 
     Reading order: DMs by last activity, newest first, then messages by time.
     """
@@ -259,16 +257,18 @@ def chunk_corpus(corpus: DataFrame, max_length: int = CHUNK_CHARS) -> DataFrame:
 
 
 def transcripts(
-    messages: DataFrame, conversations: DataFrame, per_conversation: int = TRANSCRIPT_PER_CONVERSATION,
-    order: str = "oldest",
+    messages: DataFrame, conversations: DataFrame, per_conversation: int | None = None,
+    order: str = "oldest", line_chars: int | None = None,
 ) -> DataFrame:
     """Per conversation a header and `user: text` lines of its first messages.
 
-    At most `per_conversation` lines of 200 characters, so a row stays small.
+    `per_conversation` and `line_chars` shorten transcripts only when they are given.
     Conversations without messages are left out.
     """
     first = _first_messages(messages, per_conversation, order)
-    said = F.substring(body(F.col("clean_text"), F.col("text")), 1, LINE_CHARS)
+    said = body(F.col("clean_text"), F.col("text"))
+    if line_chars is not None:
+        said = F.substring(said, 1, line_chars)
     line = F.concat(F.coalesce("user_name", F.lit("None")), F.lit(": "), said)
     # collect_list skips the NULL lines of messages without text.
     lines = F.transform(
@@ -293,7 +293,7 @@ def transcripts(
 
 def transcript_budget(
     messages: DataFrame, conversations: DataFrame, budget: int = TRANSCRIPT_BUDGET,
-    per_conversation: int = TRANSCRIPT_PER_CONVERSATION, order: str = "oldest",
+    per_conversation: int | None = None, order: str = "oldest", line_chars: int | None = None,
 ) -> DataFrame:
     """The part of the joined transcript that fits the budget, one row per conversation.
 
@@ -311,7 +311,7 @@ def transcript_budget(
     texts = written(
         transcripts(
             messages.join(F.broadcast(names), "conversation_name", "left_semi"),
-            newest, per_conversation, order,
+            newest, per_conversation, order, line_chars,
         ),
         "transcripts",
     )

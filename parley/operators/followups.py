@@ -159,19 +159,20 @@ class Followups:
 
 def list_followups(
     messages: DataFrame, conversations: DataFrame, users: DataFrame, owner: Owner, as_of_us: int,
-    max_age_hours: int = 72, ignored: Sequence[str] = (),
+    max_age_hours: int = 72, ignored: Sequence[str] = (), context_days: int = CONTEXT_DAYS,
 ) -> Followups:
-    """Status, totals, bot-filtered items and their bot-filtered context."""
+    """Status, totals, bot-filtered items and the bot-filtered context of those items."""
     if not owner.name:
         return Followups("error")
     found = written(
         followups(messages, conversations, users, owner, as_of_us, max_age_hours, ordered=False), "followups"
     )
     summary = followups_summary(found)
-    context_from = as_of_us - max_age_hours * HOUR_US - CONTEXT_DAYS * DAY_US
+    context_from = as_of_us - max_age_hours * HOUR_US - context_days * DAY_US
+    kept = filter_bots(found, ignored)
     return Followups(
         summary.first()["status"],
         summary,
-        filter_bots(found, ignored).orderBy(F.desc("age_hours"), "id"),
-        filter_bots(followup_context(messages, found, users, context_from), ignored),
+        kept.orderBy(F.desc("age_hours"), "id"),
+        filter_bots(followup_context(messages, kept, users, context_from), ignored),
     )

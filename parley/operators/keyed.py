@@ -6,10 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from parley.session import written
-
 BROADCAST_ROWS = 100_000
-HOT_ROWS = 1_000_000
 
 
 def is_small(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -44,24 +41,14 @@ def _ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int
 
 def first_n_per_group(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], spread_by: Sequence[str], n: int,
-    hot_rows: int = HOT_ROWS, fan_out: int = 256, keep_rank: str | None = None,
+    fan_out: int = 16, keep_rank: str | None = None,
 ) -> DataFrame:
     """First `n` rows of each group.
 
-    Groups are counted first, reading only the group columns. Those above
-    `hot_rows` are ranked inside `fan_out` hash slices, each by its own task, so
-    that at most `n * fan_out` of their rows meet in the final ranking. All other
-    groups go straight there.
+    Ranked inside `fan_out` hash slices of each group first, so that at most
+    `n * fan_out` rows of a group meet in the final ranking, however large it is.
     """
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    hot = written(sizes.where(F.col("_n") > hot_rows).select(*group), "hot-groups")
-    rows = df
-    if not hot.isEmpty():
-        hot = broadcast_if_small(hot)
-        sliced = df.join(hot, list(group), "left_semi").withColumn(
-            "_slice", F.pmod(F.xxhash64(*spread_by), F.lit(fan_out))
-        )
-        short = _ranked(sliced, [*group, "_slice"], order, n, "_rn").drop("_rn", "_slice")
-        rows = df.join(hot, list(group), "left_anti").unionByName(short)
-    final = _ranked(rows, group, order, n, keep_rank or "_rn")
+    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*spread_by), F.lit(fan_out)))
+    short = _ranked(sliced, [*group, "_slice"], order, n, "_rn").drop("_rn", "_slice")
+    final = _ranked(short, group, order, n, keep_rank or "_rn")
     return final if keep_rank else final.drop("_rn")

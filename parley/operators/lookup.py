@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from parley.functions.names import match_score
-from parley.functions.times import DAY_US
+from parley.functions.times import DAY_US, datetime_text
 from parley.sources.tables import since
 
 
+def _date(ts_us: Column) -> Column:
+    """Readable time of a smallest or largest time, NULL where there are no messages."""
+    return F.when(ts_us.isNotNull(), datetime_text(ts_us))
+
+
 def _first_channel_id(channels: DataFrame, name: str) -> str | None:
     found = channels.where(F.col("name") == name).agg(F.min("slack_id").alias("slack_id")).first()
     return found["slack_id"]
@@ -78,15 +83,16 @@ def list_conversations(
     """
     counted = messages.groupBy(F.col("conversation_name").alias("name")).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.min("datetime").alias("start_date"),
-        F.max("datetime").alias("end_date"),
+        F.min("ts_us").alias("_first"),
         F.max("ts_us").alias("last_message_ts_us"),
     )
     wanted = conversations if kind is None else conversations.where(F.col("type") == kind)
     listed = wanted.join(counted, "name", "left").select(
         *wanted.columns,
         F.coalesce("_n", F.lit(0)).cast("bigint").alias("actual_message_count"),
-        "start_date", "end_date", "last_message_ts_us",
+        _date(F.col("_first")).alias("start_date"),
+        _date(F.col("last_message_ts_us")).alias("end_date"),
+        "last_message_ts_us",
     )
     return listed.orderBy(F.desc_nulls_last("last_message_ts_us"), "id") if ordered else listed
 
@@ -108,8 +114,8 @@ def db_stats(
             F.count_if(F.col("ts_us") >= as_of_us - DAY_US).alias("messages_last_24h"),
             F.count_if(F.col("is_thread_parent")).alias("threads"),
             F.count_if(reply).alias("thread_replies"),
-            F.min("datetime").alias("first_datetime"),
-            F.max("datetime").alias("last_datetime"),
+            _date(F.min("ts_us")).alias("first_datetime"),
+            _date(F.max("ts_us")).alias("last_datetime"),
         ),
         messages.agg(F.countDistinct("user_name").alias("active_users")),
     ]
@@ -183,26 +189,30 @@ def channel_suggestions(channels: DataFrame, term: str) -> DataFrame:
     return match_channels(channels, term, limit=5)
 
 
-def match_users(users: DataFrame, term: str, limit: int = 10) -> DataFrame:
-    """Best user matches on name, else real name, ignoring case."""
+def _scored_users(users: DataFrame, term: str) -> DataFrame:
     known = F.coalesce("name", "real_name")
-    scored = users.select(
+    return users.select(
         F.coalesce(known, F.col("slack_id")).alias("name"),
         "slack_id",
         match_score(F.lower(known), F.lower(F.lit(term))).alias("score"),
     ).where("score > 0")
+
+
+def match_users(users: DataFrame, term: str, limit: int = 10) -> DataFrame:
+    """Best user matches on name, else real name, ignoring case."""
+    scored = _scored_users(users, term)
     return scored.orderBy(F.desc("score"), "name", "slack_id").limit(limit)
 
 
 def user_ambiguity(users: DataFrame, term: str) -> DataFrame:
-    """One row: may a query about this person go on? At most ten matches are looked at."""
-    few = match_users(users, term)
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "name", "slack_id")))
-    judged = few.agg(
-        F.count(F.lit(1)).alias("matches"),
-        F.count_if(F.col("score") == 100).alias("exact_matches"),
-        F.transform(F.slice(ranked, 1, 5), lambda r: r["name"]).alias("suggestions"),
+    """One row: may a query about this person go on? All matches count, the best five are suggested."""
+    counted = _scored_users(users, term).agg(
+        F.count(F.lit(1)).alias("matches"), F.count_if(F.col("score") == 100).alias("exact_matches")
     )
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "name", "slack_id")))
+    best = match_users(users, term, limit=5).agg(F.transform(ranked, lambda r: r["name"]).alias("suggestions"))
+    both = counted.unionByName(best, allowMissingColumns=True)
+    judged = both.agg(*[F.max(c).alias(c) for c in ("matches", "exact_matches", "suggestions")])
     status = (
         F.when(F.col("matches") == 0, "not_found")
         .when((F.col("matches") > 1) & (F.col("exact_matches") != 1), "ambiguous")

@@ -15,10 +15,11 @@ RAW_KEY = ("conversation_id", "ts")
 
 
 def split_bad_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good, quarantined with a reason). A row needs a numeric ts to have an id."""
+    """(good, quarantined with a reason). A row needs a conversation and a numeric ts to have an id."""
     broken = F.col(CORRUPT).isNotNull() if CORRUPT in raw.columns else F.lit(False)
     reason = (
         F.when(broken, "broken json")
+        .when(tx.blank_to_null(F.col("conversation_id")).isNull(), "missing conversation_id")
         .when(tx.blank_to_null(F.col("ts")).isNull(), "missing ts")
         .when(tm.epoch_us(F.col("ts")).isNull(), "ts is not a number")
     )

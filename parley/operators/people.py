@@ -29,19 +29,43 @@ def _is_person(person: str, exact: bool):
     return test
 
 
+def mention_hits(
+    messages: DataFrame, users: DataFrame, person: str, cutoff_us: int, exact: bool = False
+) -> DataFrame:
+    """All messages after the cutoff that the person wrote or is named in, ignoring case."""
+    flagged = with_author_test(since(messages, cutoff_us), users, _is_person(person, exact), "_wrote")
+    named = F.contains(F.lower("clean_text"), F.lit(person.lower()))
+    return flagged.where(F.coalesce("_wrote", F.lit(False)) | named).drop("_wrote")
+
+
+def conversation_hits(
+    messages: DataFrame, users: DataFrame, person: str, cutoff_us: int, exact: bool = False
+) -> DataFrame:
+    """All messages after the cutoff in conversations the person ever wrote in.
+
+    The conversations are found first and written out: the list is usually short
+    enough to be broadcast, and then the messages are not shuffled.
+    """
+    theirs = broadcast_if_small(written(conversations_of(messages, users, person, exact), "conversations"))
+    return since(messages, cutoff_us).join(theirs, "conversation_name", "left_semi")
+
+
 def _shown(rows: DataFrame, conversations: DataFrame, users: DataFrame, limit: int) -> DataFrame:
     """The newest rows, then author and participants for just those."""
     newest = rows.orderBy(F.desc("ts_us"), "id").limit(limit).select(
         "id", "ts_us", "datetime", "user_name", "clean_text", "conversation_name", "conversation_type",
         "thread_ts_us", "is_thread_parent",
     )
-    # One row per conversation name, the one with participants first.
-    people = latest_per_key(
+    return with_display_name(newest, users).join(_participants(conversations), "conversation_name", "left")
+
+
+def _participants(conversations: DataFrame) -> DataFrame:
+    """One row per conversation name, the one with participants first."""
+    return latest_per_key(
         conversations.select(F.col("name").alias("conversation_name"), "participants", F.col("id").alias("_cid")),
         ["conversation_name"],
         [F.asc(F.col("participants").isNull()), F.asc("_cid")],
     ).drop("_cid")
-    return with_display_name(newest, users).join(people, "conversation_name", "left")
 
 
 def interactions_mentions(
@@ -49,15 +73,12 @@ def interactions_mentions(
     limit: int = MENTIONS_SHOWN, exact: bool = False,
 ) -> DataFrame:
     """Newest messages the person wrote or is named in, ignoring case."""
-    flagged = with_author_test(since(messages, cutoff_us), users, _is_person(person, exact), "_wrote")
-    named = F.contains(F.lower("clean_text"), F.lit(person.lower()))
-    hits = flagged.where(F.coalesce("_wrote", F.lit(False)) | named).drop("_wrote")
-    return _shown(hits, conversations, users, limit)
+    return _shown(mention_hits(messages, users, person, cutoff_us, exact), conversations, users, limit)
 
 
 def conversations_of(messages: DataFrame, users: DataFrame, person: str, exact: bool = False) -> DataFrame:
     """Names of the conversations the person ever wrote in; reads two columns of the whole history."""
-    authors = messages.select("conversation_name", "user_name").distinct()
+    authors = messages.select("conversation_name", "user_name")
     flagged = with_author_test(authors, users, _is_person(person, exact), "_wrote")
     return flagged.where("_wrote").select("conversation_name").distinct()
 
@@ -66,14 +87,8 @@ def interactions_all(
     messages: DataFrame, users: DataFrame, conversations: DataFrame, person: str, cutoff_us: int,
     limit: int = ALL_SHOWN, exact: bool = False,
 ) -> DataFrame:
-    """Newest messages of every conversation the person ever wrote in.
-
-    The conversations are found first and written out: the list is usually short
-    enough to be broadcast, and then the messages are not shuffled.
-    """
-    theirs = broadcast_if_small(written(conversations_of(messages, users, person, exact), "conversations"))
-    hits = since(messages, cutoff_us).join(theirs, "conversation_name", "left_semi")
-    return _shown(hits, conversations, users, limit)
+    """Newest messages of every conversation the person ever wrote in."""
+    return _shown(conversation_hits(messages, users, person, cutoff_us, exact), conversations, users, limit)
 
 
 def label_thread(df: DataFrame) -> DataFrame:
@@ -85,9 +100,9 @@ def label_thread(df: DataFrame) -> DataFrame:
     return df.withColumn("thread_info", label)
 
 
-def interactions_by_conversation(shown: DataFrame) -> DataFrame:
-    """Per conversation: type, count, newest time, thread messages. Most recent first when ordered by it."""
-    labelled = label_thread(shown)
+def interactions_by_conversation(hits: DataFrame) -> DataFrame:
+    """Per conversation over all hits: type, count, newest time, thread messages."""
+    labelled = label_thread(hits)
     return labelled.groupBy("conversation_name").agg(
         F.min("conversation_type").alias("type"),
         F.count(F.lit(1)).alias("interaction_count"),
@@ -125,15 +140,23 @@ def user_interactions(
     gate = user_ambiguity(users, person).first()
     if gate["status"] != "ok":
         return Interactions(gate["status"], person, list(gate["suggestions"]))
-    find = interactions_mentions if mentions_only else interactions_all
-    shown = find(messages, users, conversations, person, as_of_us - days_back * DAY_US, exact=exact)
-    if shown.isEmpty():
+    find = mention_hits if mentions_only else conversation_hits
+    hits = find(messages, users, person, as_of_us - days_back * DAY_US, exact)
+    grouped = written(interactions_by_conversation(hits), "by-conversation")
+    if grouped.isEmpty():
         return Interactions("no_interactions", person)
-    grouped = interactions_by_conversation(shown)
-    named = grouped.withColumnRenamed("conversation_name", "name")
+    named = grouped.withColumnRenamed("conversation_name", "name").join(
+        _participants(conversations).withColumnRenamed("conversation_name", "name"), "name", "left"
+    )
+    kept = written(filter_bots(named, ignored), "kept-conversations")
+    theirs = broadcast_if_small(kept.select(F.col("name").alias("conversation_name")))
+    shown = _shown(
+        hits.join(theirs, "conversation_name", "left_semi"), conversations, users,
+        MENTIONS_SHOWN if mentions_only else ALL_SHOWN,
+    )
     return Interactions(
         "ok", person,
         messages=label_thread(shown),
-        conversations=filter_bots(named, ignored).orderBy(F.desc("latest_ts_us"), "name"),
+        conversations=kept.orderBy(F.desc("latest_ts_us"), "name"),
         summary=interactions_summary(grouped),
     )

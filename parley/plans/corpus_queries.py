@@ -10,7 +10,7 @@ from parley.plans.registry import query
 
 CORPUS = """SELECT user_name, conversation_name, last_ts_us, ts_us, id, text FROM (SELECT p.*, row_number() OVER (PARTITION BY p.conversation_name ORDER BY ts_us, p.id) AS rn,
     max(ts_us) OVER (PARTITION BY p.conversation_name) AS last_ts_us FROM prose p JOIN prose_dim d ON d.name = p.conversation_name WHERE d.type = 'dm')
-  WHERE rn <= 1000 AND user_name IS NOT NULL AND text <> ''"""
+  WHERE user_name IS NOT NULL AND text <> ''"""
 
 
 def _corpus(spark, sf):
@@ -36,10 +36,10 @@ def chunk_corpus(spark, sf):
 TRANSCRIPTS = """SELECT c.id, c.name AS conversation_name, c.type, concat_ws(chr(10), CASE WHEN c.type = 'channel' THEN concat(chr(10), '=== CHANNEL: ', c.name, ' ===')
     ELSE concat(chr(10), '=== DM: ', coalesce(array_to_string(c.participants, ' & '), ''), ' ===') END, l.lines) AS transcript, l.last_ts_us
   FROM (SELECT id, name, type, participants FROM conversations_dim UNION ALL SELECT concat('p', id), concat('p', name), type, participants FROM prose_dim) c
-  JOIN (SELECT conversation_name, string_agg(CASE WHEN clean_text <> '' THEN concat(coalesce(user_name, 'None'), ': ', substr(clean_text, 1, 200)) END, chr(10) ORDER BY ts_us, id) AS lines, max(last_us) AS last_ts_us
+  JOIN (SELECT conversation_name, string_agg(CASE WHEN clean_text <> '' THEN concat(coalesce(user_name, 'None'), ': ', clean_text) END, chr(10) ORDER BY ts_us, id) AS lines, max(last_us) AS last_ts_us
     FROM (SELECT *, row_number() OVER (PARTITION BY conversation_name ORDER BY ts_us, id) AS rn, max(ts_us) OVER (PARTITION BY conversation_name) AS last_us FROM
       (SELECT id, conversation_name, ts_us, user_name, clean_text FROM messages UNION ALL SELECT id, concat('p', conversation_name), ts_us, user_name, clean_text FROM prose))
-    WHERE rn <= 500 GROUP BY conversation_name) l ON l.conversation_name = c.name"""
+    GROUP BY conversation_name) l ON l.conversation_name = c.name"""
 
 
 def _everyone(spark, sf):

@@ -388,9 +388,9 @@ def hwm_read(spark, sf):
 
 
 @query("hwm_update", MARKS + """SELECT conversation_id, max(last_ts_us) AS last_ts_us FROM (SELECT * FROM marks
-  UNION ALL SELECT conversation_id, ts_us FROM messages WHERE event_id % 3 = 0 AND user_name <> 'U1') GROUP BY conversation_id""")
+  UNION ALL SELECT conversation_id, ts_us FROM messages) GROUP BY conversation_id""")
 def hwm_update(spark, sf):
-    loaded = v.messages(spark, sf, threads=False, clean=False).where("event_id % 3 = 0 and user_name <> 'U1'")
+    loaded = v.messages(spark, sf, threads=False, clean=False)
     return ingest.update_marks(_marks(spark, sf), loaded)
 
 

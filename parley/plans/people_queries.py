@@ -133,18 +133,23 @@ def interactions_all(spark, sf):
 
 BY_CONVERSATION = f"""SELECT conversation_name, min(conversation_type) AS type, count(*) AS interaction_count, max(ts_us) AS latest_ts_us,
   count(*) FILTER (thread_ts_us IS NOT NULL AND is_thread_parent) AS thread_parents, count(*) FILTER (thread_ts_us IS NOT NULL AND NOT is_thread_parent) AS thread_replies
-  FROM ({EVERYTHING}) GROUP BY conversation_name"""
+  FROM ({EVERYTHING.split(" ORDER BY m.ts_us DESC")[0]}) GROUP BY conversation_name"""
+
+
+def _hits(spark, sf):
+    return pe.conversation_hits(_all(spark, sf), v.users(spark, sf), v.PERSON, v.CUTOFF_30D)
+
 
 
 @query("interactions_by_conv", BY_CONVERSATION)
 def interactions_by_conv(spark, sf):
-    return pe.interactions_by_conversation(_everything(spark, sf))
+    return pe.interactions_by_conversation(_hits(spark, sf))
 
 
 @query("interactions_summary", f"""SELECT CAST(coalesce(sum(interaction_count), 0) AS BIGINT) AS interactions_before_filter, count(*) AS conversations_before_filter,
   count(*) FILTER (type = 'dm') AS dms_before_filter, count(*) FILTER (type = 'channel') AS channels_before_filter FROM ({BY_CONVERSATION})""")
 def interactions_summary(spark, sf):
-    return pe.interactions_summary(pe.interactions_by_conversation(_everything(spark, sf)))
+    return pe.interactions_summary(pe.interactions_by_conversation(_hits(spark, sf)))
 
 
 MENTIONED = f"""SELECT m.id, m.conversation_name, m.ts_us, m.user_name, m.clean_text, {DISPLAY} AS display_user_name FROM messages m LEFT JOIN users u ON u.slack_id = m.user_name

@@ -122,7 +122,7 @@ def _gate_sql(term: str, alias: str) -> str:
       CASE WHEN count(*) = 0 THEN 'not_found' WHEN count(*) > 1 AND count(*) FILTER (score = 100) <> 1 THEN 'ambiguous' ELSE 'ok' END AS status,
       coalesce(string_agg(name, '|' ORDER BY rn) FILTER (rn <= 5), '') AS suggestions
       FROM (SELECT *, row_number() OVER (ORDER BY score DESC, name, slack_id) AS rn FROM (SELECT coalesce(name, real_name) AS name, slack_id,
-        {MATCH.format(n=KNOWN, t=low)} AS score FROM users WHERE contains({KNOWN}, '{low}'))) WHERE rn <= 10"""
+        {MATCH.format(n=KNOWN, t=low)} AS score FROM users WHERE contains({KNOWN}, '{low}')))"""
 
 
 @query("user_ambiguity", " UNION ALL ".join(_gate_sql(t, t) for t in ("Customer#000000012", "omer#00000001", "nobody")))

@@ -27,7 +27,7 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = load(spark, sf_dir, "customer").where("c_custkey % 11 <> 3")
+    c = load(spark, sf_dir, "customer")
     return c.selectExpr(
         "concat('U', c_custkey) as slack_id",
         "case when c_custkey % 5 <> 0 then c_name end as name",
@@ -235,7 +235,7 @@ def landing_dir(spark: SparkSession, sf_dir: str) -> str:
 SQL = f"""WITH RECURSIVE
 users AS (SELECT concat('U', c_custkey) AS slack_id, CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS name,
     concat('cust', c_custkey) AS display_name, CASE WHEN c_custkey % 7 <> 0 THEN c_name END AS real_name,
-    c_custkey % 37 = 0 AS is_bot FROM customer WHERE c_custkey % 11 <> 3),
+    c_custkey % 37 = 0 AS is_bot FROM customer),
 channels AS (SELECT concat('C', n_nationkey) AS slack_id, lower(n_name) AS name, n_nationkey % 4 = 0 AS is_private FROM nation),
 ev AS (SELECT event_id, epoch_us(ts) AS ts_us, user_id, event_type, event_id % 40 AS k,
     CASE WHEN event_type <> 'view' THEN event_id - (event_id // 40) % 4 * 40 END AS parent_id FROM events),

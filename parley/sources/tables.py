@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from parley.functions.times import date_text
-from parley.operators.keyed import latest_per_key
+from parley.operators.keyed import broadcast_if_small, latest_per_key
 
 MESSAGE_PARTITIONS = ("conversation_type", "dt")
 
@@ -57,24 +57,41 @@ def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence[C
     """Old and new rows together, last write per key.
 
     `order` ranks the new rows among themselves (latest first); any new row beats
-    an old one. Columns missing from `new` become NULL, as only the listed
+    an old one. Old rows are neither ranked nor, when the new keys are few, moved. Columns missing from `new` become NULL, as only the listed
     columns are replaced by a fresh row.
     """
-    both = old.withColumn("_gen", F.lit(0)).unionByName(
-        new.withColumn("_gen", F.lit(1)), allowMissingColumns=True
+    latest = latest_per_key(new, key, order)
+    keys = broadcast_if_small(latest.select(*key))
+    return old.join(keys, list(key), "left_anti").unionByName(latest, allowMissingColumns=True).select(
+        *old.columns, *[c for c in latest.columns if c not in old.columns]
     )
-    return latest_per_key(both, key, [F.desc("_gen"), *order]).drop("_gen")
 
 
 def _swap_in(spark: SparkSession, staged: str, path: str, partitions: Sequence[str]) -> None:
-    """Replace partitions of `path` by the staged ones. Safe to repeat."""
-    (
-        spark.read.parquet(staged)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partitions)
-        .parquet(path)
-    )
+    """Move the staged partition folders into place. Safe to repeat while the stage exists.
+
+    A folder leaves the stage only by the rename that puts it in place, so whatever
+    a lost driver left undone is still there. An empty stage moves nothing.
+    """
+    fs, source = _fs(spark, staged)
+    _, target = _fs(spark, path)
+    new_path = spark._jvm.org.apache.hadoop.fs.Path
+
+    def move(here, there, depth: int) -> None:
+        for child in fs.listStatus(here):
+            name = child.getPath().getName()
+            if not child.isDirectory() or "=" not in name:
+                continue
+            to = new_path(there, name)
+            if depth > 1:
+                move(child.getPath(), to, depth - 1)
+            else:
+                fs.mkdirs(there)
+                fs.delete(to, True)
+                if not fs.rename(child.getPath(), to):
+                    raise OSError(f"could not move {child.getPath()} to {to}")
+
+    move(source, target, len(partitions))
     drop_path(spark, staged)
 
 

@@ -74,11 +74,13 @@ def test_corpus_counts_all_authors_before_the_cut(talk):
 
 def test_transcripts(talk):
     m, conv = talk
-    got = {r["id"]: r["transcript"] for r in co.transcripts(m, conv, per_conversation=4).collect()}
+    got = {r["id"]: r["transcript"] for r in co.transcripts(m, conv, per_conversation=4, line_chars=200).collect()}
     assert got["D1"] == "\n=== DM: Ann & Bob ===\nU2: t0\nU1: t1\nU2: t2"
     assert got["C1"] == "\n=== CHANNEL: dev ===\nNone: " + "y" * 200
     assert got["D2"] == "\n=== DM:  ===\nU1: last" and got["C2"] == "\n=== CHANNEL: mute ==="
     assert "D3" not in got
+    whole = {r["id"]: r["transcript"] for r in co.transcripts(m, conv).collect()}
+    assert len(whole["C1"]) > len(got["C1"]) and whole["D1"].startswith(got["D1"]) and len(whole["D1"]) > len(got["D1"])
 
 
 @pytest.mark.parametrize("budget", [5, 30, 60, 200, 270, 5000])

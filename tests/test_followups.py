@@ -104,10 +104,14 @@ def test_interactions_match_a_full_search(chat, people, mentions_only):
     else:
         theirs = {r[1] for r in rows if wrote(r)}
         want = [r for r in rows if r[2] > cut and r[1] in theirs]
+    hits = want
     want = sorted(want, key=lambda r: (-r[2], r[0]))[: 200 if mentions_only else 500]
     assert got.status == "ok" and sorted(r["id"] for r in got.messages.collect()) == sorted(r[0] for r in want)
     s = got.summary.first()
-    assert s["interactions_before_filter"] == len(want) and s["conversations_before_filter"] == len({r[1] for r in want})
+    assert s["interactions_before_filter"] == len(hits) and s["conversations_before_filter"] == len({r[1] for r in hits})
+    assert {(r["name"], r["interaction_count"]) for r in got.conversations.collect()} == {
+        (c, sum(r[1] == c for r in hits)) for c in {r[1] for r in hits}
+    }
     # Two conversations share a name: rows are not doubled, the known participants are kept.
     d1 = [r for r in got.messages.collect() if r["conversation_name"] == "DM: D1"]
     assert all(r["participants"] == ["x"] for r in d1)

@@ -100,6 +100,37 @@ def run(spark, people, landing_dir, store):
     load.stream_load(spark, str(landing_dir), store, dims, users, channels, 5).awaitTermination()
 
 
+def test_plain_and_bad_batches_keep_the_load_going(spark, people, tmp_path):
+    """A batch without files, links or reactions, and one of bad rows only, with a restart after each."""
+    store = load.Store(str(tmp_path / "t"))
+    steps = [
+        ([message(1, "plain")], 1, 0), ([{"conversation_id": "C2", "ts": "abc"}, {"ts": "1.0", "text": "lost?"}], 1, 2),
+        ([message(100, "other day")], 2, 2), ([message(1, "with file", files=[{"name": "f"}])], 2, 2),
+        ([message(1, "plain again")], 2, 2),
+    ]
+    for i, (rows, stored, bad) in enumerate(steps):
+        land(tmp_path / "in", f"{i}.json", rows)
+        run(spark, people, tmp_path / "in", store)
+        assert load.read_messages_table(spark, store).count() == stored
+        assert bad == 0 or spark.read.json(store.path("quarantine")).count() == bad
+    texts = {r["clean_text"] for r in load.read_messages_table(spark, store).collect()}
+    assert texts == {"plain again", "other day"}
+    reasons = {r["reason"] for r in spark.read.json(store.path("quarantine")).collect()}
+    assert reasons == {"ts is not a number", "missing conversation_id"}
+    marks = dict(tuple(r) for r in spark.read.parquet(store.path("sync_state")).collect())
+    assert marks == {"C2": 1700360000000000}
+    assert not [n for n in os.listdir(store.root) if n.endswith("__staged") or n.startswith("_batch")]
+
+
+def test_upsert_ranks_new_rows_only(spark):
+    old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "id int, v string, seq int")
+    new = spark.createDataFrame([(2, "c", 2), (2, "d", 3), (3, "e", 1)], "id int, v string, seq int")
+    got = tables.upsert(old, new, ["id"], [F.desc("seq")])
+    assert sorted(map(tuple, got.collect())) == [(1, "a", 1), (2, "d", 3), (3, "e", 1)]
+    part = tables.upsert(old, new.drop("v"), ["id"], [F.desc("seq")])
+    assert sorted(map(tuple, part.collect())) == [(1, "a", 1), (2, None, 3), (3, None, 1)]
+
+
 def tables_of(spark, store):
     frames = [load.read_messages_table(spark, store)] + [
         spark.read.parquet(store.path(t)) for t in ("attachments", "reactions", "sync_state", "conversations")]

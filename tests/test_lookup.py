@@ -98,6 +98,8 @@ def test_activity_answers(spark, people, dims):
         ("p", "thread_parent", "Ann"), ("r1", "thread_reply", "Cy Real"), ("r2", "thread_reply", None),
         ("q", "message", "U9"), ("p0", "thread_parent", "Ann")]
     assert [r["display_name"] for r in ok.participants.collect()] == ["Ann", "Cy Real", "U9"]
+    by_id = ask("C2")
+    assert by_id.status == "ok" and by_id.resolved_name == "dev" and by_id.summary.first()["total_messages"] == 5
     assert ask("dev-ops").status == "no_activity"
     assert ask("rphan").resolved_name == "orphans"
     assert ask("evv").status == "not_found" and ask("ops-dev").suggestions == []
