@@ -157,5 +157,9 @@ def judged(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULE
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows that pass, with their own columns only."""
-    out = free_name(docs.columns, "_judged")
-    return judged(docs, text_col, rules, out).where(F.col(out)["kept"]).drop(out)
+    out, kept = free_name(docs.columns, "_judged"), free_name(docs.columns, "_kept")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # Exploded, the verdict is a plain column: a filter on the expression itself would be moved
+    # below the projections, where all measures are worked out again for each of its uses.
+    rows = judged(docs, text_col, rules, out).select(*columns, F.explode(F.array(F.col(out)["kept"])).alias(kept))
+    return rows.where(F.col(kept)).drop(kept)
