@@ -8,15 +8,19 @@ from parley.functions.names import dm_name
 from parley.functions.text import blank_to_null
 from parley.operators.keyed import broadcast_if_small
 from parley.operators.resolve import name_book, resolve_ids
+from parley.session import written
 
 # Fixed value: id of the service's own bot user.
 SERVICE_BOT_ID = "USLACKBOT"
 
 
 def rename_conversations(messages: DataFrame, renames: DataFrame) -> DataFrame:
-    """Replace old conversation names by new ones; renames are unique by old name."""
+    """Replace old conversation names by new ones; renames are unique by old name.
+
+    They are written out first: finding them may have read all messages.
+    """
     named = messages.join(
-        broadcast_if_small(renames), F.col("conversation_name") == F.col("old_name"), "left"
+        broadcast_if_small(written(renames, "renames")), F.col("conversation_name") == F.col("old_name"), "left"
     )
     return named.withColumn("conversation_name", F.coalesce("new_name", "conversation_name")).drop(
         "old_name", "new_name"
