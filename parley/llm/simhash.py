@@ -74,14 +74,15 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [fingerprint(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+        columns = [batch.column("doc_id"), pa.array(found, pa.int64()), batch.column("text_hash")]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "text_hash"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (doc_id, fp) per input row."""
-    texts = keyed_texts(docs, id_col, text_col)
+    """One row (doc_id, fp, text_hash) per input row."""
+    texts = keyed_texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(_fingerprints, f"doc_id {kind}, fp bigint")
+    return texts.mapInArrow(_fingerprints, f"doc_id {kind}, fp bigint, text_hash bigint")
 
 
 def gray_rank(fp: Column) -> Column:
@@ -284,8 +285,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, fp (signed), fingerprint (16 hex digits), component_id."""
+def _in_components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: doc_id, fp, text_hash, root (smallest fp of the component), component_id."""
     prints = written(fingerprints(docs, id_col, text_col), "prints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
     cut = written(blocks(nodes), "blocks")
@@ -293,24 +294,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = nodes.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = written(rooted.join(smallest, "root").select("fp", "component_id"), "components")
-    return prints.join(named, "fp").select(
+    named = written(rooted.join(smallest, "root").select("fp", "root", "component_id"), "components")
+    return prints.join(named, "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, fp (signed), fingerprint (16 hex digits), component_id."""
+    return _in_components(docs, id_col, text_col).select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without near-duplicates of a smaller id; of repeated rows one.
+    """One row of each component: that of the smallest id, or of a hash where none has an id.
 
-    Documents without an id stay unless their component has one; among themselves
-    only equal texts count as copies.
+    A row is known by its id and the hash of its text, since ids may repeat with
+    other texts or be missing; among rows equal in both any one stays.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    keep_id = free_name(docs.columns, "_keep")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(keep_id)).distinct()
-    same = F.col(id_col).eqNullSafe(F.col(keep_id))
-    rows = docs.join(kept, same, "left_semi")
-    rank = free_name(docs.columns, "_rank")
-    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("-"), F.xxhash64(F.col(text_col)).cast("string")))
-    order = W.partitionBy(key).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    return rows.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
+    found = _in_components(docs, id_col, text_col)
+    names = [free_name(docs.columns, n) for n in ("_keep", "_hash", "_root", "_rank")]
+    keep_id, text_hash, root, rank = names
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id").alias(keep_id), F.col("text_hash").alias(text_hash), F.col("root").alias(root)
+    ).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(keep_id)) & (F.xxhash64(F.col(text_col)) == F.col(text_hash))
+    order = W.partitionBy(root).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    rows = docs.join(kept, same).withColumn(rank, F.row_number().over(order))
+    return rows.where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -123,3 +123,15 @@ def test_one_of_each_group_stays(odd_documents):
     assert kept.columns == odd_documents.columns
     ids = [r.doc_id for r in kept.collect()]
     assert 1 in ids and 2 not in ids and 3 not in ids and 6 not in ids and ids.count(8) == 1 and ids.count(5) == 1
+
+
+def test_rows_are_kept_by_id_and_text(shared):
+    """One id on two texts (one of them a copy of a smaller id), and NULL ids in components with and without an id."""
+    rng = random.Random(3)
+    alone, copied, nameless, near_id = (" ".join(f"w{rng.getrandbits(30)}" for _ in range(80)) for _ in range(4))
+    for extra in range(3):  # whichever of the two texts a hash puts first
+        rows = [(1, copied, extra), (7, alone, extra), (7, copied, extra), (None, nameless, extra), (None, nameless, extra + 1),
+                (None, near_id, extra), (9, near_id, extra), (None, copied, extra)]
+        kept = simhash.one_of_each(shared.createDataFrame(rows, "doc_id long, text string, extra long"))
+        found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+        assert found == sorted([(1, copied), (7, alone), (9, near_id), (None, nameless)], key=str)
