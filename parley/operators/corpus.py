@@ -11,6 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from parley.functions.text import body
+from parley.functions.times import DAY_US
 from parley.operators.keyed import first_n_per_group
 from parley.session import written
 
@@ -256,27 +257,21 @@ def chunk_corpus(corpus: DataFrame, max_length: int = CHUNK_CHARS) -> DataFrame:
     )
 
 
-def transcripts(
-    messages: DataFrame, conversations: DataFrame, per_conversation: int | None = None,
-    order: str = "oldest", line_chars: int | None = None,
+def _lines(
+    messages: DataFrame, per_conversation: int | None, order: str, line_chars: int | None
 ) -> DataFrame:
-    """Per conversation a header and `user: text` lines of its first messages.
-
-    `per_conversation` and `line_chars` shorten transcripts only when they are given.
-    Conversations without messages are left out.
-    """
-    first = _first_messages(messages, per_conversation, order)
+    """(name, ts_us, id, line) per message, `user: text`; the line is NULL without a text."""
     said = body(F.col("clean_text"), F.col("text"))
     if line_chars is not None:
         said = F.substring(said, 1, line_chars)
     line = F.concat(F.coalesce("user_name", F.lit("None")), F.lit(": "), said)
-    # collect_list skips the NULL lines of messages without text.
-    lines = F.transform(
-        F.array_sort(F.collect_list(F.when(line.isNotNull(), F.struct("ts_us", "id", line.alias("line"))))),
-        lambda s: s["line"],
+    return _first_messages(messages, per_conversation, order).select(
+        F.col("conversation_name").alias("name"), "ts_us", "id", line.alias("line")
     )
-    bodies = first.groupBy(F.col("conversation_name").alias("name")).agg(lines.alias("_lines"))
-    header = F.when(
+
+
+def _header():
+    return F.when(
         F.col("type") == "channel", F.concat(F.lit("\n=== CHANNEL: "), "name", F.lit(" ==="))
     ).otherwise(
         F.concat(
@@ -285,9 +280,73 @@ def transcripts(
             F.lit(" ==="),
         )
     )
-    return conversations.join(bodies, "name").select(
+
+
+def _joined(lines: str = "line"):
+    """Aggregate: the lines by time, joined by line breaks."""
+    ordered = F.array_sort(F.collect_list(F.when(F.col(lines).isNotNull(), F.struct("ts_us", "id", lines))))
+    return F.array_join(F.transform(ordered, lambda s: s[lines]), "\n")
+
+
+def _line_blocks(lines: DataFrame, block_chars: int) -> DataFrame:
+    """(name, block, text): the lines of each block of `block_chars` characters joined.
+
+    Offsets are summed per day first; no task orders a whole conversation.
+    """
+    sized = lines.where("line is not null").withColumn("_size", (F.char_length("line") + 1).cast("bigint")).withColumn(
+        "_day", F.coalesce(F.floor(F.col("ts_us") / F.lit(DAY_US)).cast("bigint"), F.lit(-1 << 62))
+    )
+    day = ["name", "_day"]
+    earlier = W.partitionBy("name").orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
+    starts = sized.groupBy(*day).agg(F.sum("_size").alias("_day_size")).select(
+        *day, F.coalesce(F.sum("_day_size").over(earlier), F.lit(0)).alias("_day_start")
+    )
+    inside = W.partitionBy(*day).orderBy("ts_us", "id", "line").rowsBetween(W.unboundedPreceding, -1)
+    start = F.col("_day_start") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
+    return (
+        sized.join(starts, day).withColumn("block", F.floor(start / F.lit(block_chars)).cast("bigint"))
+        .groupBy("name", "block").agg(_joined().alias("text"))
+    )
+
+
+def transcript_blocks(
+    messages: DataFrame, conversations: DataFrame, per_conversation: int | None = None,
+    order: str = "oldest", line_chars: int | None = None, block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """Transcripts as rows (id, conversation_name, type, block, text) in place of one string each.
+
+    A line belongs to the block that its character offset among the lines falls
+    into, so a block holds at most `block_chars` characters and the rest of its
+    last line. The header opens block 0; block numbers may have gaps behind long
+    lines. The blocks of a conversation joined by line breaks are its transcript.
+    """
+    lines = _lines(messages, per_conversation, order, line_chars)
+    # Without any line there is no block; the header alone is block 0 then.
+    rows = conversations.join(lines.select("name").distinct(), "name").join(
+        _line_blocks(lines, block_chars), "name", "left"
+    ).withColumn("block", F.coalesce("block", F.lit(0)))
+    return rows.select(
+        "id", F.col("name").alias("conversation_name"), "type", "block",
+        F.when(F.col("block") == 0, F.concat_ws("\n", _header(), "text")).otherwise(F.col("text")).alias("text"),
+    )
+
+
+def transcripts(
+    messages: DataFrame, conversations: DataFrame, per_conversation: int | None = None,
+    order: str = "oldest", line_chars: int | None = None,
+) -> DataFrame:
+    """Per conversation a header and `user: text` lines of its first messages.
+
+    `per_conversation` and `line_chars` shorten transcripts only when they are given.
+    Conversations without messages are left out. Each is one string in one row;
+    `transcript_blocks` gives conversations that do not fit a row.
+    """
+    lines = _lines(messages, per_conversation, order, line_chars)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda s: s["text"])
+    bodies = _line_blocks(lines, BLOCK_CHARS).groupBy("name").agg(F.array_join(texts, "\n").alias("_text"))
+    return conversations.join(lines.select("name").distinct(), "name").join(bodies, "name", "left").select(
         "id", F.col("name").alias("conversation_name"), "type",
-        F.array_join(F.concat(F.array(header), F.col("_lines")), "\n").alias("transcript"),
+        F.concat_ws("\n", _header(), "_text").alias("transcript"),
     )
 
 
@@ -299,7 +358,8 @@ def transcript_budget(
 
     Conversations come newest first. Every one of them takes at least a header
     and a joining line break, which bounds how many can fit: only those are
-    written out, and the running sum runs over that short list.
+    measured, and the running sum runs over that short list. Of the conversations
+    that fit, only lines that begin inside the budget are joined.
     """
     can_fit = budget // (SHORTEST_TRANSCRIPT + 1) + 1
     newest = written(
@@ -308,23 +368,33 @@ def transcript_budget(
         "newest",
     )
     names = newest.select(F.col("name").alias("conversation_name")).distinct()
-    texts = written(
-        transcripts(
-            messages.join(F.broadcast(names), "conversation_name", "left_semi"),
-            newest, per_conversation, order, line_chars,
-        ),
-        "transcripts",
+    lines = _lines(
+        messages.join(F.broadcast(names), "conversation_name", "left_semi"), per_conversation, order, line_chars
     )
-    sizes = texts.select("id", F.char_length("transcript").alias("_size")).join(
-        newest.select("id", "last_ts_us"), "id"
+    size = F.coalesce(F.char_length("line") + 1, F.lit(0)).cast("bigint")
+    sizes = newest.join(lines.groupBy("name").agg(F.sum(size).alias("_lines_size")), "name").select(
+        "id", "name", "last_ts_us", _header().alias("_header"), "_lines_size"
     )
     # At most `can_fit` rows, so one task may order them.
     before = W.orderBy(F.desc("last_ts_us"), "id").rowsBetween(W.unboundedPreceding, -1)
-    placed = sizes.withColumn("start", F.coalesce(F.sum(F.col("_size") + 1).over(before), F.lit(0)))
-    kept = placed.where(F.col("start") < budget).select("id", "start")
-    return texts.join(F.broadcast(kept), "id").select(
-        "id", "conversation_name", "start",
-        F.substring(F.col("transcript"), F.lit(1), (F.lit(budget) - F.col("start")).cast("int")).alias("part"),
+    placed = sizes.withColumn(
+        "start", F.coalesce(F.sum(F.char_length("_header") + F.col("_lines_size") + 1).over(before), F.lit(0))
+    )
+    kept = written(placed.where(F.col("start") < budget), "kept")
+    # A line takes at least three characters with its line break, so later ones begin beyond the budget.
+    fitting = lines.where("line is not null").join(F.broadcast(kept.select("name").distinct()), "name", "left_semi")
+    fitting = first_n_per_group(
+        fitting, ["name"], [F.asc("ts_us"), F.asc("id"), F.asc("line")], ["id"], budget // 3 + 1
+    )
+    inside = W.partitionBy("name").orderBy("ts_us", "id", "line").rowsBetween(W.unboundedPreceding, -1)
+    fitting = fitting.withColumn("_at", F.coalesce(F.sum(F.char_length("line") + 1).over(inside), F.lit(0)))
+    bodies = (
+        fitting.where(F.col("_at") < budget).withColumn("line", F.substring("line", 1, budget))
+        .groupBy("name").agg(_joined().alias("_text"))
+    )
+    return kept.join(bodies, "name", "left").select(
+        "id", F.col("name").alias("conversation_name"), "start",
+        F.substring(F.concat_ws("\n", "_header", "_text"), F.lit(1), (F.lit(budget) - F.col("start")).cast("int")).alias("part"),
     )
 
 

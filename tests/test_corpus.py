@@ -90,3 +90,28 @@ def test_budget_is_a_prefix_of_the_joined_text(talk, budget):
     want = "\n".join(whole[i] for i in ("D2", "C2", "C1", "D1"))[:budget]
     parts = co.transcript_budget(m, conv, budget)
     assert co.joined_transcript(parts, budget).first()["transcript"] == want
+
+
+@pytest.mark.parametrize("block_chars", [1, 7, 40, 10_000])
+def test_blocks_joined_are_the_transcripts(talk, block_chars):
+    m, conv = talk
+    whole = {r["id"]: r["transcript"] for r in co.transcripts(m, conv).collect()}
+    longest = max(len(line) for t in whole.values() for line in t.split("\n"))
+    blocks = {}
+    for r in co.transcript_blocks(m, conv, block_chars=block_chars).orderBy("block").collect():
+        blocks.setdefault(r["id"], []).append(r["text"])
+    assert {i: "\n".join(t) for i, t in blocks.items()} == whole
+    assert all(len(t) <= block_chars + longest for parts in blocks.values() for t in parts[1:])
+
+
+def test_budget_joins_only_lines_inside_it(talk, monkeypatch):
+    """No whole transcript is built on the way to the budgeted part."""
+    m, conv = talk
+    want = co.transcripts(m, conv).where("id = 'D1'").first()["transcript"][:30]
+
+    def whole(*args, **options):
+        raise AssertionError("a whole transcript was built")
+
+    monkeypatch.setattr(co, "transcripts", whole)
+    part = co.transcript_budget(m, conv.where("id = 'D1'"), 30).first()["part"]
+    assert part == want and len(part) == 30
