@@ -70,7 +70,7 @@ def main() -> None:
         "followup_context": lambda: followups.followup_context(
             m, followups.followups(m, dims, users, owner, v.AS_OF_US, ordered=False), users, context_from
         ),
-        "thread_topk": lambda: ingest.threads_to_backfill(m),
+        "thread_topk": lambda: ingest.threads_to_backfill(m, 10),
         "user_corpus": lambda: corpus.user_corpus(m, dims),
         "chunk_corpus": lambda: corpus.chunk_corpus(corpus.user_corpus(m, dims)),
         "transcripts": lambda: corpus.transcripts(m, dims),

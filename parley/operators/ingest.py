@@ -131,9 +131,11 @@ def expand_threads(history: DataFrame, thread_rows: DataFrame) -> DataFrame:
     return history.unionByName(replies.select(*history.columns))
 
 
-def threads_to_backfill(messages: DataFrame, per_conversation: int = 10) -> DataFrame:
-    """Newest threads with replies of each conversation."""
+def threads_to_backfill(messages: DataFrame, per_conversation: int | None = None) -> DataFrame:
+    """Threads with replies; only the newest of each conversation when a number is given."""
     parents = messages.where(F.col("is_thread_parent") & (F.col("reply_count") > 0))
+    if per_conversation is None:
+        return parents
     return first_n_per_group(
         parents, ["conversation_name"], [F.desc("ts_us"), F.asc("id")], ["id"], per_conversation
     )

@@ -428,6 +428,12 @@ def thread_expand(spark, sf):
 @query("thread_topk", """SELECT id, conversation_name, ts_us, reply_count FROM (SELECT *, row_number() OVER (PARTITION BY conversation_name ORDER BY ts_us DESC, id) AS rn
   FROM messages WHERE is_thread_parent AND reply_count > 0) WHERE rn <= 10""")
 def thread_topk(spark, sf):
+    m = v.messages(spark, sf, clean=False)
+    return ingest.threads_to_backfill(m, 10).select("id", "conversation_name", "ts_us", "reply_count")
+
+
+@query("thread_backfill", "SELECT id, conversation_name, ts_us, reply_count FROM messages WHERE is_thread_parent AND reply_count > 0")
+def thread_backfill(spark, sf):
     m = v.messages(spark, sf, clean=False)
     return ingest.threads_to_backfill(m).select("id", "conversation_name", "ts_us", "reply_count")
 

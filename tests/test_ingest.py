@@ -215,3 +215,11 @@ def test_outputs(spark, tmp_path):
     tables.write_json(df, str(tmp_path / "js"))
     assert spark.read.json(str(tmp_path / "js")).first()["t"] == "a\nb"
     assert spark.read.text(str(tmp_path / "txt"), wholetext=True).first()[0] == "a\nb\n"
+
+
+def test_backfill_names_all_threads_unless_a_number_is_given(spark):
+    rows = [(f"m{k}", "hot" if k < 40 else "other", k, True, int(k != 3)) for k in range(45)]
+    m = spark.createDataFrame(rows, "id string, conversation_name string, ts_us long, is_thread_parent boolean, reply_count int")
+    assert {r["id"] for r in ingest.threads_to_backfill(m).collect()} == {f"m{k}" for k in range(45) if k != 3}
+    newest = {r["id"] for r in ingest.threads_to_backfill(m, 2).collect()}
+    assert newest == {"m39", "m38", "m44", "m43"}
