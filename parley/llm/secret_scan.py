@@ -4,15 +4,19 @@ Three fixed patterns (assigned values, access keys, long hexadecimal runs) give
 base findings. Their values are labelled credentials: a bounded, hash-chosen sample
 of each kind is laid out as a prefix tree, and states whose observed endings and
 continuations do not differ significantly (Hoeffding bound) are merged, first state
-first, into a deterministic automaton with probabilities. Ordinary words of the
-corpus give one more automaton. Every run of credential letters of `CANDIDATE`
-characters or more that holds a digit and lies outside the base findings is then
-scored: it becomes a finding when under some kind its mean log likelihood lies no
-more than `DEVIATIONS` standard deviations (for its length) below that of the kind's
-own examples, and beats the ordinary automaton by `MARGIN` per character.
-
-The texts are read once; what the patterns find is written, the sample is taken
-from it, and all candidates are scored against the broadcast automata.
+first, into a deterministic automaton with probabilities. Ordinary runs of the
+corpus, taken outside the base findings, give one more automaton. Every run of
+credential letters, also what remains of it beside base findings, is then scored as
+a whole, without outer punctuation, and cut at `=` and `/`: the first of these that
+passes becomes a finding. It passes when under some kind its mean log likelihood
+lies no more than `DEVIATIONS` standard deviations (for its length) below that of
+the kind's own examples, and beats what is ordinary: by `MARGIN` per character, or
+by `EVIDENCE` in all when it has fewer than `LONG` characters. Ordinary is the
+better of that automaton and, for runs of digits or letters only (short ones of
+capitals and digits too), of even draws from these, so numbers and capitals do not pass for lack of examples.
+
+The sample is taken from a first reading of the texts; a second one scores their
+runs against the broadcast automata.
 
 Defined results: NULL texts count as empty and have no findings; a kind without
 `LEAST_EXAMPLES` different examples infers no automaton, so nothing is added for
@@ -43,9 +47,13 @@ LEAST_EXAMPLES = 10
 ALPHA = 0.01
 SMOOTHING = 0.05
 MARGIN = 0.5
+EVIDENCE = 20.0
+LONG = 16
 DEVIATIONS = 3.0
 LEAST_SPREAD = 0.1
-CANDIDATE = 16
+ALPHABET = 66
+#: Runs whose answer a task remembers.
+KNOWN_RUNS = 200_000
 MARK = "[SECRET]"
 
 #: The base patterns and the order of kinds.
@@ -58,9 +66,15 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_WORDS = ("passw", "secret", "token", "api")
 ASSIGN_LEAST = 8
 
-CANDIDATES = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % CANDIDATE)
-DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
-WORD = re.compile(r"[^\W\d_]{4,}")
+RUNS = re.compile("[A-Za-z0-9+/_.=-]+")
+PUNCTUATION = "+/_.=-"
+CUTS = re.compile("[^=/]+")
+#: Runs of one kind of characters (short ones also of capitals and digits, as in names of
+#: products), and the log likelihood of each of them in even draws (with an end).
+EVEN = tuple(
+    (re.compile(letters).fullmatch, -math.log(n + 1))
+    for letters, n in (("[0-9]+", 10), ("[a-z]+", 26), ("[A-Z]+", 26), ("[A-Za-z]+", 52), ("[A-Z0-9]{1,%d}" % (LONG - 1), 36))
+)
 
 
 @dataclass(frozen=True)
@@ -86,16 +100,44 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 
-def candidate_spans(text: str, base: list[Span]) -> list[Span]:
-    """Runs of credential letters that could be a secret and touch no base finding."""
-    found = []
-    for m in CANDIDATES.finditer(text):
-        run = m.group()
-        if not DIGIT.search(run) or not LETTER.search(run):
-            continue
-        if not any(s.start < m.end() and m.start() < s.end for s in base):
-            found.append(Span("format", m.start(), m.end(), run))
-    return found
+def runs_beside(text: str, base: list[Span]) -> Iterator[tuple[int, str]]:
+    """(start, run): the runs of credential letters without what base findings cover."""
+    if not base:
+        yield from ((m.start(), m.group()) for m in RUNS.finditer(text))
+        return
+    at = 0
+    for span in [*base, Span("", len(text), len(text), "")]:
+        if span.start > at:
+            yield from ((m.start(), m.group()) for m in RUNS.finditer(text, at, span.start))
+        at = max(at, span.end)
+
+
+def _trimmed(start: int, run: str) -> tuple[int, str]:
+    inner = run.lstrip(PUNCTUATION)
+    return start + len(run) - len(inner), inner.rstrip(PUNCTUATION)
+
+
+def secrets_in(run: str, accepts: Callable[[str], bool]) -> list[tuple[int, int]]:
+    """Places of the run that pass: all of it, all without outer punctuation, or pieces."""
+    at, inner = _trimmed(0, run)
+    if not inner:
+        return []
+    if accepts(run):
+        return [(0, len(run))]
+    if inner != run and accepts(inner):
+        return [(at, at + len(inner))]
+    cut = [_trimmed(at + m.start(), m.group()) for m in CUTS.finditer(inner)]
+    if len(cut) == 1:
+        return []
+    return [(start, start + len(piece)) for start, piece in cut if piece and accepts(piece)]
+
+
+def format_spans(text: str, base: list[Span], formats: Formats) -> list[Span]:
+    """Runs, or pieces of them, that look like a secret and lie outside the base findings."""
+    return [
+        Span("format", start + a, start + b, run[a:b])
+        for start, run in runs_beside(text, base) for a, b in formats.secrets(run)
+    ]
 
 
 @dataclass
@@ -111,6 +153,8 @@ class Automaton:
 
     def __init__(self, examples: list[str], alpha: float = ALPHA):
         self.states = [State()]
+        self.steps: list[dict[str, tuple[float, int]]] = []
+        self.unseen: list[tuple[float, int]] = []
         parent: list[tuple[int, str]] = [(-1, "")]
         for text in sorted(examples):
             at = 0
@@ -186,7 +230,7 @@ class Automaton:
             for s in (self.states[k] for k in kept)
         ]
 
-    def scores(self, text: str, alphabet: int = 66) -> list[float]:
+    def scores(self, text: str, alphabet: int = ALPHABET) -> list[float]:
         """Log likelihood of each character along its path."""
         at, found = 0, []
         for letter in text:
@@ -195,6 +239,22 @@ class Automaton:
             at = state.to.get(letter, 0)
         return found
 
+    def reaches(self, text: str, least: float) -> float | None:
+        """Log likelihood of the text, None as soon as it falls below `least`."""
+        if not self.steps:
+            self.steps = [
+                {x: (math.log((n + SMOOTHING) / (s.count + SMOOTHING * (ALPHABET + 1))), s.to.get(x, 0)) for x, n in s.seen.items()}
+                for s in self.states
+            ]
+            self.unseen = [(math.log(SMOOTHING / (s.count + SMOOTHING * (ALPHABET + 1))), 0) for s in self.states]
+        at, total, steps, unseen = 0, 0.0, self.steps, self.unseen
+        for letter in text:
+            step, at = steps[at].get(letter) or unseen[at]
+            total += step
+            if total < least:
+                return None
+        return total
+
     def score(self, text: str) -> float:
         """Mean log likelihood per character."""
         return fmean(self.scores(text)) if text else 0.0
@@ -206,6 +266,7 @@ class Formats:
 
     kinds: list[tuple[Automaton, float, float]]
     ordinary: Automaton | None
+    known: dict[str, list[tuple[int, int]]] = field(default_factory=dict)
 
     @staticmethod
     def fit(examples: dict[str, list[str]], ordinary: list[str]) -> Formats:
@@ -219,20 +280,42 @@ class Formats:
         return Formats(kinds, Automaton(ordinary) if ordinary else None)
 
     def accepts(self, run: str) -> bool:
-        usual = self.ordinary.score(run) if self.ordinary else -math.inf
+        size, usual = len(run), None
         for automaton, mean, spread in self.kinds:
-            score = automaton.score(run)
-            if score >= mean - DEVIATIONS * max(spread, LEAST_SPREAD) / math.sqrt(len(run)) and score >= usual + MARGIN:
+            score = automaton.reaches(run, size * mean - DEVIATIONS * max(spread, LEAST_SPREAD) * math.sqrt(size))
+            if score is None:
+                continue
+            if usual is None:
+                usual = size * self.usual(run)
+            if score >= usual + (MARGIN * size if size >= LONG else EVIDENCE):
                 return True
         return False
 
+    def usual(self, run: str) -> float:
+        """Mean log likelihood per character of the run as an ordinary one."""
+        even = next((p for matches, p in EVEN if matches(run)), -math.inf)
+        return max(even, self.ordinary.score(run) if self.ordinary else -math.inf)
+
+    def secrets(self, run: str) -> list[tuple[int, int]]:
+        """`secrets_in` the run; answers for runs of common length are kept, as words come again."""
+        if not self.kinds:
+            return []
+        found = self.known.get(run)
+        if found is None:
+            found = secrets_in(run, self.accepts)
+            if len(run) <= 64:
+                if len(self.known) >= KNOWN_RUNS:
+                    self.known.clear()
+                self.known[run] = found
+        return found
+
 
 _SPANS = T.ArrayType(T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()),
     T.StructField("end", T.IntegerType()), T.StructField("value", T.StringType()),
 ]))
 _FOUND = [
-    T.StructField("base", _SPANS), T.StructField("candidates", _SPANS),
+    T.StructField("base", _SPANS),
     T.StructField("ordinary", T.ArrayType(T.StringType())),
 ]
 _LISTED = [
@@ -241,28 +324,33 @@ _LISTED = [
 ]
 
 
-def _ordinary(text: str) -> list[str]:
-    """A few words from places all over the text."""
-    found = (WORD.search(text, len(text) * k // 3) for k in range(3))
-    return [m.group()[:EXAMPLE_CHARS] for m in found if m]
+def _ordinary(text: str, base: list[Span]) -> list[str]:
+    """A few runs from places all over the text, outside the base findings."""
+    found = []
+    for k in range(3):
+        # From a blank on, so that no run is met in its middle.
+        at = len(text) * k // 3
+        m = RUNS.search(text, text.find(" ", at) + 1 if at else 0)
+        if m and not any(s.start < m.end() and m.start() < s.end for s in base):
+            found.append(m.group()[:EXAMPLE_CHARS])
+    return found
 
 
 def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, base, candidates, ordinary) per document."""
+    """(doc_id, base, ordinary) per document."""
     texts = keyed_texts(docs, id_col, text_col)
     schema = T.StructType([T.StructField("doc_id", texts.schema["doc_id"].dataType), *_FOUND])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, candidates, ordinary = [], [], []
+            base, ordinary = [], []
             for text in batch.column("text").to_pylist():
                 text = text or ""
                 spans = base_spans(text)
                 base.append([vars(s) for s in spans])
-                candidates.append([vars(s) for s in candidate_spans(text, spans)])
-                ordinary.append(_ordinary(text))
-            columns = [pa.array(c, f.type) for c, f in zip((base, candidates, ordinary), list(arrow)[1:])]
+                ordinary.append(_ordinary(text, spans))
+            columns = [pa.array(c, f.type) for c, f in zip((base, ordinary), list(arrow)[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(arrow.field(0).type), *columns], schema=arrow)
 
     return texts.mapInArrow(run, schema)
@@ -293,34 +381,36 @@ def _with_formats(rows: DataFrame, formats: Formats, work: Callable, schema: T.S
     return rows.mapInArrow(run, schema)
 
 
-def _listed(spans: list[dict]) -> str:
-    order = sorted(spans, key=lambda s: (s["start"], KINDS.index(s["kind"])))
-    return ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in order)
+def _listed(spans: list[Span]) -> str:
+    order = sorted(spans, key=lambda s: (s.start, KINDS.index(s.kind)))
+    return ",".join(f"{s.kind}:{s.start}:{s.end}" for s in order)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base, spans): findings as kind:start:end, comma-joined."""
-    found = written(found_spans(docs, id_col, text_col), "spans")
-    schema = T.StructType([found.schema["doc_id"], *_LISTED])
+    formats = fit(written(found_spans(docs, id_col, text_col), "spans"))
+    texts = keyed_texts(docs, id_col, text_col)
+    schema = T.StructType([T.StructField("doc_id", texts.schema["doc_id"].dataType), *_LISTED])
     arrow = to_arrow_schema(schema)
 
     def work(formats: Formats, batch: pa.RecordBatch) -> pa.RecordBatch:
         columns: dict[str, list] = {name: [] for name in schema.names[1:]}
-        for base, candidates in zip(batch.column("base").to_pylist(), batch.column("candidates").to_pylist()):
+        for text in batch.column("text").to_pylist():
+            base = base_spans(text or "")
             for kind in KINDS[:3]:
-                columns[f"n_{kind}"].append(sum(s["kind"] == kind for s in base))
+                columns[f"n_{kind}"].append(sum(s.kind == kind for s in base))
             columns["base"].append(_listed(base))
-            columns["spans"].append(_listed(base + [c for c in candidates if formats.accepts(c["value"])]))
+            columns["spans"].append(_listed(base + format_spans(text or "", base, formats)))
         rest = [pa.array(columns[f.name], f.type) for f in list(arrow)[1:]]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *rest], schema=arrow)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(arrow.field(0).type), *rest], schema=arrow)
 
-    return _with_formats(found.select("doc_id", "base", "candidates"), fit(found), work, schema)
+    return _with_formats(texts, formats, work, schema)
 
 
 def _hidden(formats: Formats, text: str) -> str:
     """The text with each stretch of findings replaced by the mark."""
     base = base_spans(text)
-    spans = base + [c for c in candidate_spans(text, base) if formats.accepts(c.value)]
+    spans = base + format_spans(text, base, formats)
     parts, at, end = [], 0, -1
     for span in sorted(spans, key=lambda s: s.start):
         if span.start >= end:

@@ -93,3 +93,25 @@ def test_odd_rows(shared, odd_documents):
     hidden = secret_scan.redact(odd_documents)
     assert hidden.columns == odd_documents.columns and hidden.count() == odd_documents.count()
     assert secret_scan.scan(odd_documents.limit(0)).count() == 0 and secret_scan.redact(odd_documents.limit(0)).count() == 0
+
+
+def found_in(formats, text):
+    return [s.value for s in secret_scan.format_spans(text, secret_scan.base_spans(text), formats)]
+
+
+def test_pieces_short_keys_and_what_remains_beside_a_base_finding():
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = ["".join(p) for p in zip(keys(500, "etaoinsr", 3, 3), keys(500, "hldcum", 3, 4))]
+    words += [w.capitalize() for w in words[:150]] + [w.upper() for w in words[150:200]]
+    access = ["AKIA" + k for k in keys(300, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16, 8)]
+    formats = secret_scan.Formats.fit(
+        {"hex": keys(300, "0123456789abcdef", 40, 1), "assign": keys(300, mixed, 40, 9), "access": access}, words
+    )
+    key, other, short = keys(1, "0123456789abcdef", 20, 10)[0], keys(1, mixed, 40, 11)[0], "3f9ac0de77b1"
+    assert found_in(formats, f"see {key}. Then") == [key] or found_in(formats, f"see {key}. Then") == [key + "."]
+    assert found_in(formats, f"KEY={key} and /{short}/ there") == [key, short]
+    assert found_in(formats, f"{access[0]}/{other} pair") == [other] or found_in(formats, f"{access[0]}/{other} pair") == ["/" + other]
+    hidden = secret_scan._hidden(formats, f"{access[0]}/{other} pair, {short}")
+    assert other not in hidden and short not in hidden and access[0] not in hidden
+    for usual in ("4111111111111111", "20240101 and 1234567", "NASA HTTP DataFrame", "MP3 B2B UTF-8 COVID19 v2.0.1", "www.example.org/en/8423"):
+        assert found_in(formats, usual) == []
