@@ -125,11 +125,15 @@ def test_large_book_gives_the_same(spark, done, monkeypatch):
 
 
 def test_bad_rows(spark):
-    rows = ['{"ts":"1.0","text":"ok"}', '{"text":"no ts"}', '{"ts":"x"}', '{"ts":', '{"ts":""}']
+    rows = [
+        '{"conversation_id":"C2","ts":"1.0","text":"ok"}', '{"conversation_id":"C2","text":"no ts"}',
+        '{"conversation_id":"C2","ts":"x"}', '{"ts":', '{"conversation_id":"C2","ts":""}',
+        '{"ts":"2.0"}', '{"conversation_id":"","ts":"3.0"}',
+    ]
     good, bad = nz.split_bad_rows(landing.parse_messages(lines(spark, rows)))
     assert [r["text"] for r in good.collect()] == ["ok"]
     assert sorted(r["reason"] for r in bad.collect()) == [
-        "broken json", "missing ts", "missing ts", "ts is not a number"]
+        "broken json", "missing conversation_id", "missing conversation_id", "missing ts", "missing ts", "ts is not a number"]
 
 
 def test_reading_files_equals_parsing_lines(spark, tmp_path):

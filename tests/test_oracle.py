@@ -1,7 +1,7 @@
 """Every registered query against its SQL on the small tables."""
 
 import pytest
-from conftest import SMALL
+from helpers import SMALL
 
 import __spark_entry__ as entry_points
 import oracle

@@ -1,7 +1,7 @@
 """Physical plans: no pairwise joins, no Python but in one place, filters in the scan."""
 
 import pytest
-from conftest import SMALL
+from helpers import SMALL
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
