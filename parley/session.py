@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Setting that names the folder for written intermediates where spark.checkpoint.dir is unset.
+SCRATCH_DIR = "parley.scratch.dir"
+
 
 def local_session(cores: int | str = 8, app: str = "parley", shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and the bench; on a cluster the caller brings its own."""
@@ -22,15 +27,24 @@ def local_session(cores: int | str = 8, app: str = "parley", shuffle_partitions:
     )
 
 
+_own_dir: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for written intermediates: what the cluster names, or a fresh one in local tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="parley-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    """Folder for written intermediates.
+
+    The one that the cluster names in `spark.checkpoint.dir`, else the one given as
+    `parley.scratch.dir`. A local session, where one machine does all, may name
+    neither and gets a folder of its own.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SCRATCH_DIR, None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError(f"set spark.checkpoint.dir or {SCRATCH_DIR} to a folder that all executors share")
+    if not _own_dir:
+        _own_dir.append(tempfile.mkdtemp(prefix="parley-"))
+    return _own_dir[0]
 
 
 _used: list[str] = []
@@ -43,20 +57,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def clean_scratch(spark: SparkSession) -> None:
+def clean_scratch(spark: SparkSession, keep: Sequence[str] = ()) -> None:
     """Delete what this program wrote aside; frames that read it are gone with it."""
-    for path in _used:
+    for path in [p for p in _used if p not in keep]:
         hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-    _used.clear()
+        _used.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written aside within the block is deleted at its end."""
+    before = list(_used)
+    try:
+        yield
+    finally:
+        clean_scratch(spark, before)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """The frame as a parquet table in the shared folder.
 
     For results that several later steps read: they are computed once, survive
     lost executors, and each reader takes only its columns.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.parquet(path)
