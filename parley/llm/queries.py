@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parley.llm import bpe, chat_format, decontaminate, quality_rules, secret_scan, shrinkage, simhash, site_quality, token_counts as counted, toxicity, url_reputation
+from parley.llm import bpe, chat_format, decontaminate, filter_audit, quality_rules, secret_scan, shrinkage, simhash, site_quality, token_counts as counted, toxicity, url_reputation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -146,10 +146,10 @@ URL_SQL = f"""WITH u AS (SELECT page_id, html, CASE WHEN coalesce(instr(url, ':/
 p AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 told AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-votes AS (SELECT regexp_replace(coalesce(text, ''), '[^\p{{L}}\p{{N}}]+', '', 'g') AS key,
+votes AS (SELECT regexp_replace(coalesce(text, ''), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS key,
     CASE WHEN avg(quality) <= 0.5 THEN 1 ELSE 0 END AS bad FROM documents JOIN told USING (doc_id) GROUP BY 1),
 shown AS (SELECT host, regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)</h1>(.*)</article>', 1), '<[^>]*>', '', 'g'),
-    '&(amp|lt|gt|quot|apos|nbsp|#[0-9]+|#x[0-9A-Fa-f]+);', '', 'g'), '[^\p{{L}}\p{{N}}]+', '', 'g') AS key FROM p WHERE html IS NOT NULL),
+    '&(amp|lt|gt|quot|apos|nbsp|#[0-9]+|#x[0-9A-Fa-f]+);', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS key FROM p WHERE html IS NOT NULL),
 counted AS (SELECT host, count(*) AS n, sum(bad) AS bad FROM shown JOIN votes USING (key) GROUP BY host),
 hosts AS (SELECT host, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS two
   FROM (SELECT DISTINCT host FROM p) LEFT JOIN counted USING (host)),
@@ -189,3 +189,43 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = site_quality.judged(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
     return found.select("doc_id", "p", "host_mean", "path_mean", "score", "kept")
+
+
+_BITS = {letter: 1 << k for k, letter in enumerate(filter_audit.FILTERS)}
+_ORDERS = "\n  ".join(["CROSS JOIN l AS l2", "CROSS JOIN l AS l3", "CROSS JOIN l AS l4", "CROSS JOIN l AS l5"])
+
+AUDIT_SQL = f"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+told AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < {filter_audit.LEAST_WORDS} THEN {_BITS['A']} ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(w)) < {filter_audit.LEAST_DISTINCT_PERCENT} * len(w) THEN {_BITS['B']} ELSE 0 END
+    + CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > {filter_audit.MOST_CAPITAL_PERCENT} * length(text)
+        THEN {_BITS['C']} ELSE 0 END
+    + CASE WHEN regexp_matches(text, '{filter_audit.SYMBOLS}') THEN {_BITS['D']} ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN {_BITS['E']} ELSE 0 END AS mask
+  FROM t LEFT JOIN told USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS b),
+orders AS (SELECT concat(l1.x, l2.x, l3.x, l4.x, l5.x) AS filter_order FROM l AS l1 {_ORDERS}
+  WHERE l1.b + l2.b + l3.b + l4.b + l5.b = 31 AND l1.b | l2.b | l3.b | l4.b | l5.b = 31),
+steps AS (SELECT filter_order, step, b,
+    sum(b) OVER (PARTITION BY filter_order ORDER BY step) - b AS before
+  FROM (SELECT filter_order, step, substring(filter_order, step, 1) AS x FROM orders, range(1, 6) AS r(step)) JOIN l USING (x)),
+told_steps AS (SELECT part, filter_order, step, b,
+    sum(CASE WHEN mask & (before + b)::INT = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & before::INT = 0 AND mask & b <> 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & before::INT <> 0 AND mask & b <> 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = b THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & before::INT = 0 AND mask & b <> 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & before::INT = 0 AND mask & b <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, steps GROUP BY part, filter_order, step, b)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, b) AS BIGINT) AS shapley
+FROM told_steps"""
+
+
+@query("op13_filter_audit", AUDIT_SQL)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
