@@ -83,4 +83,4 @@ def written(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataF
     """
     path = scratch_path(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
