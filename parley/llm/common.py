@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -27,3 +27,18 @@ def words_of(text: Column) -> Column:
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only id and text, under fixed names, so that other columns cannot clash."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def salted_left_join(rows: DataFrame, side: DataFrame, key: Sequence[str], hot_keys: DataFrame, salts: int = 64) -> DataFrame:
+    """rows left join side on `key`, which is unique in `side`.
+
+    The rows of the few `hot_keys` are dealt over `salts` tasks, and those rows of
+    `side` sent to each; only the keys are broadcast.
+    """
+    hot, salt = free_name([*rows.columns, *side.columns], "_hot"), free_name([*rows.columns, *side.columns], "_salt")
+    few = F.broadcast(hot_keys.select(*key).withColumn(hot, F.lit(True)))
+    dealt = rows.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(few, [*key], "left")
+    dealt = dealt.withColumn(salt, F.when(F.col(hot), F.col(salt)).otherwise(0)).drop(hot)
+    copies = F.sequence(F.lit(0), F.when(F.col(hot), F.lit(salts - 1)).otherwise(0))
+    sent = side.join(few, [*key], "left").withColumn(salt, F.explode(copies)).drop(hot)
+    return dealt.join(sent, [*key, salt], "left").drop(salt)

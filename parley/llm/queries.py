@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parley.llm import bpe, chat_format, decontaminate, filter_audit, quality_rules, secret_scan, shrinkage, simhash, site_quality, token_counts as counted, toxicity, url_reputation
+from parley.llm import bpe, chat_format, decontaminate, filter_audit, pii, prefix_trie, quality_rules, secret_scan, shrinkage, simhash, site_quality, token_counts as counted, toxicity, url_reputation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -229,3 +229,42 @@ FROM told_steps"""
 @query("op13_filter_audit", AUDIT_SQL)
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_pii")
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+#: CRC-32 of a decimal number: eight steps per character from the fixed start value, inverted at the end.
+_CRC = """xor(list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+    lambda a, b: list_reduce(range(8), lambda s, k: xor(s >> 1, CASE WHEN s & 1 = 1 THEN 3988292384 ELSE 0 END), xor(a, b)),
+    4294967295), 4294967295)"""
+
+TRIE_SQL = f"""WITH t AS (SELECT conv_id AS c, turn, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS key,
+    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS words FROM conversations),
+p AS (SELECT c, key, words, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, key) - 1 AS pos FROM t),
+convs AS (SELECT c, {_CRC} % {prefix_trie.HEADS} AS h, c - c % {prefix_trie.GROUP} AS base FROM (SELECT DISTINCT c FROM p)),
+r AS (SELECT convs.c, 0 AS own, pos, key, words FROM convs JOIN p ON p.c = base AND pos < h
+  UNION ALL SELECT convs.c, 1, pos, key, words FROM convs JOIN p ON p.c = convs.c AND pos >= h),
+s AS (SELECT c, list(key ORDER BY own, pos) AS keys, list(words ORDER BY own, pos) AS words FROM r GROUP BY c),
+q AS (SELECT convs.c, array_to_string(coalesce(keys, []), '') AS whole, coalesce(words, []) AS words, len(coalesce(keys, [])) AS n FROM convs LEFT JOIN s ON s.c = convs.c),
+n AS (SELECT substring(whole, 1, 32 * d) AS node, d AS depth, min(c) AS conv_id, count(*) AS n_convs,
+    any_value(CASE WHEN d > 0 THEN words[d] ELSE 0 END) AS words
+  FROM (SELECT c, whole, words, unnest(range(0, n + 1)) AS d FROM q) GROUP BY 1, 2),
+k AS (SELECT substring(node, 1, 32 * (depth - 1)) AS node, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (node, depth)),
+below AS (SELECT substring(node, 1, 32 * a) AS node, a AS depth, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves,
+    sum((n_convs - 1) * words) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM m) GROUP BY 1, 2),
+e AS (SELECT whole AS node, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ends_sha256 FROM q GROUP BY whole)
+SELECT m.conv_id, CAST(m.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, m.n_convs, m.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM m JOIN below USING (node, depth) LEFT JOIN e ON e.node = m.node
+LEFT JOIN m AS up ON up.node = substring(m.node, 1, 32 * (m.depth - 1)) AND up.depth = m.depth - 1"""
+
+
+@query("op11_prefix_trie", TRIE_SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
