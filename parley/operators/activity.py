@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from parley.functions.text import blank_to_null
-from parley.functions.times import DAY_US
+from parley.functions.times import DAY_US, date_text
 from parley.operators.bots import filter_bots
 from parley.operators.lookup import (
     channel_suggestions, conversation_containing, get_conversation, list_conversations, resolve_conversation,
@@ -21,11 +21,19 @@ from parley.operators.resolve import with_display_name
 from parley.sources.tables import since
 
 
+def _written_times(conversations: DataFrame) -> list[str]:
+    """When a conversation was stored and last changed, where the table says so."""
+    return [c for c in ("created_at", "updated_at") if c in conversations.columns]
+
+
 def list_channels(
     conversations: DataFrame, channels: DataFrame, messages: DataFrame, ignored: Sequence[str] = (),
     ordered: bool = True,
 ) -> DataFrame:
-    """Channels with activity; the name comes from the channel whose id is the stored name, else the id."""
+    """Channels with activity; the name comes from the channel whose id is the stored name, else the id.
+
+    `messages` are the messages or the kept counts, as in `list_conversations`.
+    """
     listed = list_conversations(conversations, messages, "channel", ordered=False)
     known = channels.where(F.col("slack_id").startswith("C")).select("slack_id", F.col("name").alias("_title"))
     by_name = known.select(F.col("slack_id").alias("_n"), F.col("_title").alias("_by_name"))
@@ -36,6 +44,7 @@ def list_channels(
     shown = titled.select(
         "id",
         F.coalesce("_by_name", "_by_id", "name").alias("name"),
+        *_written_times(conversations),
         F.col("actual_message_count").alias("message_count"),
         "start_date", "end_date",
         F.col("last_message_ts_us").alias("last_activity_us"),
@@ -50,6 +59,7 @@ def list_dms(
     listed = list_conversations(conversations, messages, "dm", ordered=False)
     shown = listed.select(
         "id", "name", "participants",
+        *_written_times(conversations),
         F.col("actual_message_count").alias("message_count"),
         "start_date", "end_date",
         F.col("last_message_ts_us").alias("last_activity_us"),
@@ -109,24 +119,39 @@ def channel_main(window: DataFrame, users: DataFrame, ordered: bool = True) -> D
     return rows.orderBy("conversation_name", "ts_us", "id") if ordered else rows
 
 
-def _thread_replies(window: DataFrame, all_messages: DataFrame) -> DataFrame:
-    """Replies, of any age, to the window's parents that have replies: one semi-join for all threads."""
+def _thread_replies(window: DataFrame, all_messages: DataFrame, cutoff_us: int | None) -> DataFrame:
+    """Replies, of any age, to the window's parents that have replies: one semi-join for all threads.
+
+    A parent in the window has the time of its thread, so replies of threads that
+    began before it are left out in the scan; where replies are filed by the date of
+    their root (`kept.replies`), older dates are not read at all.
+    """
     parents = window.where(F.col("is_thread_parent") & (F.col("reply_count") > 0))
     replies = all_messages.where(~F.col("is_thread_parent"))
+    if cutoff_us is not None:
+        replies = replies.where(F.col("thread_ts_us") > cutoff_us)
+        if "root_dt" in replies.columns:
+            replies = replies.where(F.col("root_dt").cast("string") >= date_text(F.lit(cutoff_us).cast("bigint")))
     thread = ["conversation_name", "thread_ts_us"]
     return replies.join(parents.select(*thread).distinct(), thread, "left_semi")
 
 
-def channel_threads(window: DataFrame, all_messages: DataFrame, users: DataFrame) -> DataFrame:
-    """Replies with the time of their parent. `all_messages`: the same conversations, not cut by time."""
-    return with_display_name(_thread_replies(window, all_messages), users).select(
+def channel_threads(
+    window: DataFrame, all_messages: DataFrame, users: DataFrame, cutoff_us: int | None = None
+) -> DataFrame:
+    """Replies with the time of their parent.
+
+    `all_messages`: the same conversations, not cut by time, or their replies filed by
+    root date; `cutoff_us` is that of the window.
+    """
+    return with_display_name(_thread_replies(window, all_messages, cutoff_us), users).select(
         "conversation_name", F.col("thread_ts_us").alias("parent_ts_us"), "id", "ts_us", "datetime",
         "user_name", "clean_text", "display_user_name",
     )
 
 
 def conversation_flow(
-    window: DataFrame, all_messages: DataFrame, users: DataFrame, ordered: bool = True
+    window: DataFrame, all_messages: DataFrame, users: DataFrame, ordered: bool = True, cutoff_us: int | None = None
 ) -> DataFrame:
     """Main messages and their replies as one flat list.
 
@@ -140,7 +165,7 @@ def conversation_flow(
         F.lit(False).alias("is_reply"),
         F.when(F.col("is_thread_parent"), "thread_parent").otherwise("message").alias("type"),
     )
-    replies = _thread_replies(window, all_messages).select(
+    replies = _thread_replies(window, all_messages, cutoff_us).select(
         *cols,
         F.col("thread_ts_us").alias("root_ts_us"),
         F.lit(True).alias("is_reply"),
@@ -168,12 +193,13 @@ class ChannelActivity:
 
 def channel_activity(
     conversations: DataFrame, channels: DataFrame, users: DataFrame, messages: DataFrame,
-    channel: str, as_of_us: int, days_back: int = 14,
+    channel: str, as_of_us: int, days_back: int = 14, filed_replies: DataFrame | None = None,
 ) -> ChannelActivity:
     """Resolve a channel name and report on its last days.
 
     The name is settled first, on the small tables, so that every scan of the
-    messages carries a literal conversation and time filter.
+    messages carries a literal conversation and time filter. `filed_replies` are
+    replies filed by root date (`kept.replies`), where there are such.
     """
     resolved = resolve_conversation(conversations, channels, channel).first()["resolved_name"]
     known = get_conversation(conversations, channels, resolved).first()
@@ -188,11 +214,11 @@ def channel_activity(
     window = channel_window(messages, cutoff, resolved)
     if window.isEmpty():
         return ChannelActivity("no_activity", channel, resolved)
-    # A parent in the window has the time of its thread, so no other replies are wanted.
-    whole = messages.where((F.col("conversation_name") == resolved) & (F.col("thread_ts_us") > cutoff))
+    replies = messages if filed_replies is None else filed_replies
+    whole = replies.where(F.col("conversation_name") == resolved)
     return ChannelActivity(
         "ok", channel, resolved,
         summary=channel_summary(window),
         participants=channel_participants(window, users),
-        flow=conversation_flow(window, whole, users),
+        flow=conversation_flow(window, whole, users, cutoff_us=cutoff),
     )

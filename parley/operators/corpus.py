@@ -11,8 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from parley.functions.text import body
-from parley.functions.times import DAY_US
-from parley.operators.keyed import first_n_per_group
+from parley.operators.keyed import first_n_per_group, running_start
 from parley.session import written
 
 # Executors need not have this package installed: its task functions travel by value.
@@ -54,25 +53,24 @@ def user_corpus(
     )
 
 
-def _with_offsets(corpus: DataFrame) -> DataFrame:
-    """Characters before each text in its user's reading order, each text counting one line break.
+def _offsets(texts: DataFrame) -> DataFrame:
+    """(_row, user_name, size, start, block): characters before each text in its user's reading order.
 
-    Summed per DM first; only one row per (user, DM) is ordered per user.
+    Each text counts one line break. Summed per DM first; only one row per (user, DM)
+    is ordered per user. Sizes are ordered and summed, the texts stay where they are.
     """
-    sized = corpus.withColumn("size", (F.char_length("text") + 1).cast("bigint"))
     dm = ["user_name", "conversation_name"]
+    sized = texts.select("_row", *dm, "last_ts_us", "ts_us", "id", (F.char_length("text") + 1).cast("bigint").alias("size"))
     per_dm = sized.groupBy(*dm, "last_ts_us").agg(F.sum("size").alias("_dm_size"))
     earlier = (
         W.partitionBy("user_name").orderBy(F.desc("last_ts_us"), "conversation_name")
         .rowsBetween(W.unboundedPreceding, -1)
     )
     starts = per_dm.select(*dm, F.coalesce(F.sum("_dm_size").over(earlier), F.lit(0)).alias("_dm_start"))
-    inside = W.partitionBy(*dm).orderBy("ts_us", "id").rowsBetween(W.unboundedPreceding, -1)
-    return (
-        sized.join(starts, dm)
-        .withColumn("start", F.col("_dm_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .drop("_dm_start")
-        .withColumn("block", F.floor(F.col("start") / F.lit(BLOCK_CHARS)).cast("bigint"))
+    inside = running_start(sized, dm, ["ts_us", "id"], "size", "_row").withColumnRenamed("start", "_inside")
+    placed = sized.join(inside, "_row").join(starts, dm).withColumn("start", F.col("_dm_start") + F.col("_inside"))
+    return placed.select(
+        "_row", "user_name", "size", "start", F.floor(F.col("start") / F.lit(BLOCK_CHARS)).cast("bigint").alias("block")
     )
 
 
@@ -216,7 +214,7 @@ def _place_texts(limit: int):
             after = int(nxt[i])
             numbers[i:after] = chunk
             i = after
-        return pd.DataFrame({"user_name": pdf["user_name"], "start": start, "chunk_no": numbers})
+        return pd.DataFrame({"_row": pdf["_row"], "start": start, "chunk_no": numbers})
 
     return run
 
@@ -228,13 +226,13 @@ def chunk_corpus(corpus: DataFrame, max_length: int = CHUNK_CHARS) -> DataFrame:
     made. Greedy filling depends on everything before, yet no task reads a whole
     user: texts are cut into blocks by their character offset, each block is
     reduced to a short table, the tables are walked in order, and each block then
-    numbers its own texts. Sizes travel through Python, texts do not. The sized
-    texts are written out first, as three steps read them.
+    numbers its own texts. Sizes travel through Python, texts do not. Texts and
+    offsets are written out first, as several steps read them.
     """
-    sized = written(_with_offsets(corpus), "corpus")
-    sizes = sized.select("user_name", "block", "start", "size")
+    kept = written(corpus.withColumn("_row", F.monotonically_increasing_id()), "corpus")
+    sizes = written(_offsets(kept), "offsets")
     block = ["user_name", "block"]
-    summaries = sizes.repartition(*block).sortWithinPartitions("user_name", "start").mapInPandas(
+    summaries = sizes.drop("_row").repartition(*block).sortWithinPartitions("user_name", "start").mapInPandas(
         _per_run(block, _summarise_block(max_length)),
         "user_name string, block bigint, total bigint, upto array<bigint>, breaks array<bigint>, fill array<bigint>",
     )
@@ -243,12 +241,12 @@ def chunk_corpus(corpus: DataFrame, max_length: int = CHUNK_CHARS) -> DataFrame:
     )
     placed = (
         sizes.join(entries, block).repartition(*block).sortWithinPartitions("user_name", "start")
-        .mapInPandas(_per_run(block, _place_texts(max_length)), "user_name string, start bigint, chunk_no bigint")
+        .mapInPandas(_per_run(block, _place_texts(max_length)), "_row bigint, start bigint, chunk_no bigint")
     )
     texts = F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda s: s["text"])
     # A chunk holds at most max_length characters or one text.
     return (
-        sized.select("user_name", "start", "text").join(placed, ["user_name", "start"])
+        kept.select("_row", "user_name", "text").join(placed, "_row")
         .groupBy("user_name", "chunk_no")
         .agg(
             F.count(F.lit(1)).alias("texts"),
@@ -282,33 +280,36 @@ def _header():
     )
 
 
-def _joined(lines: str = "line"):
-    """Aggregate: the lines by time, joined by line breaks."""
-    ordered = F.array_sort(F.collect_list(F.when(F.col(lines).isNotNull(), F.struct("ts_us", "id", lines))))
+def _joined(order: tuple[str, ...] = ("ts_us", "id"), lines: str = "line"):
+    """Aggregate: the lines in order, joined by line breaks."""
+    ordered = F.array_sort(F.collect_list(F.when(F.col(lines).isNotNull(), F.struct(*order, lines))))
     return F.array_join(F.transform(ordered, lambda s: s[lines]), "\n")
 
 
 def _line_blocks(lines: DataFrame, block_chars: int) -> DataFrame:
     """(name, block, text): the lines of each block of `block_chars` characters joined.
 
-    Offsets are summed per day first; no task orders a whole conversation.
+    `lines` are written aside and carry `_row`. Offsets come from the sizes alone, and
+    no task orders a whole conversation.
     """
-    sized = lines.where("line is not null").withColumn("_size", (F.char_length("line") + 1).cast("bigint")).withColumn(
-        "_day", F.coalesce(F.floor(F.col("ts_us") / F.lit(DAY_US)).cast("bigint"), F.lit(-1 << 62))
-    )
-    day = ["name", "_day"]
-    earlier = W.partitionBy("name").orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
-    starts = sized.groupBy(*day).agg(F.sum("_size").alias("_day_size")).select(
-        *day, F.coalesce(F.sum("_day_size").over(earlier), F.lit(0)).alias("_day_start")
+    sized = lines.where("line is not null").select(
+        "_row", "name", "ts_us", "id", F.xxhash64("line").alias("_hash"), (F.char_length("line") + 1).cast("bigint").alias("_size")
     )
-    inside = W.partitionBy(*day).orderBy("ts_us", "id", "line").rowsBetween(W.unboundedPreceding, -1)
-    start = F.col("_day_start") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
-    return (
-        sized.join(starts, day).withColumn("block", F.floor(start / F.lit(block_chars)).cast("bigint"))
-        .groupBy("name", "block").agg(_joined().alias("text"))
+    starts = running_start(sized, ["name"], ["ts_us", "id", "_hash"], "_size", "_row")
+    placed = lines.select("_row", "name", "line").join(starts, "_row")
+    return placed.withColumn("block", F.floor(F.col("start") / F.lit(block_chars)).cast("bigint")).groupBy("name", "block").agg(
+        _joined(("start",)).alias("text")
     )
 
 
+def _kept_lines(
+    messages: DataFrame, per_conversation: int | None, order: str, line_chars: int | None
+) -> DataFrame:
+    """The lines, numbered and written aside, as names, sizes and texts are read from them."""
+    lines = _lines(messages, per_conversation, order, line_chars)
+    return written(lines.withColumn("_row", F.monotonically_increasing_id()), "lines")
+
+
 def transcript_blocks(
     messages: DataFrame, conversations: DataFrame, per_conversation: int | None = None,
     order: str = "oldest", line_chars: int | None = None, block_chars: int = BLOCK_CHARS,
@@ -320,7 +321,7 @@ def transcript_blocks(
     last line. The header opens block 0; block numbers may have gaps behind long
     lines. The blocks of a conversation joined by line breaks are its transcript.
     """
-    lines = _lines(messages, per_conversation, order, line_chars)
+    lines = _kept_lines(messages, per_conversation, order, line_chars)
     # Without any line there is no block; the header alone is block 0 then.
     rows = conversations.join(lines.select("name").distinct(), "name").join(
         _line_blocks(lines, block_chars), "name", "left"
@@ -341,7 +342,7 @@ def transcripts(
     Conversations without messages are left out. Each is one string in one row;
     `transcript_blocks` gives conversations that do not fit a row.
     """
-    lines = _lines(messages, per_conversation, order, line_chars)
+    lines = _kept_lines(messages, per_conversation, order, line_chars)
     texts = F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda s: s["text"])
     bodies = _line_blocks(lines, BLOCK_CHARS).groupBy("name").agg(F.array_join(texts, "\n").alias("_text"))
     return conversations.join(lines.select("name").distinct(), "name").join(bodies, "name", "left").select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from parley.functions import text as tx
 from parley.functions.times import DAY_US, HOUR_US, age_hours, ts_text
@@ -143,6 +143,32 @@ def followup_context(
     )
 
 
+def link_context(context: DataFrame, items: DataFrame) -> DataFrame:
+    """Add to each context message the next open item of its conversation: `next_item_id`, `next_item_ts_us`.
+
+    A message is context of that item and of all later ones. An as-of join by union:
+    messages and items lie in hour slices of their conversation, ordered from the
+    newest back, and take the last item met; where a slice has no later item, the first
+    item of the next slice that has one is carried in. No task orders a whole conversation.
+    """
+    item = F.struct(F.col("ts_us").alias("at"), F.col("id").alias("item"))
+    nothing = F.lit(None).cast("struct<at:bigint,item:string>")
+    marks = items.select("conversation_name", "ts_us", F.lit(True).alias("_is_item"), item.alias("_item"))
+    rows = context.withColumns({"_is_item": F.lit(False), "_item": nothing}).unionByName(marks, allowMissingColumns=True)
+    rows = rows.withColumn("_hour", F.floor(F.col("ts_us") / F.lit(HOUR_US)).cast("bigint"))
+    place = ["conversation_name", "_hour"]
+    # Items of one moment come after its messages, the smallest id last.
+    back = W.partitionBy(*place).orderBy(F.desc("ts_us"), "_is_item", F.desc("_item")).rowsBetween(W.unboundedPreceding, 0)
+    here = rows.withColumn("_next", F.last("_item", ignorenulls=True).over(back)).where("not _is_item")
+    slices = rows.groupBy(*place).agg(F.min("_item").alias("_first"))
+    later = W.partitionBy("conversation_name").orderBy(F.desc("_hour")).rowsBetween(W.unboundedPreceding, -1)
+    carried = slices.select(*place, F.last("_first", ignorenulls=True).over(later).alias("_carried"))
+    found = F.coalesce("_next", "_carried")
+    return here.join(carried, place).select(
+        *context.columns, found["item"].alias("next_item_id"), found["at"].alias("next_item_ts_us")
+    )
+
+
 def context_of(context: DataFrame, conversation: str, item_ts_us: int) -> DataFrame:
     """The context list of one item, oldest first."""
     mine = (F.col("conversation_name") == conversation) & (F.col("ts_us") < item_ts_us)
@@ -174,5 +200,5 @@ def list_followups(
         summary.first()["status"],
         summary,
         kept.orderBy(F.desc("age_hours"), "id"),
-        filter_bots(followup_context(messages, kept, users, context_from), ignored),
+        filter_bots(link_context(followup_context(messages, kept, users, context_from), kept), ignored),
     )

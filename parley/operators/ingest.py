@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from parley.functions.message import conversation_type
 from parley.functions.text import blank_to_null
@@ -12,6 +12,7 @@ from parley.functions.times import DAY_US
 from parley.operators.keyed import first_n_per_group
 from parley.operators.lookup import channel_ids_for_names
 from parley.operators.resolve import name_conversations
+from parley.session import written
 
 
 def upsert_conversations(
@@ -55,6 +56,25 @@ def upsert_conversations(
     )
 
 
+def upsert_dimension(old: DataFrame, new: DataFrame, at: Column, key: str = "slack_id") -> DataFrame:
+    """Insert or replace by id; `updated_at` moves only where something changed, `created_at` never.
+
+    `new` is unique by id. Rows that are not in `new` stay as they are.
+    """
+    payload = [c for c in old.columns if c not in (key, "created_at", "updated_at")]
+    before = old.select(
+        key, F.struct(*payload).alias("_old"), F.col("created_at").alias("_created"), F.col("updated_at").alias("_updated")
+    )
+    after = new.select(key, F.struct(*payload).alias("_new"))
+    same = F.col("_new").isNull() | F.col("_new").eqNullSafe(F.col("_old"))
+    shown = F.coalesce("_new", "_old")
+    return before.join(after, key, "full").select(
+        key, *[shown[c].alias(c) for c in payload],
+        F.when(F.col("_old").isNull(), at).otherwise(F.col("_created")).alias("created_at"),
+        F.when(same, F.col("_updated")).otherwise(at).alias("updated_at"),
+    ).select(*old.columns)
+
+
 def conversation_stats(conversations: DataFrame, messages: DataFrame) -> DataFrame:
     """Message count and newest message time of each conversation, by name."""
     counted = messages.groupBy(F.col("conversation_name").alias("name")).agg(
@@ -119,16 +139,21 @@ def expand_threads(history: DataFrame, thread_rows: DataFrame) -> DataFrame:
 
     `thread_rows` holds whole threads; the first message of each is the parent,
     already in the history, and is left out. Both tables carry id,
-    conversation_id, conversation_type, ts_us and thread_ts_us.
+    conversation_id, conversation_type, ts_us and thread_ts_us. The rows of the wanted
+    threads are written aside, so the inputs are read for them once.
     """
     thread = ["conversation_id", "thread_ts_us"]
     started = history.where(
         (F.col("conversation_type") == "channel") & (F.col("thread_ts_us") == F.col("ts_us"))
     ).select(*thread).distinct()
-    wanted = thread_rows.join(started, thread, "left_semi")
-    heads = wanted.groupBy(*thread).agg(F.min_by("id", F.struct("ts_us", "id")).alias("id"))
-    replies = wanted.join(heads.select("id"), "id", "left_anti")
-    return history.unionByName(replies.select(*history.columns))
+    wanted = written(thread_rows.join(started, thread, "left_semi").select(*history.columns), "threads")
+    first = wanted.groupBy(*thread).agg(F.min("ts_us").alias("_first"))
+    marked = wanted.join(first, thread)
+    later = marked.where(F.col("ts_us") > F.col("_first"))
+    # Of messages at the time of the first one the smallest id is the head; these are few.
+    among = W.partitionBy(*thread).orderBy("id")
+    tied = marked.where(F.col("ts_us") == F.col("_first")).withColumn("_rn", F.row_number().over(among)).where("_rn > 1")
+    return history.unionByName(later.select(*history.columns)).unionByName(tied.select(*history.columns))
 
 
 def threads_to_backfill(messages: DataFrame, per_conversation: int | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from parley.session import written
+
 BROADCAST_ROWS = 100_000
 
 
@@ -52,3 +54,28 @@ def first_n_per_group(
     short = _ranked(sliced, [*group, "_slice"], order, n, "_rn").drop("_rn", "_slice")
     final = _ranked(short, group, order, n, keep_rank or "_rn")
     return final if keep_rank else final.drop("_rn")
+
+
+def running_start(rows: DataFrame, group: Sequence[str], order: Sequence[str], size: str, row: str) -> DataFrame:
+    """(row, start): the sum of `size` over the earlier rows of the same group, in order.
+
+    `rows` should be narrow; `row` is unique. A range sort over (group, order) spreads
+    a group of any size over many tasks, of which only the sums are combined.
+    """
+    keys = [F.col(c) for c in (*group, *order, row)]
+    ordered = rows.select(*group, *order, size, row).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    lines = written(
+        ordered.select(*group, size, row, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_line")),
+        "ordered",
+    )
+    sums = lines.groupBy(*group, "_part").agg(F.sum(size).alias("_sum"))
+    earlier = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    named = [F.col(c).alias(f"_of_{c}") for c in group]
+    carried = sums.select(*named, F.col("_part").alias("_in"), F.sum("_sum").over(earlier).alias("_carried")).where("_carried is not null")
+    # At most one group reaches into a partition from the one before: no more rows than partitions.
+    same = F.col("_part") == F.col("_in")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    here = W.partitionBy(*group, "_part").orderBy("_line").rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce("_carried", F.lit(0)) + F.coalesce(F.sum(size).over(here), F.lit(0))
+    return lines.join(F.broadcast(carried), same, "left").select(row, start.cast("bigint").alias("start"))

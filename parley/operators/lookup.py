@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from parley.functions.names import match_score
 from parley.functions.times import DAY_US, datetime_text
+from parley.operators.kept import totals
 from parley.sources.tables import since
 
 
@@ -44,6 +45,26 @@ def _page(messages, name, limit, offset, since_us, until_us) -> DataFrame:
     return rows.orderBy("ts_us", "id").offset(offset).limit(limit)
 
 
+def deep_page(
+    messages: DataFrame, days: DataFrame, conversation: str, limit: int = 100, offset: int = 0,
+) -> DataFrame:
+    """A page of a conversation, oldest first, that reads only the dates it lies in.
+
+    `days` are the kept counts (`kept.daily`): their running sum says in which dates
+    the messages from `offset` on lie. At most `limit` dates hold a page.
+    """
+    per_day = days.where(F.col("conversation_name") == conversation).groupBy("dt").agg(F.sum("messages").alias("n"))
+    upto = F.sum("n").over(W.orderBy("dt"))  # one row per date of one conversation
+    placed = per_day.withColumn("start", upto - F.col("n"))
+    hit = (F.col("start") < offset + limit) & (F.col("start") + F.col("n") > offset)
+    dates = placed.where(hit).orderBy("dt").limit(max(limit, 1)).collect()
+    rows = messages.where(F.col("conversation_name") == conversation)
+    if not dates or limit < 1:
+        return rows.limit(0)
+    rows = rows.where(F.col("dt").cast("string").isin([r["dt"] for r in dates]))
+    return rows.orderBy("ts_us", "id").offset(offset - dates[0]["start"]).limit(limit)
+
+
 def get_messages(
     messages: DataFrame, channels: DataFrame, conversation: str, limit: int = 100, offset: int = 0,
     since_us: int | None = None, until_us: int | None = None,
@@ -79,13 +100,19 @@ def list_conversations(
 ) -> DataFrame:
     """Conversations with the count, first, last date and last time of their messages.
 
-    Messages are reduced to one row per conversation before the join.
+    `messages` are the messages or the kept counts (`kept.daily`); either is reduced
+    to one row per conversation before the join.
     """
-    counted = messages.groupBy(F.col("conversation_name").alias("name")).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("ts_us").alias("_first"),
-        F.max("ts_us").alias("last_message_ts_us"),
-    )
+    if "first_ts_us" in messages.columns:
+        counted = totals(messages).select(
+            "name", F.col("message_count").alias("_n"), F.col("first_message_ts_us").alias("_first"), "last_message_ts_us"
+        )
+    else:
+        counted = messages.groupBy(F.col("conversation_name").alias("name")).agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.min("ts_us").alias("_first"),
+            F.max("ts_us").alias("last_message_ts_us"),
+        )
     wanted = conversations if kind is None else conversations.where(F.col("type") == kind)
     listed = wanted.join(counted, "name", "left").select(
         *wanted.columns,

@@ -8,22 +8,28 @@ from pyspark.sql import DataFrame, functions as F
 
 from parley.functions import message as ms, text as tx, times as tm
 from parley.operators.keyed import latest_per_key
-from parley.operators.resolve import attach_names, mention_ids, resolve_ids, with_clean_text
+from parley.operators.resolve import DIRECT_IDS, attach_names, mention_ids, resolve_ids, with_clean_text
 from parley.schemas import CORRUPT, FILE_ITEM, LINK_ITEM, MESSAGES, REACTION_ITEM
+from parley.session import written
 
 RAW_KEY = ("conversation_id", "ts")
 
 
-def split_bad_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good, quarantined with a reason). A row needs a conversation and a numeric ts to have an id."""
+def mark_bad_rows(raw: DataFrame) -> DataFrame:
+    """Adds `reason`, NULL for good rows. A row needs a conversation and a numeric ts to have an id."""
     broken = F.col(CORRUPT).isNotNull() if CORRUPT in raw.columns else F.lit(False)
-    reason = (
+    return raw.withColumn(
+        "reason",
         F.when(broken, "broken json")
         .when(tx.blank_to_null(F.col("conversation_id")).isNull(), "missing conversation_id")
         .when(tx.blank_to_null(F.col("ts")).isNull(), "missing ts")
-        .when(tm.epoch_us(F.col("ts")).isNull(), "ts is not a number")
+        .when(tm.epoch_us(F.col("ts")).isNull(), "ts is not a number"),
     )
-    marked = raw.withColumn("reason", reason)
+
+
+def split_bad_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good, quarantined with a reason)."""
+    marked = mark_bad_rows(raw)
     good = marked.where("reason is null").drop("reason", CORRUPT)
     return good, marked.where("reason is not null")
 
@@ -45,18 +51,37 @@ def with_conversation_name(raw: DataFrame, conversations: DataFrame, book: DataF
     )
 
 
+def with_draft(raw: DataFrame) -> DataFrame:
+    """The text of each message with people still shown by their ids, and all ids whose names it needs.
+
+    Both come from one reading of text, blocks and files, so file titles and the text
+    parts of rich text are searched for mentions like plain text.
+    """
+    nobody = F.lit(None).cast("map<string,string>")
+    rich = tx.rich_text_if_needed(F.col("text"), F.col("blocks"), nobody)
+    drafted = raw.withColumn("_rich_ids", F.when(rich.isNotNull(), tx.rich_text_user_ids(F.col("blocks"))))
+    drafted = drafted.withColumn("_draft", tx.message_text(F.col("text"), rich, F.col("files")))
+    no_ids = F.array().cast("array<string>")
+    author = F.when(tx.blank_to_null(F.col("user")).isNotNull(), F.array("user")).otherwise(no_ids)
+    return drafted.withColumn(
+        "_ids", F.array_distinct(F.concat(author, F.coalesce("_rich_ids", no_ids), mention_ids(F.col("_draft"))))
+    )
+
+
 def normalize(raw: DataFrame, book: DataFrame) -> DataFrame:
     """The 22 message columns. `raw` carries conversation_name and conversation_type.
 
-    One lookup for the authors, one for all ids mentioned in a message, then
-    plain projections.
+    Texts and the ids in them are read out once and written aside; then one lookup
+    for author and mentions, and plain projections.
     """
-    named = attach_names(raw, RAW_KEY, mention_ids(F.col("text"), F.col("blocks")), book)
-    named = resolve_ids(named, book, "user", "user_name")
+    drafted = written(with_draft(raw), "drafts")
+    named = attach_names(drafted, F.col("_ids"), book, most=DIRECT_IDS + 1)
     names = F.col("names")
+    who = tx.blank_to_null(F.col("user"))
+    named = named.withColumn("user_name", F.coalesce(F.try_element_at(names, who), who))
     # Shared parts are columns of their own, so that each is computed once per row.
-    step = named.withColumn("_rich", tx.rich_text_if_needed(F.col("text"), F.col("blocks"), names))
-    step = step.withColumn("_text", tx.message_text(F.col("text"), F.col("_rich"), F.col("files")))
+    rich = F.when(F.size("_rich_ids") > 0, tx.rich_text(F.col("blocks"), names))
+    step = named.withColumn("_text", F.coalesce(tx.blank_to_null(rich), F.col("_draft")))
     step = with_clean_text(step, "_text", "_clean")
     step = step.withColumn("_us", tm.epoch_us(F.col("ts"))).withColumn(
         "_parent", ms.is_thread_parent(F.col("thread_ts"), F.col("ts"))

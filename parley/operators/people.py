@@ -39,14 +39,17 @@ def mention_hits(
 
 
 def conversation_hits(
-    messages: DataFrame, users: DataFrame, person: str, cutoff_us: int, exact: bool = False
+    messages: DataFrame, users: DataFrame, person: str, cutoff_us: int, exact: bool = False,
+    authors: DataFrame | None = None,
 ) -> DataFrame:
     """All messages after the cutoff in conversations the person ever wrote in.
 
     The conversations are found first and written out: the list is usually short
-    enough to be broadcast, and then the messages are not shuffled.
+    enough to be broadcast, and then the messages are not shuffled. `authors` are the
+    kept counts (`kept.daily`); with them the history is not read.
     """
-    theirs = broadcast_if_small(written(conversations_of(messages, users, person, exact), "conversations"))
+    wrote = messages if authors is None else authors
+    theirs = broadcast_if_small(written(conversations_of(wrote, users, person, exact), "conversations"))
     return since(messages, cutoff_us).join(theirs, "conversation_name", "left_semi")
 
 
@@ -77,7 +80,7 @@ def interactions_mentions(
 
 
 def conversations_of(messages: DataFrame, users: DataFrame, person: str, exact: bool = False) -> DataFrame:
-    """Names of the conversations the person ever wrote in; reads two columns of the whole history."""
+    """Names of the conversations the person ever wrote in, from two columns of the history or the kept counts."""
     authors = messages.select("conversation_name", "user_name")
     flagged = with_author_test(authors, users, _is_person(person, exact), "_wrote")
     return flagged.where("_wrote").select("conversation_name").distinct()
@@ -85,10 +88,10 @@ def conversations_of(messages: DataFrame, users: DataFrame, person: str, exact:
 
 def interactions_all(
     messages: DataFrame, users: DataFrame, conversations: DataFrame, person: str, cutoff_us: int,
-    limit: int = ALL_SHOWN, exact: bool = False,
+    limit: int = ALL_SHOWN, exact: bool = False, authors: DataFrame | None = None,
 ) -> DataFrame:
     """Newest messages of every conversation the person ever wrote in."""
-    return _shown(conversation_hits(messages, users, person, cutoff_us, exact), conversations, users, limit)
+    return _shown(conversation_hits(messages, users, person, cutoff_us, exact, authors), conversations, users, limit)
 
 
 def label_thread(df: DataFrame) -> DataFrame:
@@ -135,13 +138,17 @@ class Interactions:
 def user_interactions(
     messages: DataFrame, users: DataFrame, conversations: DataFrame, person: str, as_of_us: int,
     days_back: int = 30, mentions_only: bool = False, exact: bool = False, ignored: Sequence[str] = (),
+    authors: DataFrame | None = None,
 ) -> Interactions:
     """Name gate, then the interactions, grouped and summed up."""
     gate = user_ambiguity(users, person).first()
     if gate["status"] != "ok":
         return Interactions(gate["status"], person, list(gate["suggestions"]))
-    find = mention_hits if mentions_only else conversation_hits
-    hits = find(messages, users, person, as_of_us - days_back * DAY_US, exact)
+    cutoff = as_of_us - days_back * DAY_US
+    if mentions_only:
+        hits = mention_hits(messages, users, person, cutoff, exact)
+    else:
+        hits = conversation_hits(messages, users, person, cutoff, exact, authors)
     grouped = written(interactions_by_conversation(hits), "by-conversation")
     if grouped.isEmpty():
         return Interactions("no_interactions", person)

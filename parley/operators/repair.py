@@ -12,6 +12,7 @@ from parley.session import written
 
 # Fixed value: id of the service's own bot user.
 SERVICE_BOT_ID = "USLACKBOT"
+PIECE = 256
 
 
 def rename_conversations(messages: DataFrame, renames: DataFrame) -> DataFrame:
@@ -92,21 +93,27 @@ def repair_message_names(conversations: DataFrame, messages: DataFrame) -> DataF
     return rename_conversations(messages, message_name_fixes(conversations, messages))
 
 
-def _ids_inside(names: DataFrame) -> DataFrame:
-    """(conversation_name, id): every run of capitals and digits in a name and every part of it.
+def _ids_inside(names: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(conversation_name, id): the wanted ids that occur in a name, inside its runs of capitals and digits.
 
-    Turns "name contains id" into an equality join. Conversation names are short,
-    and only distinct names are taken apart.
+    Turns "name contains id" into an equality join. Only parts of lengths that occur
+    among the wanted ids are taken, so a name costs a few parts per character.
     """
+    lengths = [r["n"] for r in wanted.select(F.char_length("id").alias("n")).distinct().collect()]
     runs = names.select(
         "conversation_name", F.explode(F.regexp_extract_all("conversation_name", F.lit("([A-Z0-9]+)"), F.lit(1))).alias("run")
     )
-    size = F.char_length("run")
-    from_pos = runs.select("*", F.explode(F.sequence(F.lit(1), size)).alias("a"))
-    parts = from_pos.select(
-        "conversation_name", "run", "a", F.explode(F.sequence(F.lit(1), F.char_length("run") - F.col("a") + 1)).alias("n")
+    size = F.col("n") - 1
+    runs = runs.withColumn("n", F.explode(F.array(*map(F.lit, sorted(lengths))).cast("array<int>")))
+    runs = runs.where(F.char_length("run") >= F.col("n"))
+    # Long runs are cut into overlapping pieces first, as taking a part walks the text before it.
+    count = F.ceil((F.char_length("run") - size) / F.lit(PIECE)).cast("int")
+    pieces = runs.withColumn("k", F.explode(F.sequence(F.lit(0), count - 1))).select(
+        "conversation_name", "n", F.col("run").substr(F.col("k") * PIECE + 1, PIECE + size).alias("piece")
     )
-    return parts.select("conversation_name", F.col("run").substr(F.col("a"), F.col("n")).alias("id")).distinct()
+    at = F.explode(F.sequence(F.lit(1), F.char_length("piece") - size))
+    parts = pieces.withColumn("a", at).select("conversation_name", F.col("piece").substr(F.col("a"), F.col("n")).alias("id"))
+    return parts.join(wanted, "id", "left_semi").distinct()
 
 
 def repair_dm_format(conversations: DataFrame, messages: DataFrame) -> DataFrame:
@@ -121,7 +128,7 @@ def repair_dm_format(conversations: DataFrame, messages: DataFrame) -> DataFrame
             blank_to_null(F.col("user_name")).isNotNull() & (F.col("user_name") != "None")
         ).select("conversation_name", "user_name").distinct()
     )
-    spelled = _ids_inside(authors.select("conversation_name").distinct()).join(wrong, "id", "left_semi")
+    spelled = _ids_inside(authors.select("conversation_name").distinct(), wrong)
     people = (
         spelled.join(authors, "conversation_name").select("id", "user_name").distinct()
         .groupBy("id").agg(F.array_sort(F.collect_list("user_name")).alias("_people"))

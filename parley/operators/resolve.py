@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parley.functions import text as tx
 from parley.functions.names import conversation_name
 from parley.operators.keyed import broadcast_if_small, is_small
+from parley.session import written
 
 # Mentioned ids per row that are looked up directly.
 DIRECT_IDS = 3
@@ -23,58 +22,71 @@ def channel_mappings(channels: DataFrame) -> DataFrame:
 
 
 def name_book(*dims: DataFrame) -> DataFrame:
-    """All known (id, name) pairs of users, channels or conversations with a non-empty name."""
+    """One (id, name) pair for each known id of users, channels or conversations with a non-empty name.
+
+    Of several names of an id the first in order counts.
+    """
     book = None
     for dim in dims:
         key = "slack_id" if "slack_id" in dim.columns else "id"
         part = dim.select(F.col(key).alias("ref_id"), tx.blank_to_null(F.col("name")).alias("ref_name"))
         book = part if book is None else book.unionByName(part)
-    return book.where("ref_name is not null")
+    return book.where("ref_name is not null").groupBy("ref_id").agg(F.min("ref_name").alias("ref_name"))
 
 
 def resolve_ids(df: DataFrame, book: DataFrame, id_col: str, out: str) -> DataFrame:
-    """Name of an id, the id itself when unknown, NULL when empty."""
+    """Name of an id, the id itself when unknown, NULL when empty.
+
+    Rows without an id match nothing; where rows are shuffled they are dealt out
+    evenly and do not meet in one task.
+    """
     named = book.select(F.col("ref_id").alias("_ref"), F.col("ref_name").alias("_ref_name"))
     ident = tx.blank_to_null(F.col(id_col))
-    return df.join(named, ident == F.col("_ref"), "left").withColumn(
+    key = F.coalesce(ident, F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string")))
+    return df.withColumn("_key", key).join(named, F.col("_key") == F.col("_ref"), "left").withColumn(
         out, F.coalesce("_ref_name", ident)
-    ).drop("_ref", "_ref_name")
+    ).drop("_key", "_ref", "_ref_name")
 
 
 def attach_names(
-    df: DataFrame, key: Sequence[str], ids: Column, book: DataFrame, out: str = "names"
+    df: DataFrame, ids: Column, book: DataFrame, out: str = "names", most: int = DIRECT_IDS
 ) -> DataFrame:
     """Add to each row a small map id -> name holding just the ids the row mentions.
 
-    With a name book counted as small, rows with few ids are answered by
-    broadcast lookups and never move; only rows with many ids are shuffled. With a
-    larger book all rows go the second way.
+    `book` is unique by id. Counted as small, it answers rows of up to `most` ids by
+    broadcast lookups, and those rows never move; only rows with more ids are
+    shuffled. With a larger book all rows go the second way.
     """
     no_ids = F.array().cast("array<string>")
-    tagged = df.withColumn("_ids", F.array_distinct(F.coalesce(ids, no_ids)))
+    tagged = df.withColumn("_wanted", F.array_distinct(F.coalesce(ids, no_ids)))
     if not is_small(book):
-        return _attach_by_pairs(tagged, key, book, out).drop("_ids")
-    few = tagged.where(F.size("_ids") <= DIRECT_IDS)
+        return _attach_by_pairs(tagged, book, out).select(*df.columns, out)
+    few = tagged.where(F.size("_wanted") <= most)
     entries = []
-    for i in range(DIRECT_IDS):
-        side = F.broadcast(book.select(F.col("ref_id").alias(f"_id{i}"), F.col("ref_name").alias(f"_name{i}")))
-        few = few.join(side, F.get("_ids", F.lit(i)) == F.col(f"_id{i}"), "left")
+    side = F.broadcast(book.select(F.col("ref_id").alias("_ref"), F.col("ref_name").alias("_ref_name")))
+    for i in range(most):
+        few = few.join(side, F.get("_wanted", F.lit(i)) == F.col("_ref"), "left")
+        few = few.withColumnsRenamed({"_ref": f"_id{i}", "_ref_name": f"_name{i}"})
         entries.append(F.struct(F.col(f"_id{i}").alias("ref_id"), F.col(f"_name{i}").alias("ref_name")))
     found = F.filter(F.array(*entries), lambda e: e["ref_id"].isNotNull())
     direct = few.withColumn(out, F.map_from_entries(found)).select(*df.columns, out)
-    many = _attach_by_pairs(tagged.where(F.size("_ids") > DIRECT_IDS), key, book, out)
+    many = _attach_by_pairs(tagged.where(F.size("_wanted") > most), book, out)
     return direct.unionByName(many.select(*df.columns, out))
 
 
-def _attach_by_pairs(tagged: DataFrame, key: Sequence[str], book: DataFrame, out: str) -> DataFrame:
-    """Only (key, id) pairs travel to the lookup, not the rows; they come back as one map per key."""
-    wanted = tagged.select(*key, F.explode("_ids").alias("ref_id"))
+def _attach_by_pairs(tagged: DataFrame, book: DataFrame, out: str) -> DataFrame:
+    """Only (row, id) pairs travel to the lookup, not the rows; they come back as one map per row.
+
+    The rows are numbered and written aside, so that any keys they have may repeat or be missing.
+    """
+    tagged = written(tagged.withColumn("_row", F.monotonically_increasing_id()), "many-ids")
+    wanted = tagged.select("_row", F.explode("_wanted").alias("ref_id"))
     found = (
         wanted.join(book, "ref_id")
-        .groupBy(*key)
+        .groupBy("_row")
         .agg(F.map_from_entries(F.collect_set(F.struct("ref_id", "ref_name"))).alias(out))
     )
-    return tagged.join(found, list(key), "left")
+    return tagged.join(found, "_row", "left").withColumn(out, F.coalesce(out, F.create_map().cast("map<string,string>")))
 
 
 def mention_ids(text: Column, blocks: Column | None = None) -> Column:
@@ -86,9 +98,9 @@ def mention_ids(text: Column, blocks: Column | None = None) -> Column:
     return F.concat(*[F.coalesce(p, empty) for p in parts])
 
 
-def rewrite_mentions(messages: DataFrame, book: DataFrame, key: Sequence[str] = ("id",)) -> DataFrame:
+def rewrite_mentions(messages: DataFrame, book: DataFrame) -> DataFrame:
     """Set `clean_text` and `mentions_users` from `text`."""
-    named = attach_names(messages, key, mention_ids(F.col("text")), book)
+    named = attach_names(messages, mention_ids(F.col("text")), book)
     named = named.withColumn("mentions_users", tx.mentioned_users(F.col("text"), F.col("names")))
     return with_clean_text(named, "text", "clean_text").drop("names")
 

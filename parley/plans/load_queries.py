@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from parley import schemas
 from parley.functions import message as ms, text as tx, times as tm
-from parley.operators import ingest, normalize as nz, resolve as rs
+from parley.operators import activity, ingest, normalize as nz, resolve as rs
 from parley.plans import views as v
 from parley.plans.registry import query
-from parley.session import scratch_path
+from parley.session import scratch_path, written
 from parley.sources import landing, tables
 from parley.streaming import load
 
@@ -157,10 +158,17 @@ def infer_conv_type(spark, sf):
 
 @query("sink_roundtrip", "SELECT id, conversation_type, ts_us, clean_text FROM messages")
 def sink_roundtrip(spark, sf):
-    path = scratch_path(spark, "messages")
-    rows = tables.with_date(v.messages(spark, sf, threads=False))
-    rows.hint("rebalance", *tables.MESSAGE_PARTITIONS).write.partitionBy(*tables.MESSAGE_PARTITIONS).parquet(path)
-    return spark.read.parquet(path).select("id", "conversation_type", "ts_us", "clean_text")
+    """Through the writers of tables, JSON and text, each reading what the one before wrote."""
+    path = scratch_path(spark, "outputs")
+    kind = T.StructType([T.StructField(n, k) for n, k in (
+        ("id", T.StringType()), ("conversation_type", T.StringType()), ("ts_us", T.LongType()), ("clean_text", T.StringType()),
+    )])
+    filed = T.StructType([*kind.fields, T.StructField("dt", T.StringType())])
+    rows = tables.with_date(v.messages(spark, sf, threads=False).select(*kind.names))
+    tables.upsert_into(spark, f"{path}/table", rows, filed, ["id"], [F.desc("ts_us")], tables.MESSAGE_PARTITIONS)
+    tables.write_json(tables.read_table(spark, f"{path}/table", filed).select(*kind.names), f"{path}/json")
+    tables.write_text(spark.read.schema(kind).json(f"{path}/json").select(F.to_json(F.struct(*kind.names)).alias("line")), "line", f"{path}/text")
+    return spark.read.text(f"{path}/text").select(F.from_json("value", kind).alias("r")).select("r.*")
 
 
 # --- normalisation -------------------------------------------------------------------
@@ -174,7 +182,7 @@ def norm_text(spark, sf):
 @query("rich_text", LANDED + "SELECT mid AS id, mtext AS rich_text FROM shown WHERE event_id % 17 = 0")
 def rich_text(spark, sf):
     raw = _named(spark, sf).where(F.size("blocks") > 0)
-    named = rs.attach_names(raw, nz.RAW_KEY, tx.rich_text_user_ids(F.col("blocks")), _book(spark, sf))
+    named = rs.attach_names(raw, tx.rich_text_user_ids(F.col("blocks")), _book(spark, sf))
     return named.select(
         ms.message_id(F.col("conversation_name"), F.col("ts")).alias("id"),
         tx.rich_text(F.col("blocks"), F.col("names")).alias("rich_text"),
@@ -187,7 +195,7 @@ def _normalized(spark, sf):
 
 def _rewritten(spark, sf, with_text, book, ids):
     m = v.messages(spark, sf, threads=False, clean=False)
-    named = rs.attach_names(m, ["id"], ids(F.col("text")), book)
+    named = rs.attach_names(m, ids(F.col("text")), book)
     return named.select("id", with_text(F.col("text"), F.col("names")).alias("clean_text"))
 
 
@@ -421,6 +429,7 @@ SELECT * FROM hist UNION ALL SELECT id, conversation_id, conversation_type, ts_u
   AND EXISTS (SELECT 1 FROM hist h WHERE h.conversation_id = t.conversation_id AND h.ts_us = h.thread_ts_us AND h.ts_us = t.thread_ts_us)""")
 def thread_expand(spark, sf):
     m = v.messages(spark, sf, clean=False).select("id", "conversation_id", "conversation_type", "ts_us", "thread_ts_us", "is_thread_parent")
+    m = written(m, "thread-messages")
     history = m.where("thread_ts_us is null or is_thread_parent").drop("is_thread_parent")
     return ingest.expand_threads(history, m.where("thread_ts_us is not null"))
 
@@ -452,6 +461,114 @@ def stream_ingest(spark, sf):
     return _flat(load.read_messages_table(spark, store))
 
 
+# --- a store with its own dimensions ----------------------------------------------------
+
+FIRST_AT, SECOND_AT = v.AS_OF_US - 2 * tm.DAY_US, v.AS_OF_US - tm.DAY_US
+_stores: dict[tuple[str, str], load.Store] = {}
+
+
+def _land_dims(spark: SparkSession, sf: str, root: str, renamed: bool) -> None:
+    """Users, channels and direct messages as the service lists them; in the second wave some users have new names."""
+    shown = "case when c_custkey % 3 = 0 then c_name else '' end"
+    if renamed:
+        shown = "case when c_custkey % 3 = 0 then c_name when c_custkey % 3 = 1 then concat('New ', c_name) else '' end"
+    people = v.load(spark, sf, "customer").selectExpr(
+        f"""to_json(named_struct('id', concat('U', c_custkey), 'name', concat('handle', c_custkey),
+            'real_name', case when c_custkey % 4 <> 0 then concat('Real ', c_custkey) else '' end,
+            'is_bot', c_custkey % 37 = 0, 'profile', named_struct('display_name', {shown}))) as value"""
+    )
+    rooms = v.load(spark, sf, "nation").selectExpr(
+        """to_json(named_struct('id', concat('C', n_nationkey), 'name', lower(n_name), 'is_private', n_nationkey % 4 = 0)) as value"""
+    )
+    direct = v.conversations_dim(spark, sf).where("type = 'dm'").selectExpr(
+        """to_json(named_struct('id', id, 'is_im', coalesce(size(participants) < 2, true), 'is_mpim', coalesce(size(participants) > 1, false),
+            'user', case when size(participants) = 1 then participants[0] end,
+            'members', case when size(participants) > 1 then participants end)) as value"""
+    )
+    for name, rows in (("users", people), ("channels", rooms), ("dms", direct)):
+        rows.write.mode("append").text(f"{root}/{name}")
+
+
+def loaded_store(spark: SparkSession, sf: str) -> load.Store:
+    """Dimensions loaded twice, with renames between, then the landed messages streamed in; once per application."""
+    known = (spark.sparkContext.applicationId, sf)
+    if known not in _stores:
+        root = scratch_path(spark, "store")
+        landed = load.LandedDims(*[f"{root}/{name}" for name in ("users", "channels", "dms")])
+        store = load.Store(f"{root}/tables")
+        _land_dims(spark, sf, root, renamed=False)
+        load.load_dimensions(
+            spark, store, landing.read_users(spark, landed.users), landing.read_channels(spark, landed.channels),
+            landing.read_dms(spark, landed.dms), FIRST_AT, only_if_missing=True,
+        )
+        _land_dims(spark, sf, root, renamed=True)
+        nobody = spark.createDataFrame([], schemas.CONVERSATIONS)
+        load.stream_load(
+            spark, v.landing_dir(spark, sf), store, nobody, v.users(spark, sf), v.channels(spark, sf), SECOND_AT,
+            landed_dims=landed,
+        ).awaitTermination()
+        _stores[known] = store
+    return _stores[known]
+
+
+STORED = f"""--more
+su AS (SELECT concat('U', c_custkey) AS slack_id, CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 3 = 1 THEN concat('New ', c_name)
+    WHEN c_custkey % 4 <> 0 THEN concat('Real ', c_custkey) ELSE concat('handle', c_custkey) END AS name,
+    CASE WHEN c_custkey % 3 = 1 THEN {SECOND_AT} ELSE {FIRST_AT} END AS updated_us FROM customer),
+who AS (SELECT d.id, d.i, coalesce(su.name, d.w) AS person FROM (SELECT id, unnest(participants) AS w, generate_subscripts(participants, 1) AS i
+  FROM conversations_dim WHERE type = 'dm') d LEFT JOIN su ON su.slack_id = d.w),
+lists AS (SELECT id, string_agg(person, ',' ORDER BY i) AS people, list(person ORDER BY person) AS p FROM who GROUP BY id),
+rooms AS (SELECT concat('C', n_nationkey) AS id, lower(n_name) AS name, 'channel' AS type, CAST(NULL AS VARCHAR) AS people FROM nation UNION ALL
+  SELECT d.id, CASE WHEN l.id IS NULL THEN concat('DM: ', d.id) WHEN len(p) = 1 THEN p[1] WHEN len(p) = 2 THEN concat(p[1], ' & ', p[2])
+    ELSE concat(p[1], ', ', p[2], ' + ', len(p) - 2, ' others') END, 'dm', people FROM conversations_dim d LEFT JOIN lists l ON l.id = d.id WHERE d.type = 'dm'),
+sent AS (SELECT r.name, m.ts_us, m.datetime FROM messages m JOIN rooms r ON r.id = m.conversation_id WHERE m.event_id % 97 NOT IN (5, 6, 7)),
+counted AS (SELECT name, count(*) AS n, min(datetime) AS first_date, max(datetime) AS last_date, max(ts_us) AS last_us FROM sent GROUP BY name)
+"""
+
+
+def _us(column: str):
+    return F.unix_micros(column).alias(column.replace("_at", "_us"))
+
+
+@query("stored_conversations", STORED + f"""SELECT id, r.name, type, people AS participants, {FIRST_AT} AS created_us, {SECOND_AT} AS updated_us,
+  coalesce(n, 0) AS message_count, last_us AS latest_message_ts_us FROM rooms r LEFT JOIN counted c ON c.name = r.name""")
+def stored_conversations(spark, sf):
+    rows = load.read_conversations(spark, loaded_store(spark, sf))
+    return rows.select(
+        "id", "name", "type", F.array_join("participants", ",").alias("participants"), _us("created_at"), _us("updated_at"),
+        "message_count", "latest_message_ts_us",
+    )
+
+
+@query("stored_users", STORED + f"SELECT slack_id, name, {FIRST_AT} AS created_us, updated_us FROM su")
+def stored_users(spark, sf):
+    people, _ = load.read_dims(spark, loaded_store(spark, sf))
+    return people.select("slack_id", "name", _us("created_at"), _us("updated_at"))
+
+
+@query("stored_channels", STORED + f"""SELECT id, r.name, {FIRST_AT} AS created_us, {SECOND_AT} AS updated_us, coalesce(n, 0) AS message_count,
+  first_date AS start_date, last_date AS end_date, last_us AS last_activity_us FROM rooms r LEFT JOIN counted c ON c.name = r.name WHERE type = 'channel'""")
+def stored_channels(spark, sf):
+    store = loaded_store(spark, sf)
+    _, rooms = load.read_dims(spark, store)
+    rows = activity.list_channels(load.read_conversations(spark, store), rooms, load.read_daily(spark, store), ordered=False)
+    return rows.select(
+        "id", "name", _us("created_at"), _us("updated_at"), "message_count", "start_date", "end_date", "last_activity_us"
+    )
+
+
+@query("stored_dms", STORED + f"""SELECT id, r.name, array_to_string(list_filter(string_split(people, ','), lambda p: NOT contains(lower(p), 'slackbot')), ',') AS participants,
+  {FIRST_AT} AS created_us, {SECOND_AT} AS updated_us, coalesce(n, 0) AS message_count, last_us AS last_activity_us
+  FROM rooms r LEFT JOIN counted c ON c.name = r.name WHERE type = 'dm' AND NOT contains(lower(r.name), 'slackbot')""")
+def stored_dms(spark, sf):
+    store = loaded_store(spark, sf)
+    rows = activity.list_dms(load.read_conversations(spark, store), load.read_daily(spark, store), ordered=False)
+    return rows.select(
+        "id", "name", F.array_join("participants", ",").alias("participants"), _us("created_at"), _us("updated_at"),
+        "message_count", "last_activity_us",
+    )
+
+
 CONFIG_NAMES = ["nation_1", "nation_4", "#nation_8", "##nation_2", "ation_2", "no such channel"]
 
 

@@ -10,6 +10,7 @@ from parley.operators.bots import filter_bots
 from parley.operators.resolve import with_display_name
 from parley.plans import views as v
 from parley.plans.registry import query
+from parley.session import written
 
 DISPLAY = "coalesce(u.name, u.real_name, m.user_name)"
 OWNER = fu.Owner(v.OWNER)
@@ -70,7 +71,14 @@ REPLIES = f"""SELECT m.*, {DISPLAY} AS display_user_name FROM messages m LEFT JO
 @query("channel_threads", f"SELECT conversation_name, thread_ts_us AS parent_ts_us, id, ts_us, datetime, user_name, clean_text, display_user_name FROM ({REPLIES})")
 def channel_threads(spark, sf):
     m = _all(spark, sf)
-    return ac.channel_threads(ac.channel_window(m, v.CUTOFF_14D), m, v.users(spark, sf))
+    return ac.channel_threads(ac.channel_window(m, v.CUTOFF_14D), m, v.users(spark, sf), v.CUTOFF_14D)
+
+
+@query("channel_threads_kept", f"SELECT conversation_name, thread_ts_us AS parent_ts_us, id, ts_us, datetime, user_name, clean_text, display_user_name FROM ({REPLIES})")
+def channel_threads_kept(spark, sf):
+    """Replies filed by the date of their root: older roots are not read."""
+    t = v.kept_tables(spark, sf)
+    return ac.channel_threads(ac.channel_window(t["messages"], v.CUTOFF_14D), t["replies"], v.users(spark, sf), v.CUTOFF_14D)
 
 
 def _flow_sql(where: str) -> str:
@@ -83,7 +91,9 @@ def _flow_sql(where: str) -> str:
 @query("conversation_flow", _flow_sql(""))
 def conversation_flow(spark, sf):
     m = _all(spark, sf)
-    return ac.conversation_flow(ac.channel_window(m, v.CUTOFF_14D), m, v.users(spark, sf), ordered=False)
+    return ac.conversation_flow(
+        ac.channel_window(m, v.CUTOFF_14D), m, v.users(spark, sf), ordered=False, cutoff_us=v.CUTOFF_14D
+    )
 
 
 @query("channel_activity", _flow_sql("AND conversation_name = 'nation_20'"))
@@ -96,6 +106,56 @@ def channel_activity(spark, sf):
     return found.flow
 
 
+#: Asked by name, id, part of a name, an unknown name, and at a time without messages.
+ASKED = [("nation_5", 0), ("C6", 0), ("ation_20", 0), ("Nation", 0), ("nation_7", 400)]
+
+
+def _asked_sql(asked: str, name: str | None, later_days: int) -> str:
+    if name is None:
+        return f"""SELECT '{asked}' AS asked, 'not_found' AS status, CAST(NULL AS VARCHAR) AS resolved_name, coalesce((SELECT string_agg(name, '|' ORDER BY name) FROM (
+          SELECT name FROM channels WHERE contains(name, '{asked}') ORDER BY name LIMIT 5)), '') AS suggestions, CAST(NULL AS BIGINT) AS total_messages,
+          CAST(NULL AS BIGINT) AS unique_participants, CAST(NULL AS BIGINT) AS thread_count, CAST(NULL AS BIGINT) AS thread_reply_count"""
+    found = f"conversation_name = '{name}' AND ts_us > {v.CUTOFF_14D + later_days * 86_400_000_000}"
+    return f"""SELECT '{asked}' AS asked, CASE WHEN count(*) = 0 THEN 'no_activity' ELSE 'ok' END AS status, '{name}' AS resolved_name, '' AS suggestions,
+      nullif(count(*), 0) AS total_messages, nullif(count(DISTINCT user_name), 0) AS unique_participants,
+      CASE WHEN count(*) > 0 THEN count(*) FILTER (is_thread_parent) END AS thread_count,
+      CASE WHEN count(*) > 0 THEN count(*) FILTER (thread_ts_us IS NOT NULL AND NOT is_thread_parent) END AS thread_reply_count FROM messages WHERE {found}"""
+
+
+_RESOLVED = ["nation_5", "nation_6", "nation_20", None, "nation_7"]
+
+
+@query("channel_activity_status", " UNION ALL ".join(_asked_sql(a, n, d) for (a, d), n in zip(ASKED, _RESOLVED)))
+def channel_activity_status(spark, sf):
+    """All forms of the answer: status, resolved name, suggestions and the summary."""
+    dims = (v.conversations_dim(spark, sf), v.channels(spark, sf), v.users(spark, sf), _all(spark, sf))
+    parts = ["total_messages", "unique_participants", "thread_count", "thread_reply_count"]
+    rows = None
+    for asked, later in ASKED:
+        found = ac.channel_activity(*dims, asked, v.AS_OF_US + later * 86_400_000_000)
+        told = dims[0].limit(1).select(
+            F.lit(asked).alias("asked"), F.lit(found.status).alias("status"),
+            F.lit(found.resolved_name).cast("string").alias("resolved_name"), F.lit("|".join(found.suggestions)).alias("suggestions"),
+        )
+        summary = found.summary.select("conversation_name", *parts) if found.summary is not None else None
+        if summary is None:
+            told = told.select("*", *[F.lit(None).cast("bigint").alias(c) for c in parts])
+        else:
+            told = told.join(summary, told["resolved_name"] == summary["conversation_name"]).drop("conversation_name")
+        rows = told if rows is None else rows.unionByName(told)
+    return rows
+
+
+@query("channel_activity_people", f"""SELECT conversation_name, user_name, {DISPLAY} AS display_name, count(*) AS message_count, max(ts_us) AS last_activity_us
+  FROM messages m LEFT JOIN users u ON u.slack_id = m.user_name WHERE conversation_name = 'nation_6' AND ts_us > {v.CUTOFF_14D} GROUP BY conversation_name, user_name, u.name, u.real_name""")
+def channel_activity_people(spark, sf):
+    """Asked for by id."""
+    found = ac.channel_activity(
+        v.conversations_dim(spark, sf), v.channels(spark, sf), v.users(spark, sf), _all(spark, sf), "C6", v.AS_OF_US
+    )
+    return found.participants
+
+
 PERSON = v.PERSON.lower()
 SHOWN = f"""SELECT m.id, m.ts_us, m.datetime, m.user_name, m.clean_text, m.conversation_name, m.conversation_type, m.thread_ts_us, m.is_thread_parent,
   {DISPLAY} AS display_user_name, array_to_string(c.participants, ',') AS participants FROM messages m LEFT JOIN users u ON u.slack_id = m.user_name
@@ -131,6 +191,15 @@ def interactions_all(spark, sf):
     return _shown(_everything(spark, sf))
 
 
+@query("interactions_all_kept", EVERYTHING)
+def interactions_all_kept(spark, sf):
+    """Who wrote where comes from the kept counts; only the window of the messages is read."""
+    t = v.kept_tables(spark, sf)
+    return _shown(pe.interactions_all(
+        t["messages"], v.users(spark, sf), v.conversations_dim(spark, sf), v.PERSON, v.CUTOFF_30D, authors=t["daily"]
+    ))
+
+
 BY_CONVERSATION = f"""SELECT conversation_name, min(conversation_type) AS type, count(*) AS interaction_count, max(ts_us) AS latest_ts_us,
   count(*) FILTER (thread_ts_us IS NOT NULL AND is_thread_parent) AS thread_parents, count(*) FILTER (thread_ts_us IS NOT NULL AND NOT is_thread_parent) AS thread_replies
   FROM ({EVERYTHING.split(" ORDER BY m.ts_us DESC")[0]}) GROUP BY conversation_name"""
@@ -152,6 +221,17 @@ def interactions_summary(spark, sf):
     return pe.interactions_summary(pe.interactions_by_conversation(_hits(spark, sf)))
 
 
+@query("user_interactions", f"""SELECT b.conversation_name AS name, b.type, interaction_count, latest_ts_us, thread_parents, thread_replies,
+  array_to_string(list_filter(c.participants, lambda p: NOT contains(lower(p), 'slackbot') AND NOT contains(lower(p), 'u14')), ',') AS participants
+  FROM ({BY_CONVERSATION}) b LEFT JOIN conversations_dim c ON c.name = b.conversation_name WHERE NOT contains(lower(b.conversation_name), 'u14')""")
+def user_interactions(spark, sf):
+    """The whole answer, grouped by conversation with its participants, bots filtered."""
+    found = pe.user_interactions(
+        _all(spark, sf), v.users(spark, sf), v.conversations_dim(spark, sf), v.PERSON, v.AS_OF_US, ignored=["U14"]
+    )
+    return found.conversations.withColumn("participants", F.array_join("participants", ","))
+
+
 MENTIONED = f"""SELECT m.id, m.conversation_name, m.ts_us, m.user_name, m.clean_text, {DISPLAY} AS display_user_name FROM messages m LEFT JOIN users u ON u.slack_id = m.user_name
   WHERE m.conversation_type = 'channel' AND m.ts_us > {v.CUTOFF_72H} AND {DISPLAY} <> '{v.OWNER}' AND contains(m.clean_text, '{v.OWNER}')
   AND NOT EXISTS (SELECT 1 FROM messages m2 LEFT JOIN users u2 ON u2.slack_id = m2.user_name WHERE m2.conversation_name = m.conversation_name
@@ -208,12 +288,16 @@ CONTEXT_FROM = v.CUTOFF_72H - fu.CONTEXT_DAYS * 86_400_000_000
 
 
 @query("followup_context", f"""--more
-items AS ({ITEMS}), ends AS (SELECT conversation_name AS ec, max(ts_us) AS last_us FROM items GROUP BY conversation_name)
-SELECT m.conversation_name, m.id, m.ts_us, m.datetime, {DISPLAY} AS "user", m.clean_text AS text
-FROM messages m JOIN ends ON ec = m.conversation_name LEFT JOIN users u ON u.slack_id = m.user_name
-WHERE m.ts_us >= {CONTEXT_FROM} AND m.ts_us < last_us""")
+items AS ({ITEMS}), ends AS (SELECT conversation_name AS ec, max(ts_us) AS last_us FROM items GROUP BY conversation_name),
+firsts AS (SELECT conversation_name AS ic, ts_us AS next_item_ts_us, min(id) AS next_item_id FROM items GROUP BY conversation_name, ts_us),
+ctx AS (SELECT m.conversation_name, m.id, m.ts_us, m.datetime, {DISPLAY} AS "user", m.clean_text AS text
+  FROM messages m JOIN ends ON ec = m.conversation_name LEFT JOIN users u ON u.slack_id = m.user_name
+  WHERE m.ts_us >= {CONTEXT_FROM} AND m.ts_us < last_us)
+SELECT ctx.*, next_item_id, next_item_ts_us FROM ctx ASOF LEFT JOIN firsts ON ic = ctx.conversation_name AND ctx.ts_us < next_item_ts_us""")
 def followup_context(spark, sf):
-    return fu.followup_context(_all(spark, sf, threads=False), _items(spark, sf), v.users(spark, sf), CONTEXT_FROM)
+    items = written(_items(spark, sf), "items")
+    context = fu.followup_context(_all(spark, sf, threads=False), items, v.users(spark, sf), CONTEXT_FROM)
+    return fu.link_context(context, items)
 
 
 @query("bot_predicate", """SELECT slack_id, coalesce(contains(lower(name), '#00000000') OR contains(lower(name), 'u14') OR contains(lower(name), 'slackbot'), FALSE) AS is_bot FROM users""")

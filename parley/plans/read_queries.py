@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parley.operators import lookup as lk, resolve as rs
+from parley.operators import lookup as lk, resolve as rs, search as se
 from parley.plans import views as v
 from parley.plans.registry import query
 
@@ -38,6 +38,35 @@ def search_messages(spark, sf):
     return lk.search_messages(_m(spark, sf), "Purchase in #GEN", user="U1").select(*LINES.split(", "))
 
 
+@query("search_kept", f"""SELECT {LINES} FROM messages WHERE (contains(search_text, 'purchase in #gen') OR contains(clean_text, 'purchase in #gen'))
+  AND contains(user_name, 'U1') ORDER BY ts_us DESC, id LIMIT 50""")
+def search_kept(spark, sf):
+    t = v.kept_tables(spark, sf)
+    return se.search_kept(t["messages"], t["grams"], "Purchase in #GEN", user="U1").select(*LINES.split(", "))
+
+
+@query("search_kept_short", f"""SELECT {LINES} FROM messages WHERE (contains(search_text, 'w ') OR contains(clean_text, 'w '))
+  AND conversation_name = 'nation_9' ORDER BY ts_us DESC, id LIMIT 20""")
+def search_kept_short(spark, sf):
+    """A term shorter than the kept runs walks the dates."""
+    t = v.kept_tables(spark, sf)
+    return se.search_kept(t["messages"], t["grams"], "W ", conversation="nation_9", limit=20).select(*LINES.split(", "))
+
+
+@query("deep_page", f"""SELECT * FROM (SELECT {LINES} FROM messages WHERE conversation_name = 'nation_7' ORDER BY ts_us, id LIMIT 100 OFFSET 12)""")
+def deep_page(spark, sf):
+    t = v.kept_tables(spark, sf)
+    return lk.deep_page(t["messages"], t["daily"], "nation_7", limit=100, offset=12).select(*LINES.split(", "))
+
+
+@query("list_conversations_kept", """SELECT c.id, c.name, c.type, count(m.id) AS actual_message_count, min(m.datetime) AS start_date,
+  max(m.datetime) AS end_date, max(m.ts_us) AS last_message_ts_us FROM conversations_dim c LEFT JOIN messages m ON m.conversation_name = c.name
+  GROUP BY c.id, c.name, c.type""")
+def list_conversations_kept(spark, sf):
+    dim = v.conversations_dim(spark, sf).drop("participants")
+    return lk.list_conversations(dim, v.kept_tables(spark, sf)["daily"], ordered=False)
+
+
 @query("list_conversations", """SELECT c.id, c.name, c.type, count(m.id) AS actual_message_count, min(m.datetime) AS start_date,
   max(m.datetime) AS end_date, max(m.ts_us) AS last_message_ts_us
   FROM (SELECT id, name, type FROM conversations_dim UNION ALL SELECT concat('p', id), concat('p', name), type FROM prose_dim) c LEFT JOIN messages m ON m.conversation_name = c.name GROUP BY c.id, c.name, c.type""")

@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parley.functions.times import DAY_US, HOUR_US, datetime_text, ntz_us
+from parley.operators import kept
 from parley.session import scratch_path
+from parley.sources import tables
 
 AS_OF_US = 1_706_788_800_000_000
 OWNER = "Customer#000000001"
@@ -215,6 +217,29 @@ def landed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("event_id", F.coalesce(broken, line).alias("value"))
 
 
+_kept: dict[tuple[str, str], str] = {}
+
+
+def kept_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The event messages filed by type and date, with what a load keeps beside them; written once per application."""
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known not in _kept:
+        path = scratch_path(spark, "kept")
+        filed = {"messages": tables.MESSAGE_PARTITIONS, "daily": tables.MESSAGE_PARTITIONS,
+                 "grams": tables.MESSAGE_PARTITIONS, "replies": ("conversation_type", "root_dt")}
+
+        def file(name: str, rows: DataFrame) -> None:
+            rows.hint("rebalance", *filed[name]).write.partitionBy(*filed[name]).parquet(f"{path}/{name}")
+
+        file("messages", tables.with_date(messages(spark, sf_dir)))
+        m = spark.read.parquet(f"{path}/messages")
+        file("daily", kept.daily(m))
+        file("grams", kept.grams(m))
+        file("replies", kept.replies(m.drop("dt")))
+        _kept[known] = path
+    return {name: spark.read.parquet(f"{_kept[known]}/{name}") for name in ("messages", "daily", "grams", "replies")}
+
+
 _landed: dict[tuple[str, str], str] = {}
 
 

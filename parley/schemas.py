@@ -44,9 +44,17 @@ REACTIONS = _schema(message_id=S, emoji=S, emoji_name=S, user_name=S, ts_us=L)
 
 SYNC_STATE = _schema(conversation_id=S, last_ts_us=L)
 
-# Landing files: one JSON object per line. Array items stay text, so that one
-# odd item does not null the whole array; `edited` stays text because an empty
-# object means "not edited" while an object without ts means "edited".
+# Kept beside the messages by the load, per type and date (`operators.kept`).
+DAILY = _schema(
+    conversation_type=S, dt=S, conversation_name=S, user_name=S, messages=L, first_ts_us=L, last_ts_us=L,
+)
+GRAMS = _schema(conversation_type=S, dt=S, gram=S, conversation_name=S)
+REPLIES = T.StructType([*MESSAGES.fields, T.StructField("root_dt", S)])
+
+# Landing files: one JSON object per line, read field by field as variants, so that a
+# field of an odd type costs that field and not the message. Array items stay text, so
+# that one odd item does not null the whole array; `edited` stays text because an
+# empty object means "not edited" while an object without ts means "edited".
 RAW_MESSAGE = _schema(
     conversation_id=S, conversation_type=S, ts=S, user=S, text=S, thread_ts=S,
     reply_count=L, subtype=S, bot_id=S, app_id=S, edited=S,

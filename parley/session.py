@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
@@ -75,6 +77,29 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         clean_scratch(spark, before)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors, where it need not be installed: one archive per application.
+
+    The archive lies with the driver; Spark's own file service gives it to the executors.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = f"{tempfile.mkdtemp(prefix='parley-')}/parley-modules.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(application)
+
+
 def written(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """The frame as a parquet table in the shared folder.
 

@@ -11,33 +11,45 @@ from pyspark.sql import types as T
 
 from parley.functions.names import first_non_empty
 from parley.functions.text import blank_to_null
+from parley.operators.keyed import latest_per_key
 from parley.schemas import CORRUPT, RAW_CHANNEL, RAW_DM, RAW_MESSAGE, RAW_USER
 
 
 READ_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-LANDED = T.StructType([*RAW_MESSAGE.fields, T.StructField(CORRUPT, T.StringType())])
+LANDED = T.StructType(
+    [*[T.StructField(f.name, T.VariantType()) for f in RAW_MESSAGE.fields], T.StructField(CORRUPT, T.StringType())]
+)
+
+
+def _typed(landed: DataFrame) -> DataFrame:
+    """Variants -> raw message columns. A number counts as text and the other way round; a list field that
+    is no list, or a text that cannot be what its field wants, is NULL."""
+    fields = {
+        f.name: F.try_variant_get(F.col(f.name), "$", f.dataType.simpleString()).alias(f.name) for f in RAW_MESSAGE.fields
+    }
+    return landed.select(*[fields.get(c, F.col(c)) for c in landed.columns])
 
 
 def parse_messages(lines: DataFrame, column: str = "value") -> DataFrame:
-    """JSON text -> raw message columns; `_corrupt` keeps lines that are not JSON.
+    """JSON text -> raw message columns; `_corrupt` keeps lines that are not JSON objects.
 
     `inline` turns the parsed record into plain columns once per row; selecting
     its fields would let the optimizer repeat the parse in every expression and
     filter above.
     """
     kept = [c for c in lines.columns if c != column]
-    return lines.select(*kept, F.inline(F.array(F.from_json(column, LANDED, READ_OPTIONS))))
+    return _typed(lines.select(*kept, F.inline(F.array(F.from_json(column, LANDED, READ_OPTIONS)))))
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LANDED).options(**READ_OPTIONS).json(path)
+    return _typed(spark.read.schema(LANDED).options(**READ_OPTIONS).json(path))
 
 
 def stream_messages(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(LANDED).options(**READ_OPTIONS)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.json(path)
+    return _typed(reader.json(path))
 
 
 def records_to_raw(records: DataFrame) -> DataFrame:
@@ -55,16 +67,25 @@ def records_to_raw(records: DataFrame) -> DataFrame:
     )
 
 
+def _newest_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Of records landed several times, the one in the newest file; records without id are left out."""
+    landed = spark.read.schema(schema).json(path).select(
+        "*", F.col("_metadata.file_modification_time").alias("_at"), F.col("_metadata.file_path").alias("_file")
+    )
+    order = [F.desc("_at"), F.desc("_file"), F.desc(F.xxhash64(*schema.names))]
+    return latest_per_key(landed.where("id is not null"), ["id"], order).drop("_at", "_file")
+
+
 def read_users(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RAW_USER).json(path)
+    return _newest_records(spark, path, RAW_USER)
 
 
 def read_channels(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RAW_CHANNEL).json(path)
+    return _newest_records(spark, path, RAW_CHANNEL)
 
 
 def read_dms(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RAW_DM).json(path)
+    return _newest_records(spark, path, RAW_DM)
 
 
 def user_dim(raw: DataFrame, loaded_at: Column | None = None) -> DataFrame:

@@ -2,7 +2,11 @@
 
 Messages are partitioned by type and date. A message's key fixes its date, so a
 batch can only change the partitions its own rows fall into: those are read,
-merged, staged in full and swapped in; all others stay untouched.
+merged, staged in full and swapped in; all others stay untouched. Small tables are
+written whole beside the old one and moved into place.
+
+There is one writer at a time. It alone finishes or drops what a lost driver left
+behind; readers never change anything.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from pyspark.sql import types as T
 
 from parley.functions.times import date_text
 from parley.operators.keyed import broadcast_if_small, latest_per_key
+from parley.session import written
 
 MESSAGE_PARTITIONS = ("conversation_type", "dt")
 
@@ -57,10 +62,15 @@ def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence[C
     """Old and new rows together, last write per key.
 
     `order` ranks the new rows among themselves (latest first); any new row beats
-    an old one. Old rows are neither ranked nor, when the new keys are few, moved. Columns missing from `new` become NULL, as only the listed
-    columns are replaced by a fresh row.
+    an old one. The new rows are computed once and written aside. Old rows are
+    neither ranked nor, when the new keys are few, moved. Columns missing from
+    `new` become NULL, as only the listed columns are replaced by a fresh row.
     """
-    latest = latest_per_key(new, key, order)
+    return replaced(old, written(latest_per_key(new, key, order), "fresh"), key)
+
+
+def replaced(old: DataFrame, latest: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Old rows without those that have a row of the same key in `latest`, which is unique by key, and that."""
     keys = broadcast_if_small(latest.select(*key))
     return old.join(keys, list(key), "left_anti").unionByName(latest, allowMissingColumns=True).select(
         *old.columns, *[c for c in latest.columns if c not in old.columns]
@@ -96,7 +106,7 @@ def _swap_in(spark: SparkSession, staged: str, path: str, partitions: Sequence[s
 
 
 def finish_pending_swap(spark: SparkSession, path: str, partitions: Sequence[str]) -> bool:
-    """Complete a swap that a lost driver left behind; a half-written stage is discarded."""
+    """Complete a swap that a lost driver left behind; a half-written stage is discarded. For the writer only."""
     staged = f"{path}__staged"
     if not path_exists(spark, staged):
         return False
@@ -107,57 +117,105 @@ def finish_pending_swap(spark: SparkSession, path: str, partitions: Sequence[str
     return False
 
 
-def touched_partitions(batch: DataFrame, partitions: Sequence[str]) -> dict[str, list[str]]:
-    """Values of the partition columns in a batch: a short list of dates and types."""
+def _place(partitions: Sequence[str]) -> Column:
+    """The partition a row lies in, as one text."""
+    return F.concat_ws("/", *[F.col(name).cast("string") for name in partitions])
+
+
+def touched_partitions(batch: DataFrame, partitions: Sequence[str]) -> list[dict[str, str]]:
+    """The partitions that the rows of a batch fall into: a short list of dates and types."""
     rows = batch.select(*partitions).distinct().collect()
-    return {name: sorted({row[name] for row in rows}) for name in partitions}
+    return sorted(({name: row[name] for name in partitions} for row in rows), key=lambda p: [str(x) for x in p.values()])
 
 
-def upsert_into(
-    spark: SparkSession, path: str, new: DataFrame, schema: T.StructType, key: Sequence[str],
-    order: Sequence[Column], touched: dict[str, list[str]],
-) -> None:
-    """Insert or replace `new` by key in the partitioned parquet table at `path`.
+def in_partitions(rows: DataFrame, touched: Sequence[dict[str, str]]) -> DataFrame:
+    """The rows of these partitions; a filter on partition columns, so no others are read."""
+    if not touched:
+        return rows.limit(0)
+    return rows.where(_place(list(touched[0])).isin(["/".join(p.values()) for p in touched]))
 
-    `touched` names the partition columns and the values `new` may fall into;
-    only those partitions are read and rewritten.
-    """
-    partitions = list(touched)
-    finish_pending_swap(spark, path, partitions)
-    if not all(touched.values()):
-        return
-    stored = T.StructType(
+
+def _stored_schema(schema: T.StructType, partitions: Sequence[str]) -> T.StructType:
+    return T.StructType(
         [f for f in schema.fields if f.name not in partitions]
         + [T.StructField(p, T.StringType()) for p in partitions]
     )
-    hit = F.lit(True)
-    for name in partitions:
-        hit = hit & F.col(name).isin(touched[name])
-    merged = upsert(read_table(spark, path, stored).where(hit), new, key, order).select(*stored.names)
+
+
+def _replace_partitions(spark: SparkSession, path: str, rows: DataFrame, partitions: Sequence[str]) -> None:
+    """Put `rows` in place of all rows of the partitions they fall into."""
     staged = f"{path}__staged"
     # Rebalancing gives few files per partition and still splits a swollen one.
-    (
-        merged.hint("rebalance", *partitions)
-        .write.mode("overwrite").partitionBy(*partitions).parquet(staged)
-    )
+    rows.hint("rebalance", *partitions).write.mode("overwrite").partitionBy(*partitions).parquet(staged)
     _swap_in(spark, staged, path, partitions)
 
 
+def upsert_into(
+    spark: SparkSession, path: str, new: DataFrame, schema: T.StructType, key: Sequence[str],
+    order: Sequence[Column], partitions: Sequence[str],
+) -> list[dict[str, str]]:
+    """Insert or replace `new` by key in the partitioned parquet table at `path`.
+
+    The new rows are computed once. Only the partitions they fall into are read and
+    rewritten; these are returned.
+    """
+    finish_pending_swap(spark, path, partitions)
+    stored = _stored_schema(schema, partitions)
+    latest = written(latest_per_key(new, key, order).select(*stored.names), "fresh")
+    touched = touched_partitions(latest, partitions)
+    if touched:
+        old = in_partitions(read_table(spark, path, stored), touched)
+        _replace_partitions(spark, path, replaced(old, latest, key), partitions)
+    return touched
+
+
+def replace_in(
+    spark: SparkSession, path: str, rows: DataFrame, schema: T.StructType, partitions: Sequence[str],
+) -> None:
+    """Put `rows`, which hold all there is for the partitions they fall into, in place of those partitions."""
+    finish_pending_swap(spark, path, partitions)
+    _replace_partitions(spark, path, rows.select(*_stored_schema(schema, partitions).names), partitions)
+
+
+def _put_aside_in_place(spark: SparkSession, path: str) -> None:
+    """The complete copy beside a small table becomes the table. Safe to repeat."""
+    fs, old = _fs(spark, f"{path}__old")
+    _, aside = _fs(spark, f"{path}__aside")
+    _, target = _fs(spark, path)
+    fs.delete(old, True)
+    if fs.exists(target) and not fs.rename(target, old) or not fs.rename(aside, target):
+        raise OSError(f"could not move {aside} to {path}")
+    fs.delete(old, True)
+
+
 def replace_small(spark: SparkSession, path: str, rows: DataFrame) -> None:
-    """Overwrite a small table that `rows` may itself read: written aside first, then in place."""
-    aside = f"{path}__aside"
-    rows.write.mode("overwrite").parquet(aside)
-    spark.read.parquet(aside).write.mode("overwrite").parquet(path)
-    drop_path(spark, aside)
+    """Replace a small table that `rows` may itself read: written in full beside it, then moved into place.
+
+    From the move to `__aside` on the new rows count, also if the driver is lost before they are in place.
+    """
+    following, aside = f"{path}__next", f"{path}__aside"
+    rows.write.mode("overwrite").parquet(following)
+    if path_exists(spark, f"{aside}/_SUCCESS"):
+        _put_aside_in_place(spark, path)
+    fs, source = _fs(spark, following)
+    _, to = _fs(spark, aside)
+    fs.delete(to, True)
+    if not fs.rename(source, to):
+        raise OSError(f"could not move {following} to {aside}")
+    _put_aside_in_place(spark, path)
+
+
+def _small_path(spark: SparkSession, path: str) -> str:
+    return f"{path}__aside" if path_exists(spark, f"{path}__aside/_SUCCESS") else path
 
 
 def read_small(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A table of `replace_small`; a copy that was complete aside but not yet in place is put there first."""
-    aside = f"{path}__aside"
-    if path_exists(spark, f"{aside}/_SUCCESS"):
-        spark.read.parquet(aside).write.mode("overwrite").parquet(path)
-        drop_path(spark, aside)
-    return read_table(spark, path, schema)
+    """A table of `replace_small`, from the copy beside it where that is complete; nothing is moved."""
+    return read_table(spark, _small_path(spark, path), schema)
+
+
+def small_exists(spark: SparkSession, path: str) -> bool:
+    return path_exists(spark, _small_path(spark, path))
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -223,3 +223,139 @@ def test_backfill_names_all_threads_unless_a_number_is_given(spark):
     assert {r["id"] for r in ingest.threads_to_backfill(m).collect()} == {f"m{k}" for k in range(45) if k != 3}
     newest = {r["id"] for r in ingest.threads_to_backfill(m, 2).collect()}
     assert newest == {"m39", "m38", "m44", "m43"}
+
+
+# --- a store that readers cannot harm, one evaluation a batch ------------------------------
+
+
+def test_reading_leaves_a_running_write_alone(spark, people, tmp_path):
+    store = load.Store(str(tmp_path / "t"))
+    land(tmp_path / "in", "0.json", BATCHES[0])
+    run(spark, people, tmp_path / "in", store)
+    for stage in ("messages__staged", "conversations__next", "sync_state__next"):
+        (tmp_path / "t" / stage).mkdir()
+        (tmp_path / "t" / stage / "part-0.parquet").write_text("half written")
+    done = tmp_path / "t" / "attachments__staged"
+    done.mkdir()
+    (done / "_SUCCESS").write_text("")
+    before = sorted(str(p) for p in (tmp_path / "t").rglob("*"))
+    assert load.read_messages_table(spark, store).count() == 30
+    assert load.read_conversations(spark, store).count() == 1 and load.read_daily(spark, store).count() > 0
+    assert load.known_conversations(spark, store, None).count() == 1
+    assert sorted(str(p) for p in (tmp_path / "t").rglob("*")) == before
+    land(tmp_path / "in", "1.json", BATCHES[1])
+    run(spark, people, tmp_path / "in", store)
+    assert load.read_messages_table(spark, store).count() == 31
+    assert not [n for n in os.listdir(store.root) if "__" in n]
+
+
+def test_new_rows_are_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(x):
+        seen.add(1)
+        return x
+
+    noted = F.udf(note, "long")
+    new = spark.range(1000).withColumn("v", noted("id")).withColumn("dt", F.concat(F.lit("2024-01-0"), (F.col("id") % 3 + 1).cast("string")))
+    old = spark.range(500).selectExpr("id", "-1L as v", "'2024-01-01' as dt")
+    assert tables.upsert(old, new, ["id"], [F.desc("v")]).count() == 1000 and seen.value == 1000
+    schema = schemas.T.StructType([schemas.T.StructField("id", schemas.L), schemas.T.StructField("v", schemas.L), schemas.T.StructField("dt", schemas.S)])
+    for k in (2, 3):
+        touched = tables.upsert_into(spark, str(tmp_path / "m"), new, schema, ["id"], [F.desc("v")], ["dt"])
+        assert seen.value == k * 1000 and touched == [{"dt": f"2024-01-0{d}"} for d in (1, 2, 3)]
+    assert tables.read_table(spark, str(tmp_path / "m"), schema).count() == 1000
+
+
+def counts(spark, store):
+    return {r["id"]: (r["message_count"], r["latest_message_ts_us"]) for r in load.read_conversations(spark, store).collect()}
+
+
+def test_counts_are_right_after_every_batch(spark, people, tmp_path):
+    """An edit counts no message twice, a batch loaded again changes nothing."""
+    store = load.Store(str(tmp_path / "t"))
+    users, channels = people
+    dims = conversations(spark, [("C2", "dev", "channel", None, None, None, 0, None)])
+    at = lambda i: (1700000000 + i * 3600) * 1_000_000
+    steps = [(0, {"C2": (30, at(29))}), (1, {"C2": (30, at(29)), "D7": (1, at(40))}), (2, {"C2": (31, at(41)), "D7": (1, at(40))}),
+             (2, {"C2": (31, at(41)), "D7": (1, at(40))}), (0, {"C2": (31, at(41)), "D7": (1, at(40))})]
+    for n, (k, want) in enumerate(steps):
+        land(tmp_path / "in", f"{n}.json", BATCHES[k])
+        load.load_batch(spark, landing.read_messages(spark, str(tmp_path / "in" / f"{n}.json")), store, dims, users, channels, n, 5)
+        assert counts(spark, store) == want
+        m = load.read_messages_table(spark, store)
+        by_author = {tuple(r) for r in m.groupBy("conversation_name", "user_name").count().collect()}
+        days = load.read_daily(spark, store).groupBy("conversation_name", "user_name").agg(F.sum("messages"))
+        assert {tuple(r) for r in days.collect()} == by_author
+
+
+def test_kept_search_finds_streamed_messages(spark, people, tmp_path):
+    from parley.operators import search
+
+    store = load.Store(str(tmp_path / "t"))
+    for i, rows in enumerate(BATCHES):
+        land(tmp_path / "in", f"{i}.json", rows)
+        run(spark, people, tmp_path / "in", store)
+    found = search.search_kept(load.read_messages_table(spark, store), load.read_grams(spark, store), "New @Bob")
+    assert [r["clean_text"] for r in found.collect()] == ["new @Bob"]
+    assert search.search_kept(load.read_messages_table(spark, store), load.read_grams(spark, store), "m3 ann").isEmpty()  # edited away
+
+
+def test_replies_are_filed_by_root_date(spark, people, tmp_path):
+    store = load.Store(str(tmp_path / "t"))
+    root = "1700000000.000000"
+    rows = [message(0, "root", thread_ts=root, reply_count=2), message(30, "late reply", thread_ts=root), message(1, "plain")]
+    land(tmp_path / "in", "0.json", rows)
+    run(spark, people, tmp_path / "in", store)
+    assert [(r["text"], r["root_dt"]) for r in load.read_replies(spark, store).collect()] == [("late reply", "2023-11-14")]
+
+
+def dim(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+def test_dimensions_are_merged_and_times_move_on_change_only(spark, tmp_path):
+    store = load.Store(str(tmp_path / "t"))
+
+    def users(second):
+        return dim(spark, [("U1", "ann", "Ann A", False, ("Ann" if not second else "Anna", None)), ("U2", "bob", "", False, ("", ""))], schemas.RAW_USER)
+
+    rooms = dim(spark, [("C2", "dev", None, None, False, 3), (None, "lost", None, None, False, 3)], schemas.RAW_CHANNEL)
+    dms = dim(spark, [("D1", True, False, "U1", None), ("D2", False, True, None, ["U1", "U2", "U9"]), ("D3", True, False, None, None)], schemas.RAW_DM)
+    assert load.load_dimensions(spark, store, users(False), rooms, dms, 1_000_000, only_if_missing=True)
+    assert not load.load_dimensions(spark, store, users(True), rooms, dms, 2_000_000, only_if_missing=True)
+    assert load.load_dimensions(spark, store, users(True), rooms, dms, 3_000_000)
+    people, channels = load.read_dims(spark, store)
+    us = F.unix_micros
+    got = {r[0]: tuple(r[1:]) for r in people.select("slack_id", "name", us("created_at"), us("updated_at")).collect()}
+    assert got == {"U1": ("Anna", 1_000_000, 3_000_000), "U2": ("bob", 1_000_000, 1_000_000)}
+    assert [r["updated_at"].timestamp() for r in channels.where("slack_id is not null").collect()] == [1.0]
+    names = {r["id"]: (r["name"], r["type"], r["participants"]) for r in load.read_conversations(spark, store).collect()}
+    assert names == {
+        "C2": ("dev", "channel", None), "D1": ("Anna", "dm", ["Anna"]), "D2": ("Anna, U9 + 1 others", "dm", ["Anna", "bob", "U9"]),
+        "D3": ("DM: D3", "dm", None)}
+
+
+def test_dimensions_are_read_again_before_each_batch(spark, tmp_path):
+    store, root = load.Store(str(tmp_path / "t")), tmp_path / "dims"
+    landed = load.LandedDims(*[str(root / n) for n in ("users", "channels", "dms")])
+    nobody = spark.createDataFrame([], "slack_id string, name string")
+    none = conversations(spark, [])
+    for step, name in enumerate(("Ann", "Anna")):
+        for kind, row in (("users", {"id": "U1", "name": "ann", "profile": {"display_name": name}}), ("channels", {"id": "C2", "name": "dev"}), ("dms", {"id": "D7", "is_im": True, "user": "U1"})):
+            (root / kind).mkdir(parents=True, exist_ok=True)
+            (root / kind / f"{step}.json").write_text(json.dumps(row) + "\n")
+        land(tmp_path / "in", f"{step}.json", [message(step, "hi <@U1>"), message(step, "direct", conv="D7")])
+        load.stream_load(spark, str(tmp_path / "in"), store, none, nobody, nobody, lambda batch: 10 + batch, landed_dims=landed).awaitTermination()
+    texts = {r["id"]: (r["clean_text"], r["user_name"]) for r in load.read_messages_table(spark, store).collect()}
+    assert texts["dev:1700000000.000000"] == ("hi @Ann", "Ann") and texts["dev:1700003600.000000"] == ("hi @Anna", "Anna")
+    assert texts["Anna:1700003600.000000"] == ("direct", "Anna")
+    assert {r["name"] for r in load.read_conversations(spark, store).collect()} == {"dev", "Anna"}
+    assert load.read_dims(spark, store)[0].select(F.unix_micros("updated_at")).first()[0] == 11
+
+
+def test_newest_landed_record_counts(spark, tmp_path):
+    for k, name in enumerate(("old", "new")):
+        (tmp_path / f"{k}.json").write_text(json.dumps({"id": "U1", "name": name}) + "\n")
+        os.utime(tmp_path / f"{k}.json", (1000 + k, 1000 + k))
+    assert [r["name"] for r in landing.read_users(spark, str(tmp_path)).collect()] == ["new"]

@@ -193,3 +193,56 @@ def test_unicode_words(spark):
     from parley.functions.text import word_count
     one = spark.createDataFrame([("a b c\n d ",), ("",), ("  ",)], "t string").select(word_count(F.col("t"))).collect()
     assert [r[0] for r in one] == [4, 0, 0]
+
+
+def test_fields_of_odd_types_lose_no_message(spark):
+    base = {"conversation_id": "C2", "ts": "1.0"}
+    odd = [
+        {**base, "reply_count": "3", "thread_ts": "1.0"}, {**base, "files": {}}, {**base, "ts": 2.5}, {**base, "text": ["a", 1]},
+        {**base, "edited": 7, "reactions": "x", "blocks": {"a": 1}}, {**base, "user": 12, "subtype": None},
+    ]
+    landed = landing.parse_messages(lines(spark, [json.dumps(r) for r in odd] + ["{", "[1]", "7"]))
+    good, bad = nz.split_bad_rows(landed)
+    rows = good.collect()
+    assert len(rows) == len(odd) and sorted(r["reason"] for r in bad.collect())[0] == "broken json" and bad.count() == 3
+    assert {r["reply_count"] for r in rows} == {3, None} and {r["ts"] for r in rows} == {"1.0", "2.5"}
+    assert {r["text"] for r in rows} == {None, '["a",1]'} and {r["user"] for r in rows} == {None, "12"}
+    assert all(not r["files"] for r in rows)
+
+
+def test_mentions_in_file_titles_and_rich_text_are_resolved(spark):
+    rich = [{"type": "rich_text", "elements": [{"type": "rich_text_section", "elements": [
+        {"type": "text", "text": "see <@U2> and "}, {"type": "user", "user_id": "U1"}, {"type": "text", "text": " in <#C2>"}]}]}]
+    raw = raw_frame(spark, [
+        {"ts": "1.0", "text": "", "files": [{"name": "f", "title": "for <@U1> in <#C3>"}]}, {"ts": "2.0", "text": "", "blocks": rich},
+        {"ts": "3.0", "text": "<@U1><@U2><@U1> <@U9> <#C2> <#C3|x> <@U2>"},
+    ])
+    users = spark.createDataFrame([("U1", "Ann"), ("U2", "Bob")], "slack_id string, name string")
+    channels = spark.createDataFrame([("C2", "dev"), ("C3", "ops")], "slack_id string, name string")
+    good, _ = nz.split_bad_rows(raw)
+    rows = {r["ts_us"]: r for r in nz.normalize(good, rs.name_book(users, channels)).collect()}
+    first, second, third = (rows[k * 1_000_000] for k in (1, 2, 3))
+    assert first["clean_text"] == "[File: f] for @Ann in #ops" and first["mentions_users"] == ["Ann"]
+    assert second["text"] == "see <@U2> and @Ann in <#C2>" and second["clean_text"] == "see @Bob and @Ann in #dev"
+    assert second["mentions_users"] == ["Bob"]
+    assert third["clean_text"] == "@Ann@Bob@Ann @U9 #dev #x @Bob" and third["mentions_users"] == ["Ann", "Bob"]
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_repeated_ids_in_the_book_and_missing_keys(spark, monkeypatch, small):
+    monkeypatch.setattr(rs, "is_small", lambda side: small)
+    users = spark.createDataFrame([("U1", "Zed"), ("U1", "Ann"), ("U2", "Bob")], "slack_id string, name string")
+    rows = [(None, "<@U1>"), (None, "<@U2>"), ("a", "<@U1> <@U2>"), ("a", "<@U1>"), (None, None), ("b", "<@U1><@U2><@U3><@U4><@U1>")]
+    m = spark.createDataFrame(rows, "id string, text string")
+    got = sorted(((r["id"], r["clean_text"], r["mentions_users"]) for r in rs.rewrite_mentions(m, rs.name_book(users)).collect()), key=repr)
+    assert got == sorted([
+        (None, "@Ann", ["Ann"]), (None, "@Bob", ["Bob"]), ("a", "@Ann @Bob", ["Ann", "Bob"]), ("a", "@Ann", ["Ann"]), (None, None, None),
+        ("b", "@Ann@Bob@U3@U4@Ann", ["Ann", "Bob"])], key=repr)
+
+
+def test_raw_lines_are_scanned_once(spark, tmp_path):
+    lines(spark, [json.dumps({"conversation_id": "C2", "conversation_name": "dev", **r}) for r in RAW.values()]).write.text(str(tmp_path / "in"))
+    users = spark.createDataFrame([("U1", "Ann")], "slack_id string, name string")
+    raw = landing.read_messages(spark, str(tmp_path / "in")).withColumn("conversation_name", F.lit("dev"))
+    plan = nz.normalize(raw, rs.name_book(users))._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan json" not in plan and "Scan json" not in plan  # the drafts were written from one reading
