@@ -71,10 +71,13 @@ def with_draft(raw: DataFrame) -> DataFrame:
 def normalize(raw: DataFrame, book: DataFrame) -> DataFrame:
     """The 22 message columns. `raw` carries conversation_name and conversation_type.
 
-    Texts and the ids in them are read out once and written aside; then one lookup
-    for author and mentions, and plain projections.
+    Texts and the ids in them are read out once and written aside.
     """
-    drafted = written(with_draft(raw), "drafts")
+    return normalize_drafts(written(with_draft(raw), "drafts"), book)
+
+
+def normalize_drafts(drafted: DataFrame, book: DataFrame) -> DataFrame:
+    """`normalize` for rows that have their draft: one lookup for author and mentions, then plain projections."""
     named = attach_names(drafted, F.col("_ids"), book, most=DIRECT_IDS + 1)
     names = F.col("names")
     who = tx.blank_to_null(F.col("user"))

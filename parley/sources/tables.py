@@ -153,11 +153,11 @@ def _replace_partitions(spark: SparkSession, path: str, rows: DataFrame, partiti
 def upsert_into(
     spark: SparkSession, path: str, new: DataFrame, schema: T.StructType, key: Sequence[str],
     order: Sequence[Column], partitions: Sequence[str],
-) -> list[dict[str, str]]:
+) -> tuple[DataFrame, list[dict[str, str]]]:
     """Insert or replace `new` by key in the partitioned parquet table at `path`.
 
     The new rows are computed once. Only the partitions they fall into are read and
-    rewritten; these are returned.
+    rewritten. Returns the new rows as they were written, and these partitions.
     """
     finish_pending_swap(spark, path, partitions)
     stored = _stored_schema(schema, partitions)
@@ -166,7 +166,7 @@ def upsert_into(
     if touched:
         old = in_partitions(read_table(spark, path, stored), touched)
         _replace_partitions(spark, path, replaced(old, latest, key), partitions)
-    return touched
+    return latest, touched
 
 
 def replace_in(

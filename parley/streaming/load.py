@@ -8,6 +8,7 @@ table; only the dates it touches are rewritten.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -19,7 +20,7 @@ from parley.functions.times import epoch_us
 from parley.operators import kept
 from parley.operators.ingest import dims_missing, update_marks, upsert_conversations, upsert_dimension
 from parley.operators.normalize import (
-    attachments, last_sent, mark_bad_rows, normalize, reactions, with_conversation_name,
+    attachments, last_sent, mark_bad_rows, normalize_drafts, reactions, with_conversation_name, with_draft,
 )
 from parley.operators.resolve import name_book
 from parley.session import scratch, written
@@ -143,46 +144,61 @@ def _load_batch(spark, raw, store, conversations, users, channels, batch_id, as_
     order = [F.desc_nulls_last(edited_ts_us(F.col("edited"))), F.desc(F.xxhash64(*good.columns))]
     latest = last_sent(good, order)
     known = known_conversations(spark, store, conversations)
-    named = written(
-        with_date(with_conversation_name(latest, known, book).withColumn("ts_us", epoch_us(F.col("ts")))), "named"
-    )
+    named = with_date(with_conversation_name(latest, known, book).withColumn("ts_us", epoch_us(F.col("ts"))))
+    drafts = written(with_draft(named), "drafts")
 
-    fresh = written(with_date(normalize(named, book)), "messages")
-    touched = upsert_into(
-        spark, store.path("messages"), fresh, MESSAGE_TABLE, ["id"], [F.desc("ts_us")], MESSAGE_PARTITIONS
-    )
-    # Attachments and reactions lie in the date partition of their message.
-    upsert_into(
-        spark, store.path("attachments"), attachments(named, ["dt"]), ATTACHMENT_TABLE, ["id"],
-        [F.desc("message_id")], ["dt"],
+    fresh, touched = upsert_into(
+        spark, store.path("messages"), with_date(normalize_drafts(drafts, book)), MESSAGE_TABLE, ["id"],
+        [F.desc("ts_us")], MESSAGE_PARTITIONS,
     )
-    upsert_into(
-        spark, store.path("reactions"), reactions(named, book, as_of_us, ["dt"]), REACTION_TABLE,
-        ["message_id", "emoji", "user_name"], [F.desc("ts_us")], ["dt"],
+    # The other tables do not depend on each other: their small jobs run side by side.
+    _side_by_side(
+        # Attachments and reactions lie in the date partition of their message.
+        lambda: upsert_into(
+            spark, store.path("attachments"), attachments(drafts, ["dt"]), ATTACHMENT_TABLE, ["id"],
+            [F.desc("message_id")], ["dt"],
+        ),
+        lambda: upsert_into(
+            spark, store.path("reactions"), reactions(drafts, book, as_of_us, ["dt"]), REACTION_TABLE,
+            ["message_id", "emoji", "user_name"], [F.desc("ts_us")], ["dt"],
+        ),
+        lambda: _keep_days(spark, store, touched),
+        lambda: _keep_grams(spark, store, fresh, touched),
+        lambda: upsert_into(
+            spark, store.path("replies"), kept.replies(fresh.drop("dt")), schemas.REPLIES, ["id"], [F.desc("ts_us")],
+            REPLY_PARTITIONS,
+        ),
     )
-    _keep_beside(spark, store, fresh, touched)
-    _write_conversations(spark, store, known, named, book, as_of_us)
-    _write_marks(spark, store, named)
-
-
-def _keep_beside(spark: SparkSession, store: Store, fresh: DataFrame, touched: list[dict[str, str]]) -> None:
-    """Counts of the touched dates anew; runs of characters and replies of the fresh messages added."""
-    if not touched:
-        return
-    rows = in_partitions(read_messages_table(spark, store), touched)
-    replace_in(spark, store.path("daily"), kept.daily(rows), schemas.DAILY, MESSAGE_PARTITIONS)
-    upsert_into(
-        spark, store.path("replies"), kept.replies(fresh.drop("dt")), schemas.REPLIES, ["id"], [F.desc("ts_us")],
-        REPLY_PARTITIONS,
+    _side_by_side(
+        lambda: _write_conversations(spark, store, known, drafts, book, as_of_us),
+        lambda: _write_marks(spark, store, drafts),
     )
-    grams = read_table(spark, store.path("grams"), schemas.GRAMS)
-    all_grams = in_partitions(grams, touched).unionByName(kept.grams(fresh)).distinct()
-    replace_in(spark, store.path("grams"), all_grams, schemas.GRAMS, MESSAGE_PARTITIONS)
 
 
-def _write_marks(spark: SparkSession, store: Store, named: DataFrame) -> None:
+def _side_by_side(*steps: Callable[[], object]) -> None:
+    with ThreadPoolExecutor(len(steps)) as pool:
+        for done in [pool.submit(step) for step in steps]:
+            done.result()
+
+
+def _keep_days(spark: SparkSession, store: Store, touched: list[dict[str, str]]) -> None:
+    """Counts of the touched dates anew."""
+    if touched:
+        rows = in_partitions(read_messages_table(spark, store), touched)
+        replace_in(spark, store.path("daily"), kept.daily(rows), schemas.DAILY, MESSAGE_PARTITIONS)
+
+
+def _keep_grams(spark: SparkSession, store: Store, fresh: DataFrame, touched: list[dict[str, str]]) -> None:
+    """Runs of characters of the fresh messages added to those of the touched dates."""
+    if touched:
+        old = in_partitions(read_grams(spark, store), touched)
+        rows = old.unionByName(kept.grams(fresh)).distinct()
+        replace_in(spark, store.path("grams"), rows, schemas.GRAMS, MESSAGE_PARTITIONS)
+
+
+def _write_marks(spark: SparkSession, store: Store, drafts: DataFrame) -> None:
     old = read_small(spark, store.path("sync_state"), schemas.SYNC_STATE)
-    replace_small(spark, store.path("sync_state"), update_marks(old, named.select("conversation_id", "ts_us")))
+    replace_small(spark, store.path("sync_state"), update_marks(old, drafts.select("conversation_id", "ts_us")))
 
 
 def known_conversations(spark: SparkSession, store: Store, given: DataFrame) -> DataFrame:
@@ -194,10 +210,10 @@ def known_conversations(spark: SparkSession, store: Store, given: DataFrame) ->
 
 
 def _write_conversations(
-    spark: SparkSession, store: Store, known: DataFrame, named: DataFrame, book: DataFrame, as_of_us: int
+    spark: SparkSession, store: Store, known: DataFrame, drafts: DataFrame, book: DataFrame, as_of_us: int
 ) -> None:
     """Add the conversations of a batch; counts and newest times come from the kept counts."""
-    seen = named.groupBy(F.col("conversation_id").alias("id")).agg(F.max("conversation_type").alias("type"))
+    seen = drafts.groupBy(F.col("conversation_id").alias("id")).agg(F.max("conversation_type").alias("type"))
     nobody = F.lit(None).cast("array<string>")
     fresh = seen.select(
         "id", F.lit(None).cast("string").alias("name"), "type", nobody.alias("participants"), F.lit(1).alias("seq")

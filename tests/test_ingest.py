@@ -262,7 +262,7 @@ def test_new_rows_are_computed_once(spark, tmp_path):
     assert tables.upsert(old, new, ["id"], [F.desc("v")]).count() == 1000 and seen.value == 1000
     schema = schemas.T.StructType([schemas.T.StructField("id", schemas.L), schemas.T.StructField("v", schemas.L), schemas.T.StructField("dt", schemas.S)])
     for k in (2, 3):
-        touched = tables.upsert_into(spark, str(tmp_path / "m"), new, schema, ["id"], [F.desc("v")], ["dt"])
+        _, touched = tables.upsert_into(spark, str(tmp_path / "m"), new, schema, ["id"], [F.desc("v")], ["dt"])
         assert seen.value == k * 1000 and touched == [{"dt": f"2024-01-0{d}"} for d in (1, 2, 3)]
     assert tables.read_table(spark, str(tmp_path / "m"), schema).count() == 1000
 
