@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from parley.llm.bpe_files import (
     NEWER_CLASS, SPACE, Vocabulary, byte_letters, file_text, has_newer, lowered, read_vocabulary,
 )
-from parley.llm.common import keyed_texts
+from parley.llm.common import keyed_texts, mapped
 
 KEPT_WORDS = 200_000
 KEPT_LENGTH = 48
@@ -158,7 +158,7 @@ def _mapped(docs: DataFrame, file: str, work: Callable, schema: str) -> DataFram
         for batch in batches:
             yield from work(encoder, batch)
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def _pieces(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from parley.session import ship
 
 #: Blanks between words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = "[\\x20\\x09-\\x0D]+"
@@ -42,3 +44,9 @@ def salted_left_join(rows: DataFrame, side: DataFrame, key: Sequence[str], hot_k
     copies = F.sequence(F.lit(0), F.when(F.col(hot), F.lit(salts - 1)).otherwise(0))
     sent = side.join(few, [*key], "left").withColumn(salt, F.explode(copies)).drop(hot)
     return dealt.join(sent, [*key, salt], "left").drop(salt)
+
+
+def mapped(rows: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """`mapInArrow` with a function of this package, which the executors need not have."""
+    ship(rows.sparkSession)
+    return rows.mapInArrow(run, schema)

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from parley.llm.common import free_name, keyed_texts, salted_left_join
+from parley.llm.common import free_name, keyed_texts, mapped, salted_left_join
 from parley.operators.keyed import is_small
 from parley.session import written
 
@@ -196,7 +196,7 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             rest = [pa.array(columns[f.name], f.type) for f in list(arrow)[1:]]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(arrow.field(0).type), *rest], schema=arrow)
 
-    return texts.mapInArrow(run, schema)
+    return mapped(texts, run, schema)
 
 
 def contexts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -228,7 +228,7 @@ def contexts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                         yield out()
         yield out()
 
-    return texts.mapInArrow(run, schema)
+    return mapped(texts, run, schema)
 
 
 def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -287,7 +287,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     texts = docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike("[@0-9]"))
     texts = texts.withColumn("key", _text_key("text")).join(marks, "key").select("key", "text", "kinds")
-    extra = texts.mapInArrow(run, schema).groupBy("key").agg(F.max("more").alias("more"), F.count("*").alias("n"))
+    extra = mapped(texts, run, schema).groupBy("key").agg(F.max("more").alias("more"), F.count("*").alias("n"))
     extra = written(extra, "pii-extra")
     n = found.count()
     hot = extra.where(F.col("n") * HOT > n)
@@ -332,4 +332,4 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
             yield batch.drop_columns([kinds])
 
-    return rows.mapInArrow(run, docs.schema)
+    return mapped(rows, run, docs.schema)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from parley.llm.common import salted_left_join
+from parley.llm.common import mapped, salted_left_join
 from parley.session import written
 
 SHARD_ROWS = 20_000
@@ -276,7 +276,7 @@ def _shards(lower: DataFrame) -> DataFrame:
             yield out()
 
     sent = lower.select(*names).repartition("shard").sortWithinPartitions("shard", "c", "depth")
-    return sent.mapInArrow(run, _SHARD)
+    return mapped(sent, run, _SHARD)
 
 
 def _paths(rows: DataFrame, ends: DataFrame) -> DataFrame:
@@ -374,7 +374,7 @@ def _end_digests(ends: DataFrame) -> DataFrame:
             done.append((*now, state.hexdigest()))
         yield out()
 
-    return ends.select(*NODE, "c").repartition(*NODE).sortWithinPartitions(*NODE, "c").mapInArrow(run, schema)
+    return mapped(ends.select(*NODE, "c").repartition(*NODE).sortWithinPartitions(*NODE, "c"), run, schema)
 
 
 def prefix_trie(rows: DataFrame, convs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from parley.llm.bpe_files import NEWER_CLASS, SPACE, Vocabulary, byte_letters, file_text, has_newer, read_vocabulary
-from parley.llm.common import keyed_texts
+from parley.llm.common import keyed_texts, mapped
 
 KEPT_WORDS = 300_000
 KEPT_LENGTH = 64
@@ -197,4 +197,4 @@ def token_counts(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: s
                 )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
+    return mapped(texts, run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint")

@@ -16,8 +16,10 @@ Id, labels, language and source are never features.
 Defined results: NULL texts count as empty and are scored like an empty text; a
 document labelled several times counts as toxic if one label says so; without
 labels of both classes the score of all documents is the share of toxic labels (0
-without any); a NULL id is not held out; repeated rows are answered each; an empty
-table gives an empty result.
+without any); a NULL id is not held out; repeated rows are answered each, and an id
+with several texts teaches the first of them; texts of any length are read whole;
+only id and text are read, so other columns may have any name; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from parley.llm.common import keyed_texts
+from parley.llm.common import keyed_texts, mapped
 from parley.session import written
 
 #: Bounds of what the model is fitted on.
@@ -99,7 +101,7 @@ def _term_counts(labelled: DataFrame) -> DataFrame:
                  "toxic": pa.array([toxic[t] for t in names], pa.int64())}
             )
 
-    counts = labelled.select("text", "label").mapInArrow(run, "term string, n bigint, toxic bigint")
+    counts = mapped(labelled.select("text", "label"), run, "term string, n bigint, toxic bigint")
     return counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
 
 
@@ -180,7 +182,7 @@ def with_features(rows: DataFrame, entries: dict[str, float], *kept: str) -> Dat
                     [*[piece.column(c) for c in kept], pa.array(found, pa.list_(pa.float64()))], schema=arrow
                 )
 
-    return taken.mapInArrow(run, schema)
+    return mapped(taken, run, schema)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
@@ -189,6 +191,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> D
     known = known.groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
     rows = docs.join(F.broadcast(chosen), "doc_id")  # bounded by the sample size
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # one text per id, however often it occurs
     return rows.select("text", "label", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)).alias("fold"))
 
 
