@@ -2,25 +2,35 @@
 
 Three fixed patterns (assigned values, access keys, long hexadecimal runs) give the
 base findings. Their values are labelled credentials: a bounded, hash-chosen sample
-of each kind is laid out as a prefix tree, and states whose observed endings and
-continuations do not differ significantly (Hoeffding bound) are merged, first state
-first, into a deterministic automaton with probabilities. Ordinary runs of the
-corpus, taken outside the base findings, give one more automaton. Every run of
-credential letters, also what remains of it beside base findings, is then scored as
-a whole, without outer punctuation, and cut at `=` and `/`: the first of these that
-passes becomes a finding. It passes when under some kind its mean log likelihood
-lies no more than `DEVIATIONS` standard deviations (for its length) below that of
-the kind's own examples, and beats what is ordinary: by `MARGIN` per character, or
-by `EVIDENCE` in all when it has fewer than `LONG` characters. Ordinary is the
-better of that automaton and, for runs of digits or letters only (short ones of
-capitals and digits too), of even draws from these, so numbers and capitals do not pass for lack of examples.
+of each kind is parted by shape (a beginning that many share, else the characters
+used), and each shape with enough examples gets a deterministic automaton with
+probabilities, merged from its prefix tree in two steps. First states of one depth
+whose endings and continuations do not differ significantly (Hoeffding bound) are
+merged, largest first, so that beginnings, fixed places and lengths stay. Then a
+state is merged with the one before it where both were visited often enough to tell
+and nothing that follows differs, up to the ends; lengths that vary become loops.
+Ordinary runs of the corpus, taken outside the base findings, give one more
+automaton, of which any compatible states are merged.
+
+Every run of credential letters, also what remains of it beside base findings, is
+scored as a whole, without outer punctuation, and cut at `=` and `/`: the first of
+these that passes becomes a finding. It passes under a shape when its log likelihood
+along its path lies no more than `DEVIATIONS` standard deviations plus `SLACK` (less
+for short runs; enough for another length) below what the states on that path lead
+one to expect of a fresh example, if it has no punctuation that the shape never has,
+and beats what is ordinary: by `MARGIN` per character, or by `EVIDENCE` in all when it
+has fewer than `LONG` characters. Ordinary is the better of that automaton and, for
+runs of digits or letters only (short ones of capitals and digits too), of even draws
+from these, so numbers and capitals do not pass for lack of examples.
 
 The sample is taken from a first reading of the texts; a second one scores their
 runs against the broadcast automata.
 
-Defined results: NULL texts count as empty and have no findings; a kind without
-`LEAST_EXAMPLES` different examples infers no automaton, so nothing is added for
-it; repeated rows are answered each; an empty table gives an empty result.
+Defined results: NULL texts count as empty and have no findings; shapes with fewer
+than `LEAST_EXAMPLES` different examples of a kind are taken together, and infer
+nothing when they are still fewer; repeated rows are answered each; texts of any
+length are read whole; `scan` reads id and text only and `redact` keeps all other
+columns whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,23 +39,30 @@ import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from statistics import fmean, pstdev
+from statistics import fmean
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from parley.llm.common import keyed_texts
+from parley.llm.common import keyed_texts, mapped
 from parley.session import written
 
 #: Bounds of the sample that the automata are inferred from.
-EXAMPLES_PER_KIND = 500
+EXAMPLES_PER_KIND = 1000
 ORDINARY_WORDS = 2000
 EXAMPLE_CHARS = 256
 LEAST_EXAMPLES = 10
 
 ALPHA = 0.01
+#: Visits from which states of different depths may be told apart, and merged.
+VISITS = 30
+#: Letters of a beginning that makes a shape when enough examples share it.
+BEGINNING = 4
 SMOOTHING = 0.05
+SLACK, SLACK_CHARS = 10.0, 32
+#: What a character that ordinary runs lack costs at most.
+LEAST_USUAL = -8.0
 MARGIN = 0.5
 EVIDENCE = 20.0
 LONG = 16
@@ -73,7 +90,9 @@ CUTS = re.compile("[^=/]+")
 #: products), and the log likelihood of each of them in even draws (with an end).
 EVEN = tuple(
     (re.compile(letters).fullmatch, -math.log(n + 1))
-    for letters, n in (("[0-9]+", 10), ("[a-z]+", 26), ("[A-Z]+", 26), ("[A-Za-z]+", 52), ("[A-Z0-9]{1,%d}" % (LONG - 1), 36))
+    for letters, n in (
+        ("[0-9]+", 10), ("[a-z]+", 26), ("[A-Z]+", 26), ("[A-Za-z]+", 52), ("[A-Z0-9]{1,%d}" % (LONG - 1), 36), ("[0-9._/-]+", 14),
+    )
 )
 
 
@@ -149,12 +168,14 @@ class State:
 
 
 class Automaton:
-    """Merged prefix tree of example strings with transition counts."""
+    """Merged prefix tree of example strings with transition counts.
 
-    def __init__(self, examples: list[str], alpha: float = ALPHA):
+    With `keep_length` states are merged depth by depth first, else any two that agree.
+    """
+
+    def __init__(self, examples: list[str], alpha: float = ALPHA, keep_length: bool = False):
         self.states = [State()]
-        self.steps: list[dict[str, tuple[float, int]]] = []
-        self.unseen: list[tuple[float, int]] = []
+        self.paths: list[tuple[dict[str, tuple[float, int, float]], tuple[float, int, float], float]] = []
         parent: list[tuple[int, str]] = [(-1, "")]
         for text in sorted(examples):
             at = 0
@@ -170,7 +191,10 @@ class Automaton:
                 self.states[at].count += 1
             self.states[at].ends += 1
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
-        self._merge(parent)
+        if keep_length:
+            self._merge_along(self._merge_levels())
+        else:
+            self._merge(parent)
 
     def _differ(self, n1: int, k1: int, n2: int, k2: int) -> bool:
         return abs(k1 / n1 - k2 / n2) > self.bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
@@ -224,65 +248,218 @@ class Automaton:
                     break
             else:
                 kept.append(new)
+        self._renumber(kept)
+
+    def _renumber(self, kept: list[int]) -> None:
         number = {s: k for k, s in enumerate(kept)}
         self.states = [
             State(s.count, s.ends, {x: number[t] for x, t in s.to.items()}, s.seen)
             for s in (self.states[k] for k in kept)
         ]
 
-    def scores(self, text: str, alphabet: int = ALPHABET) -> list[float]:
+    def _merge_levels(self) -> list[list[int]]:
+        """Merge compatible states of one depth, the most visited first; the states that stay, by depth."""
+        levels = [[0]]
+        while True:
+            entered: dict[int, list[tuple[int, str]]] = {}
+            for s in levels[-1]:
+                for letter, t in self.states[s].to.items():
+                    entered.setdefault(t, []).append((s, letter))
+            if not entered:
+                return levels
+            kept: list[int] = []
+            for new in sorted(entered, key=lambda t: (-self.states[t].count, entered[t])):
+                for old in kept:
+                    if self._compatible(old, new):
+                        self._fold(old, new)
+                        for s, letter in entered[new]:
+                            self.states[s].to[letter] = old
+                        break
+                else:
+                    kept.append(new)
+            levels.append(kept)
+
+    def _merge_along(self, levels: list[list[int]]) -> None:
+        """Merge states with those right before them where neither they nor what follows them differ."""
+        root = list(range(len(self.states)))
+
+        def find(s: int) -> int:
+            while root[s] != s:
+                root[s] = root[root[s]]
+                s = root[s]
+            return s
+
+        def agree(a: int, b: int) -> bool:
+            open_, met = [(a, b)], {(a, b)}
+            while open_:
+                a, b = open_.pop()
+                p, q = self.states[a], self.states[b]
+                if self._differ(p.count, p.ends, q.count, q.ends):
+                    return False
+                for letter in {*p.seen, *q.seen}:
+                    if self._differ(p.count, p.seen.get(letter, 0), q.count, q.seen.get(letter, 0)):
+                        return False
+                    if letter in p.to and letter in q.to:
+                        pair = (find(p.to[letter]), find(q.to[letter]))
+                        if pair[0] != pair[1] and pair not in met:
+                            met.add(pair)
+                            open_.append(pair)
+            return True
+
+        def unite(a: int, b: int) -> None:
+            open_ = [(a, b)]
+            while open_:
+                a, b = map(find, open_.pop())
+                if a == b:
+                    continue
+                root[b] = a
+                p, q = self.states[a], self.states[b]
+                p.count += q.count
+                p.ends += q.ends
+                for letter, n in q.seen.items():
+                    p.seen[letter] = p.seen.get(letter, 0) + n
+                for letter, t in q.to.items():
+                    if letter in p.to:
+                        open_.append((p.to[letter], t))
+                    else:
+                        p.to[letter] = t
+
+        for before, level in zip(levels, levels[1:]):
+            for b in level:
+                for a in before:
+                    x, y = find(a), find(b)
+                    if x == y or b not in self.states[a].to.values():
+                        continue
+                    if min(self.states[x].count, self.states[y].count) >= VISITS and agree(x, y):
+                        unite(x, y)
+        for state in self.states:
+            state.to = {letter: find(t) for letter, t in state.to.items()}
+        kept, open_ = [], [find(0)]
+        while open_:
+            s = open_.pop()
+            if s not in kept:
+                kept.append(s)
+                open_.extend(self.states[s].to.values())
+        self._renumber(kept)
+
+    def _prepare(self) -> None:
+        """Per state: letter -> (log likelihood, next state, its difference from what is expected), the same for
+        other letters, and the variance.
+
+        A state's counts are backed by as many draws from the letters of the whole automaton as it has seen
+        different letters, since at one place of a format few examples show few of its letters.
+        """
+        whole: dict[str, int] = {}
+        for state in self.states:
+            for letter, n in state.seen.items():
+                whole[letter] = whole.get(letter, 0) + n
+        total = sum(whole.values()) + SMOOTHING * (ALPHABET + 1)
+        share = {letter: (n + SMOOTHING) / total for letter, n in whole.items()}
+        for state in self.states:
+            backing = max(1, len(state.seen))
+            size = state.count + backing
+            p = {x: (state.seen.get(x, 0) + backing * q) / size for x, q in share.items()}
+            logs = {x: math.log(v) for x, v in p.items()}
+            # What a fresh example would get here: each one seen is judged by the others (past an end, nothing is expected).
+            alone = {x: backing - (n == 1) for x, n in state.seen.items()}
+            fresh = {
+                x: math.log((n - 1 + max(alone[x], 0.5) * share[x]) / (state.count - 1 + max(alone[x], 0.5)))
+                for x, n in state.seen.items()
+            }
+            weight = sum(state.seen.values())
+            mean = sum(n * fresh[x] for x, n in state.seen.items()) / weight if weight else 0.0
+            spread = sum(n * (fresh[x] - mean) ** 2 for x, n in state.seen.items()) / weight if weight else 0.0
+            other = math.log(backing * SMOOTHING / total / size)
+            # A letter that was not seen here leads where most letters lead.
+            led: dict[int, int] = {}
+            for x, t in state.to.items():
+                led[t] = led.get(t, 0) + state.seen[x]
+            usual = max(led, key=lambda t: (led[t], -t), default=0)
+            steps = {x: (log, state.to.get(x, usual), log - mean) for x, log in logs.items()}
+            self.paths.append((steps, (other, usual, other - mean), max(spread, LEAST_SPREAD ** 2)))
+        self.most = max(spread for _, _, spread in self.paths)
+
+    def scores(self, text: str) -> list[float]:
         """Log likelihood of each character along its path."""
+        if not self.paths:
+            self._prepare()
         at, found = 0, []
         for letter in text:
-            state = self.states[at]
-            found.append(math.log((state.seen.get(letter, 0) + SMOOTHING) / (state.count + SMOOTHING * (alphabet + 1))))
-            at = state.to.get(letter, 0)
+            steps, other, _ = self.paths[at]
+            log, at, _ = steps.get(letter) or other
+            found.append(log)
         return found
 
-    def reaches(self, text: str, least: float) -> float | None:
-        """Log likelihood of the text, None as soon as it falls below `least`."""
-        if not self.steps:
-            self.steps = [
-                {x: (math.log((n + SMOOTHING) / (s.count + SMOOTHING * (ALPHABET + 1))), s.to.get(x, 0)) for x, n in s.seen.items()}
-                for s in self.states
-            ]
-            self.unseen = [(math.log(SMOOTHING / (s.count + SMOOTHING * (ALPHABET + 1))), 0) for s in self.states]
-        at, total, steps, unseen = 0, 0.0, self.steps, self.unseen
+    def follows(self, text: str) -> float | None:
+        """Log likelihood of the text, None when it is too unlikely for its path or has foreign punctuation."""
+        if not self.paths:
+            self._prepare()
+        slack = SLACK * min(1.0, len(text) / SLACK_CHARS)
+        least = -DEVIATIONS * math.sqrt(self.most * len(text)) - slack
+        at, total, beyond, variance, paths = 0, 0.0, 0.0, 0.0, self.paths
         for letter in text:
-            step, at = steps[at].get(letter) or unseen[at]
-            total += step
-            if total < least:
+            steps, other, spread = paths[at]
+            step = steps.get(letter)
+            if step is None and letter in PUNCTUATION:
                 return None
-        return total
+            log, at, difference = step or other
+            total += log
+            beyond += difference
+            variance += spread
+            if beyond < least:
+                return None
+        return total if beyond >= -DEVIATIONS * math.sqrt(variance) - slack else None
 
     def score(self, text: str) -> float:
         """Mean log likelihood per character."""
         return fmean(self.scores(text)) if text else 0.0
 
 
+def shape(value: str) -> str:
+    """The characters that a value is made of."""
+    marks = "".join(m for m, used in ((".", "."), ("-", "-_"), ("/", "+/=")) if any(c in value for c in used))
+    if marks:
+        return marks
+    for name, letters in (("digits", "[0-9]+"), ("hex", "[0-9a-f]+"), ("HEX", "[0-9A-F]+"), ("CAPITALS", "[0-9A-Z]+")):
+        if re.fullmatch(letters, value):
+            return name
+    return "letters"
+
+
+def by_shape(values: list[str]) -> list[list[str]]:
+    """Values that share a beginning or are made of the same characters; small groups together."""
+    begin: dict[str, list[str]] = {}
+    for value in values:
+        begin.setdefault(value[:BEGINNING], []).append(value)
+    groups: dict[str, list[str]] = {}
+    for start, own in begin.items():
+        for value in own:
+            groups.setdefault(f"{start}..." if len(own) >= LEAST_EXAMPLES else shape(value), []).append(value)
+    large = [groups[name] for name in sorted(groups) if len(groups[name]) >= LEAST_EXAMPLES]
+    rest = [value for name in sorted(groups) if len(groups[name]) < LEAST_EXAMPLES for value in groups[name]]
+    return [*large, rest] if len(rest) >= LEAST_EXAMPLES else large
+
+
 @dataclass
 class Formats:
-    """The automata of the kinds with mean and spread of their examples' characters, and the ordinary one."""
+    """The automata of the shapes of each kind, and the ordinary one."""
 
-    kinds: list[tuple[Automaton, float, float]]
+    kinds: list[tuple[str, Automaton]]
     ordinary: Automaton | None
     known: dict[str, list[tuple[int, int]]] = field(default_factory=dict)
 
     @staticmethod
     def fit(examples: dict[str, list[str]], ordinary: list[str]) -> Formats:
-        kinds = []
-        for kind in sorted(examples):
-            own = sorted(set(examples[kind]))
-            if len(own) >= LEAST_EXAMPLES:
-                automaton = Automaton(own)
-                letters = [x for text in own for x in automaton.scores(text)]
-                kinds.append((automaton, fmean(letters), pstdev(letters)))
+        kinds = [
+            (kind, Automaton(own, keep_length=True))
+            for kind in sorted(examples) for own in by_shape(sorted(set(examples[kind])))
+        ]
         return Formats(kinds, Automaton(ordinary) if ordinary else None)
 
     def accepts(self, run: str) -> bool:
         size, usual = len(run), None
-        for automaton, mean, spread in self.kinds:
-            score = automaton.reaches(run, size * mean - DEVIATIONS * max(spread, LEAST_SPREAD) * math.sqrt(size))
+        for _, automaton in self.kinds:
+            score = automaton.follows(run)
             if score is None:
                 continue
             if usual is None:
@@ -294,7 +471,8 @@ class Formats:
     def usual(self, run: str) -> float:
         """Mean log likelihood per character of the run as an ordinary one."""
         even = next((p for matches, p in EVEN if matches(run)), -math.inf)
-        return max(even, self.ordinary.score(run) if self.ordinary else -math.inf)
+        known = self.ordinary.scores(run) if self.ordinary else []
+        return max(even, fmean(max(x, LEAST_USUAL) for x in known) if known else -math.inf)
 
     def secrets(self, run: str) -> list[tuple[int, int]]:
         """`secrets_in` the run; answers for runs of common length are kept, as words come again."""
@@ -353,13 +531,13 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             columns = [pa.array(c, f.type) for c, f in zip((base, ordinary), list(arrow)[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(arrow.field(0).type), *columns], schema=arrow)
 
-    return texts.mapInArrow(run, schema)
+    return mapped(texts, run, schema)
 
 
 def fit(found: DataFrame) -> Formats:
     """Automata from a bounded sample of the values found."""
-    values = found.select(F.explode("base").alias("s")).select("s.kind", "s.value").where(
-        F.char_length("value") <= EXAMPLE_CHARS
+    values = found.select(F.explode("base").alias("s")).select(
+        "s.kind", F.substring("s.value", 1, EXAMPLE_CHARS).alias("value")
     ).distinct()
     first = W.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
     sample = values.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= EXAMPLES_PER_KIND)
@@ -378,7 +556,7 @@ def _with_formats(rows: DataFrame, formats: Formats, work: Callable, schema: T.S
         for batch in batches:
             yield work(shared.value, batch)
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
 def _listed(spans: list[Span]) -> str:
