@@ -4,23 +4,29 @@ Words are runs of letters and digits, lower-cased; each becomes a 64-bit number.
 A document and a benchmark item are compared when they share a seed, a run of
 `SEED` equal words: the seeds of all items are looked up among the running hashes
 of each document. For such a pair, running Karp-Rabin hashes of falling length find
-the matching runs among unmarked words, the longest run is marked as a tile, and so
+the longest matching runs among unmarked words, these are marked as tiles, and so
 on until no run of `SEED` words is left. Tiles do not overlap, but may lie in any
 order, so a passage whose parts were moved about is still covered. A document is
-contaminated by an item when its tiles cover `THRESHOLD` of the item's words.
+contaminated by an item when its tiles cover `THRESHOLD` of the item's words, or one
+tile has `LONG_TILE` words.
+
+Seeds are looked up once each, however often they occur in a document or an item, and
+a pair goes on only if the seeds it shares could cover enough: memory is linear in
+the words of a document and of a block of items.
 
 The items are a stated query set against all documents: they are read in blocks of
 bounded size and sent to the tasks block by block. Documents are not moved.
 
-Defined results: NULL or empty texts match nothing; items of fewer than `SEED`
-words have no seed and cannot be tested; repeated documents or items give a row
-each; empty tables give an empty result; runs of the same length are marked from
-the front of the item, then of the document.
+Defined results: NULL or empty texts match nothing; an item of fewer than `SEED`
+words contaminates the documents that hold all of it in a row and of whose words it
+is at least `THRESHOLD`; repeated documents or items give a row each; texts of any
+length are read whole; `contaminated` reads id and text only and `clean` keeps all
+other columns whatever their names; empty tables give an empty result; runs of the
+same length are marked from the front of the item, then of the document.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections.abc import Callable, Iterator
@@ -31,11 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from parley.llm.common import keyed_texts
+from parley.llm.common import keyed_texts, mapped
 
 SEED = 5
 THRESHOLD = 0.5
-START = 20
+LONG_TILE = 50
 BLOCK_CHARS = 4_000_000
 PIECE = 1 << 20
 
@@ -104,124 +110,178 @@ def _hash_words(line: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(numbers), np.concatenate(places)
 
 
-def _runs(words: np.ndarray, size: int) -> np.ndarray:
-    """Running hash of each `size` words in a row."""
-    n = len(words) - size + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    up, down = _power_tables(len(words))
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[:len(words)], out=sums[1:])
-    return _mix((sums[size:] - sums[:-size]) * down[:n])
-
-
-def _free_runs(words: np.ndarray, marked: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the runs without a marked word."""
-    hashes = _runs(words, size)
-    taken = np.r_[0, np.cumsum(marked)]
-    at = np.flatnonzero(taken[size:] == taken[:-size]) if len(hashes) else np.empty(0, np.int64)
-    return at, hashes[at]
-
-
-def _scan(p: np.ndarray, t: np.ndarray, p_marked: np.ndarray, t_marked: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """Longest runs (length, place in p, place in t) of at least `size` equal unmarked words."""
-    at_p, hash_p = _free_runs(p, p_marked, size)
-    at_t, hash_t = _free_runs(t, t_marked, size)
+class Running:
+    """Karp-Rabin hashes of all runs of any length of a row of words."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.up, self.down = _power_tables(len(words))
+        self.sums = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * self.up[:len(words)], out=self.sums[1:])
+
+    def runs(self, size: int) -> np.ndarray:
+        """Hash of each `size` words in a row."""
+        n = len(self.words) - size + 1
+        if n <= 0:
+            return np.empty(0, np.uint64)
+        return _mix((self.sums[size:] - self.sums[:-size]) * self.down[:n])
+
+    def free_runs(self, marked: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the runs without a marked word."""
+        hashes = self.runs(size)
+        if not len(hashes):
+            return np.empty(0, np.int64), hashes
+        taken = np.r_[0, np.cumsum(marked)]
+        at = np.flatnonzero(taken[size:] == taken[:-size])
+        return at, hashes[at]
+
+
+def _known(sorted_hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of the wanted hashes are among the sorted ones."""
+    if not len(sorted_hashes):
+        return np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(sorted_hashes, wanted), len(sorted_hashes) - 1)
+    return sorted_hashes[at] == wanted
+
+
+def _longest(p: Running, t: Running, p_marked: np.ndarray, t_marked: np.ndarray, least: int, most: int) -> int:
+    """The greatest length from `least` to `most` of an unmarked run that both have, 0 without one."""
+    def shared(size: int) -> bool:
+        return bool(_known(np.sort(p.free_runs(p_marked, size)[1]), t.free_runs(t_marked, size)[1]).any())
+
+    if most < least or not shared(least):
+        return 0
+    if shared(most):
+        return most
+    low, high = least, min(2 * least, most)  # a run of `low` words is shared; `high` is raised until none is
+    while high < most and shared(high):
+        low, high = high, min(2 * high, most)
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if shared(middle) else (low, middle)
+    return low
+
+
+def _mark(p: Running, t: Running, p_marked: np.ndarray, t_marked: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """Mark the runs of the given length that both have, from the front of p, then of t."""
+    at_p, hash_p = p.free_runs(p_marked, size)
+    at_t, hash_t = t.free_runs(t_marked, size)
     order = np.argsort(hash_t, kind="stable")
     at_t, hash_t = at_t[order], hash_t[order]
     low, high = np.searchsorted(hash_t, hash_p, "left"), np.searchsorted(hash_t, hash_p, "right")
-    count = high - low
-    i = np.repeat(at_p, count)
-    j = at_t[np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())] if count.sum() else i
-    # A run is entered at its first word only.
-    first = (i == 0) | (j == 0)
-    inner = ~first
-    first[inner] = (p[i[inner] - 1] != t[j[inner] - 1]) | p_marked[i[inner] - 1] | t_marked[j[inner] - 1]
-    found = []
-    for a, b in zip(i[first].tolist(), j[first].tolist()):
-        n = min(len(p) - a, len(t) - b)
-        same = (p[a:a + n] == t[b:b + n]) & ~p_marked[a:a + n] & ~t_marked[b:b + n]
-        k = n if same.all() else int(np.argmin(same))
-        if k >= size:
-            found.append((k, a, b))
-    return found
+    out, passed = [], {}
+    for k in np.flatnonzero(low < high).tolist():
+        i, begin, end = int(at_p[k]), int(low[k]), int(high[k])
+        if p_marked[i:i + size].any():
+            continue
+        at = passed.get(begin, begin)  # places in t that are marked stay so
+        while at < end:
+            j = int(at_t[at])
+            if not t_marked[j:j + size].any() and (p.words[i:i + size] == t.words[j:j + size]).all():
+                p_marked[i:i + size] = t_marked[j:j + size] = True
+                out.append((i, j, size))
+                at += int(np.searchsorted(at_t[at:end], j + size))
+                break
+            at += 1
+        passed[begin] = at
+    return out
 
 
 def tiles(p: np.ndarray, t: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
     """Non-overlapping tiles (place in p, place in t, length), longest first."""
     p_marked, t_marked = np.zeros(len(p), bool), np.zeros(len(t), bool)
-    out = []
-    size = max(least, min(START, len(p)))
-    while True:
-        found = _scan(p, t, p_marked, t_marked, size)
-        longest = max(found, default=(0,))[0]
-        if longest > 2 * size:
-            size = longest
-            continue
-        queue = [(-k, a, b) for k, a, b in found]
-        heapq.heapify(queue)
-        while queue:
-            k, a, b = heapq.heappop(queue)
-            free = ~(p_marked[a:a - k] | t_marked[b:b - k])
-            if free.all():
-                p_marked[a:a - k] = t_marked[b:b - k] = True
-                out.append((a, b, -k))
-                continue
-            edge = np.diff(np.r_[np.int8(0), free.view(np.int8), np.int8(0)])
-            for s, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
-                if e - s >= size:
-                    heapq.heappush(queue, (s - e, a + s, b + s))
-        if size == least:
-            return out
-        size = max(least, size // 2)
+    running_p, running_t = Running(p), Running(t)
+    out, size = [], min(len(p), len(t))
+    while size := _longest(running_p, running_t, p_marked, t_marked, least, size):
+        out += _mark(running_p, running_t, p_marked, t_marked, size)
+        size -= 1
+    return out
 
 
 @dataclass
 class Items:
-    """A block of benchmark items as numbers, with their seeds sorted by hash."""
+    """A block of benchmark items as numbers, with their distinct seeds sorted by hash."""
 
     ids: list
     words: list[np.ndarray]
 
     def __post_init__(self):
-        seeds = [_runs(w, SEED) for w in self.words]
+        seeds = [Running(w).runs(SEED) for w in self.words]
         count = [len(s) for s in seeds]
-        all_seeds = np.concatenate([*seeds, np.empty(0, np.uint64)])
+        self.seeds, number = np.unique(np.concatenate([*seeds, np.empty(0, np.uint64)]), return_inverse=True)
         item = np.repeat(np.arange(len(seeds)), count)
-        place = np.concatenate([*map(np.arange, count), np.empty(0, np.int64)]).astype(np.int64)
-        order = np.argsort(all_seeds, kind="stable")
-        self.seeds, self.item, self.place = all_seeds[order], item[order], place[order]
+        pairs = np.unique(np.stack([number.ravel(), item], axis=1), axis=0) if len(item) else np.empty((0, 2), np.int64)
+        self.holders = pairs[:, 1]  # items of the first seed, of the second, ...
+        self.first = np.searchsorted(pairs[:, 0], np.arange(len(self.seeds) + 1))
+        self.own = np.split(number.ravel(), np.cumsum(count)[:-1]) if count else []  # seed numbers of each item by place
         self.maybe = np.zeros(1 << _FILTER_BITS, bool)
         self.maybe[self.seeds >> np.uint64(64 - _FILTER_BITS)] = True
+        self.short: dict[tuple[int, ...], list[int]] = {}
+        for k, w in enumerate(self.words):
+            if 0 < len(w) < SEED:
+                self.short.setdefault(tuple(w.tolist()), []).append(k)
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, position among the sorted seeds) of the seeds of any item in a row of words."""
-        runs = _runs(words, SEED)
+        """(place, number of the seed) of the seeds of any item in a row of words."""
+        runs = Running(words).runs(SEED)
         at = np.flatnonzero(self.maybe[runs >> np.uint64(64 - _FILTER_BITS)])
-        low = np.searchsorted(self.seeds, runs[at], "left")
-        high = np.searchsorted(self.seeds, runs[at], "right")
-        n = high - low
-        seed = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if n.sum() else np.empty(0, np.int64)
-        return np.repeat(at, n), seed.astype(np.int64)
+        at = at[_known(self.seeds, runs[at])]
+        return at, np.searchsorted(self.seeds, runs[at])
+
+    def candidates(self, present: np.ndarray) -> list[int]:
+        """Items that hold any of the distinct seeds."""
+        count = self.first[present + 1] - self.first[present]
+        place = np.repeat(self.first[present] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+        return np.unique(self.holders[place]).tolist()
 
     def matches(self, words: np.ndarray, threshold: float) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
         """(item, tiles) of the items that the words cover."""
+        yield from self._short_matches(words, threshold)
         at, seed = self.hits(words)
-        for item in np.unique(self.item[seed]).tolist():
-            own = self.item[seed] == item
+        if not len(at):
+            return
+        present = np.unique(seed)
+        held = np.zeros(len(self.seeds), bool)
+        held[present] = True
+
+        def enough(covered: int, longest: int, size: int) -> bool:
+            return covered >= threshold * size or longest >= LONG_TILE
+
+        for item in self.candidates(present):
             p = self.words[item]
             # Tiles consist of seeds: no more than their union can be covered, nor outside of it.
-            if _spread(np.unique(self.place[seed[own]]), len(p)).sum() < threshold * len(p):
+            reach = _spread(np.flatnonzero(held[self.own[item]]), len(p))
+            if not enough(int(reach.sum()), _longest_true(reach), len(p)):
                 continue
-            inside = _spread(np.unique(at[own]), len(words))
+            inside = _spread(at[np.isin(seed, self.own[item])], len(words))
             places = np.flatnonzero(inside)
             gap = np.flatnonzero(np.diff(places) > 1) + 1
             t = np.insert(words[places], gap, _ABSENT)
             back = np.insert(places, gap, -1)
             found = [(a, int(back[b]), k) for a, b, k in tiles(p, t)]
-            if sum(k for _, _, k in found) >= threshold * len(p):
+            if found and enough(sum(k for _, _, k in found), max(k for _, _, k in found), len(p)):
                 yield item, found
 
+    def _short_matches(self, words: np.ndarray, threshold: float) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+        """Items too short for a seed, where they are a large part of the document."""
+        if not self.short or not len(words) or len(words) * threshold > SEED - 1:
+            return
+        row = words.tolist()
+        for size in range(1, min(SEED, len(row) + 1)):
+            if size < threshold * len(row):
+                continue
+            met: set[int] = set()
+            for j in range(len(row) - size + 1):
+                for item in self.short.get(tuple(row[j:j + size]), ()):
+                    if item not in met:
+                        met.add(item)
+                        yield item, [(0, j, size)]
+
+
+def _longest_true(inside: np.ndarray) -> int:
+    edge = np.flatnonzero(np.diff(np.r_[False, inside, False]))
+    return int((edge[1::2] - edge[::2]).max(initial=0))
+
 
 _ABSENT = np.uint64(0)
 
@@ -280,7 +340,7 @@ def _mapped(docs: DataFrame, rows: list[tuple], work: Callable, schema) -> DataF
         for batch in batches:
             yield work(items, batch)
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def contaminated(

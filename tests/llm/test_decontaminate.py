@@ -99,3 +99,37 @@ def test_empty_tables(shared, odd_documents):
     items = shared.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(odd_documents, items).count() == 0
     assert decontaminate.contaminated(odd_documents.limit(0), read(shared, "benchmark")).count() == 0
+
+
+def test_long_repetitive_texts_take_bounded_memory_and_time():
+    """80,000 equal words against 16 items of 60 equal words, and repeated phrases: no list of pairs of places."""
+    import tracemalloc
+
+    items = [np.full(60, 7, np.uint64)] * 16 + [np.tile(np.array([1, 2, 3, 4, 5, 6, 90 + k], np.uint64), 60) for k in range(4)]
+    held = decontaminate.Items(list(range(len(items))), items)
+    text = np.r_[np.full(80_000, 7, np.uint64), np.tile(np.array([1, 2, 3, 4, 5, 6, 8], np.uint64), 10_000)]
+    tracemalloc.start()
+    found = {item: sum(k for _, _, k in tiled) for item, tiled in held.matches(text, 0.5)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == {**{k: 60 for k in range(16)}, **{16 + k: 360 for k in range(4)}}
+    assert peak < 60_000_000
+
+
+def test_short_items_and_long_tiles(shared):
+    long = " ".join(f"w{k}" for k in range(300))
+    items = [(1, "all is well"), (2, "yes"), (3, long), (4, "all is well")]
+    docs = [
+        (1, "All is well!"), (2, "so all is well now then"), (3, "we know that all is well here and there and so on"), (4, "yes"),
+        (5, "yes no"), (6, "yes we said no"), (7, "before " + " ".join(f"w{k}" for k in range(100, 160)) + " after it"),
+        (8, " ".join(f"w{k}" for k in range(100, 140)) + " and something else"), (9, None), (10, "well is all"),
+    ]
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(
+        shared.createDataFrame(docs, "doc_id long, text string"), shared.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(1, 1), (1, 4), (2, 1), (2, 4), (4, 2), (5, 2), (7, 3)}
+
+
+def test_extra_columns_with_clashing_names(shared):
+    docs = shared.createDataFrame([(1, "a", "all is well")], "doc_id long, item_id string, text string")
+    items = shared.createDataFrame([(1, "all is well", "x")], "item_id long, text string, doc_id string")
+    assert decontaminate.contaminated(docs, items).count() == 1 and decontaminate.clean(docs, items).count() == 0
