@@ -5,8 +5,10 @@ backslash after their first character, and backslashes are doubled, so the text
 be read back exactly.
 
 Windows come from prefix sums of turn tokens. Turns are laid on a line by their
-running token count; the line is cut into cells of half the room that the budget
-leaves beside the system turn, and a turn belongs to the cell it starts in. A cell
+running token count; the line is cut into cells of what system turn and history leave
+of the budget, and a turn belongs to the cell it starts in: the window's new turns
+end with the last one whose prefix sum lies in the cell, so over a long conversation
+windows hold as many new tokens as the budget has room for. A cell
 that would overflow the room gives its last turn a window of its own, so a window
 goes over budget only by a single turn that is longer than the room. Each window
 repeats the leading system turn and as much of the turns right before it as
@@ -34,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from parley.llm.common import mapped
 from parley.session import written
 
 BUDGET = 1024
@@ -124,9 +127,10 @@ def windows(
     )
     rows = placed.join(lead.drop("s_piece"), F.col("conv_id").eqNullSafe(F.col("s_conv")), "left").drop("s_conv")
     led = F.coalesce("s_tokens", F.lit(0))
-    stride = F.greatest(F.lit(budget) - led, F.lit(2 * history)) / 2
+    room = F.greatest(F.lit(budget) - led, F.lit(2 * history))
+    stride = room - history
     rows = rows.withColumns({
-        "room": (stride * 2).cast("bigint"),
+        "room": room.cast("bigint"),
         "at": F.greatest(F.col("first") - led, F.lit(0)),
         "lead": F.col("s_tokens").isNotNull() & (F.col("pos") == 0),
     })
@@ -249,4 +253,4 @@ def digests(formatted: DataFrame) -> DataFrame:
         close()
         yield out()
 
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "window").mapInArrow(run, schema)
+    return mapped(rows.repartition("conv_id").sortWithinPartitions("conv_id", "window"), run, schema)

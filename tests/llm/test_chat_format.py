@@ -79,6 +79,20 @@ def test_windows_keep_to_the_budget_and_repeat_history(odd):
     assert repeated and sum(1 for w in by_conversation[99] if not w.spans[0].fresh) > 20
 
 
+def test_long_conversations_fill_their_windows(shared):
+    """2,000 turns of 47 tokens: nearly all that history leaves of the budget is new."""
+    rows = [(1, t, "user" if t % 2 else "assistant", " ".join(["w"] * 41)) for t in range(2000)]
+    found = chat_format.windows(shared.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    size = {s.pos: 0 for w in found for s in w.spans}
+    for w in found:
+        assert w.tokens <= chat_format.BUDGET
+    tokens = sum(w.tokens for w in found) - sum(
+        (w.tokens // len(w.spans)) * sum(not s.fresh for s in w.spans) for w in found
+    )
+    fresh = tokens / len(found)
+    assert len(size) == 2000 and fresh >= 0.9 * (chat_format.BUDGET - chat_format.HISTORY)
+
+
 def test_marks_inside_texts_are_broken_up(odd):
     _, _, windows, _ = odd
     for w in windows:
