@@ -147,17 +147,18 @@ p AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFG
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 told AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 votes AS (SELECT regexp_replace(coalesce(text, ''), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS key,
-    CASE WHEN avg(quality) <= 0.5 THEN 1 ELSE 0 END AS bad FROM documents JOIN told USING (doc_id) GROUP BY 1),
+    CASE WHEN avg(quality) <= 0.5 THEN 1 ELSE 0 END AS bad FROM documents JOIN told USING (doc_id) GROUP BY 1 HAVING key <> ''),
 shown AS (SELECT host, regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)</h1>(.*)</article>', 1), '<[^>]*>', '', 'g'),
     '&(amp|lt|gt|quot|apos|nbsp|#[0-9]+|#x[0-9A-Fa-f]+);', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS key FROM p WHERE html IS NOT NULL),
 counted AS (SELECT host, count(*) AS n, sum(bad) AS bad FROM shown JOIN votes USING (key) GROUP BY host),
-hosts AS (SELECT host, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS two
-  FROM (SELECT DISTINCT host FROM p) LEFT JOIN counted USING (host)),
+bare AS (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM (SELECT DISTINCT host FROM p)),
+hosts AS (SELECT host, name, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad, array_to_string(list_slice(string_split(name, '.'), -2, -1), '.') AS two
+  FROM bare LEFT JOIN counted USING (host)),
 h AS (SELECT host, n, bad,
-    CASE WHEN regexp_matches(host, '^[0-9.]+(:[0-9]+)?$') THEN host
-      WHEN two IN ({_TWO}) THEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') ELSE two END AS domain,
-    CASE WHEN regexp_matches(host, '^[0-9.]+(:[0-9]+)?$') THEN '' WHEN two IN ({_TWO}) THEN two
-      ELSE string_split(host, '.')[-1] END AS suffix FROM hosts),
+    CASE WHEN regexp_matches(name, '^[0-9.]+$') THEN name
+      WHEN two IN ({_TWO}) THEN array_to_string(list_slice(string_split(name, '.'), -3, -1), '.') ELSE two END AS domain,
+    CASE WHEN regexp_matches(name, '^[0-9.]+$') THEN '' WHEN two IN ({_TWO}) THEN two
+      ELSE string_split(name, '.')[-1] END AS suffix FROM hosts),
 o AS (SELECT sum(bad) / nullif(sum(n), 0) AS mu FROM h),
 s AS (SELECT suffix, sum(n) AS sn, sum(bad) AS sb, any_value(mu) AS mu FROM h, o GROUP BY suffix),
 sm AS ({_prior("sb", "sn", "mu", "s")}),

@@ -9,11 +9,18 @@ bound of its host's posterior rate of bad pages lies above `MOST_BAD`.
 Hosts are counted before anything is joined, so a host with a third of all pages
 costs one row; its pages meet that row in a join that Spark may split.
 
+The registered domain of a host is found below its public suffix: one label, or one of
+the `two_labels` given. Public suffixes are a long list that changes; the default
+holds a few common ones, and a caller passes the list it trusts. User and port are
+no part of the domain.
+
 Defined results: a NULL url, or one without `://`, has an empty host and path and
 is judged by the empty host's counts; NULL outcomes are not counted; hosts without
 outcomes get the posterior of their domain, suffix or the whole; without any
-outcome nothing but rules blocks; repeated pages are judged each; an empty table
-gives an empty result.
+outcome nothing but rules blocks; a page that shows no letters or digits has no
+outcome; repeated pages are judged each; only the columns named are read, so others
+may have any name; texts of any length meet by hash; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -31,7 +38,7 @@ from parley.session import written
 DEVIATIONS = 1.64
 MOST_BAD = 0.5
 
-#: Public suffixes of two labels.
+#: Common public suffixes of two labels.
 TWO_LABELS = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "or.jp", "com.br", "co.in", "co.za", "com.mx", "com.tr", "com.cn")
 
 
@@ -65,14 +72,15 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return _ascii_lower(host), path
 
 
-def domain_and_suffix(host: Column) -> tuple[Column, Column]:
+def domain_and_suffix(host: Column, two_labels: Sequence[str] = TWO_LABELS) -> tuple[Column, Column]:
     """Registered domain and suffix; a numeric address is its own domain."""
-    last_two = F.substring_index(host, ".", -2)
-    two = last_two.isin(*TWO_LABELS)
-    suffix = F.when(two, last_two).otherwise(F.substring_index(host, ".", -1))
-    domain = F.when(two, F.substring_index(host, ".", -3)).otherwise(last_two)
-    address = host.rlike(r"^[0-9.]+(:[0-9]+)?$")
-    return F.when(address, host).otherwise(domain), F.when(address, F.lit("")).otherwise(suffix)
+    bare = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+    last_two = F.substring_index(bare, ".", -2)
+    two = last_two.isin(*two_labels)
+    suffix = F.when(two, last_two).otherwise(F.substring_index(bare, ".", -1))
+    domain = F.when(two, F.substring_index(bare, ".", -3)).otherwise(last_two)
+    address = bare.rlike("^[0-9.]+$")
+    return F.when(address, bare).otherwise(domain), F.when(address, F.lit("")).otherwise(suffix)
 
 
 def rule_for(host: Column, path: Column, rules: Sequence[Rule] = RULES) -> tuple[Column, Column]:
@@ -107,18 +115,24 @@ def reputations(hosts: DataFrame) -> DataFrame:
 
 def verdicts(
     pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "page_id", url_col: str = "url",
+    two_labels: Sequence[str] = TWO_LABELS,
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, mean, lower) of every page.
 
-    `outcomes` has (url, bad): urls of labelled pages with a 0/1 outcome.
+    `outcomes` has (url, bad), urls of labelled pages with a 0/1 outcome, or
+    (host, bad, n), n pages of a host with that outcome.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     rows = rows.select("page_id", host.alias("host"), path.alias("path"))
-    labelled = outcomes.where(F.col("bad").isNotNull()).select(host.alias("host"), F.col("bad").cast("bigint").alias("bad"))
+    counted = "host" in outcomes.columns
+    labelled = outcomes.where(F.col("bad").isNotNull()).select(
+        F.col("host") if counted else host.alias("host"), F.col("bad").cast("bigint").alias("bad"),
+        (F.col("n") if counted else F.lit(1)).cast("bigint").alias("n"),
+    )
     seen = rows.groupBy("host").agg(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("bad"))
-    told = labelled.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
-    domain, suffix = domain_and_suffix(F.col("host"))
+    told = labelled.groupBy("host").agg(F.sum("n").alias("n"), F.sum(F.col("bad") * F.col("n")).alias("bad"))
+    domain, suffix = domain_and_suffix(F.col("host"), two_labels)
     hosts = written(
         seen.unionByName(told).groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
         .withColumns({"domain": domain, "suffix": suffix}),
@@ -144,12 +158,17 @@ def letters(text: Column) -> Column:
 
 
 def outcomes_by_text(pages: DataFrame, documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(url, bad) of the pages whose article is the text of a labelled document.
+    """(host, bad, n): pages per host whose article is the text of a labelled document.
 
-    Texts meet by hash, not in full. Documents with one text vote; a tie is bad.
+    Texts meet by hash, not in full; texts without letters or digits meet nothing.
+    Pages are counted per host and text before they are joined. Documents with one
+    text vote; a tie is bad.
     """
     told = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    keys = documents.select("doc_id", F.xxhash64(letters(F.coalesce("text", F.lit("")))).alias("key"))
+    plain = documents.select("doc_id", letters(F.coalesce("text", F.lit(""))).alias("said")).where("said <> ''")
+    keys = plain.select("doc_id", F.xxhash64("said").alias("key"))
     votes = keys.join(told, "doc_id").groupBy("key").agg((F.avg(F.col("quality").cast("double")) <= 0.5).cast("bigint").alias("bad"))
-    shown = pages.where(F.col("html").isNotNull()).select("url", F.xxhash64(shown_text(F.col("html"))).alias("key"))
-    return shown.join(votes, "key").select("url", "bad")
+    host, _ = host_and_path(F.col("url"))
+    shown = pages.where(F.col("html").isNotNull()).select(host.alias("host"), shown_text(F.col("html")).alias("said"))
+    shown = shown.where("said <> ''").groupBy("host", F.xxhash64("said").alias("key")).agg(F.count("*").alias("n"))
+    return shown.join(votes, "key").select("host", "bad", "n")

@@ -89,6 +89,41 @@ def test_sparse_hosts_lean_on_their_domain(shared):
     assert rows[1].mean < rows[2].mean < 0.5 and rows[3].lower > 0.9
 
 
+def test_reputation_decides_and_equals_sql(shared, tmp_path):
+    """Tables in which poor articles stand on some hosts, and pages without an article."""
+    key, text = "op7_url_filter", "poor words of page {} and so on"
+    docs = [(k, text.format(k)) for k in range(300)] + [(900, ""), (901, "!!"), (902, None)]
+    labels = [(k, int(k >= 150)) for k in range(300)] + [(900, 0), (901, 0), (902, 0)]
+    article = "<html><h1>t</h1><p>{}</p></article></html>"
+    pages = [(k, f"http://h{k % 5}.bad.org:8080/{k}", article.format(text.format(k))) for k in range(150)]
+    pages += [(k, f"https://user@h{k % 5}.good.org/{k}", article.format(text.format(k))) for k in range(150, 300)]
+    pages += [(1000 + k, f"http://plain.example.io/{k}", "no article at all") for k in range(30)]
+    pages += [(2000, "http://new.bad.org/", None), (2001, "http://new.good.org/", None), (2002, "http://10.0.0.1:80/", None)]
+    for name, rows, schema in (
+        ("documents", docs, "doc_id long, text string"), ("labels", labels, "doc_id long, quality int"),
+        ("pages", pages, "page_id long, url string, html string"),
+    ):
+        shared.createDataFrame(rows, schema).coalesce(1).toPandas().to_parquet(f"{tmp_path}/{name}.parquet")
+    import duckdb
+
+    db = duckdb.connect()
+    for name in ("documents", "labels", "pages"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet')")
+    found = entry_points.queries()[key](shared, str(tmp_path))
+    assert oracle.compare(found, db, entry_points.oracle_sql()[key]) is None
+    verdicts = {r.page_id: r.verdict for r in found.collect()}
+    assert all(verdicts[k] == ("block" if k < 150 else "allow") for k in range(300))
+    assert all(verdicts[1000 + k] == "allow" for k in range(30))
+    assert (verdicts[2000], verdicts[2001], verdicts[2002]) == ("block", "allow", "allow")
+
+
+def test_suffixes_are_given(shared):
+    hosts = shared.createDataFrame([("a.b.co.uk",), ("a.b.city.kobe.jp",), ("x@a.b.org:99",), ("1.2.3.4:5",)], "host string")
+    domain, suffix = url_reputation.domain_and_suffix(F.col("host"), ["co.uk", "kobe.jp"])
+    assert [tuple(r) for r in hosts.select(domain, suffix).collect()] == [
+        ("b.co.uk", "co.uk"), ("city.kobe.jp", "kobe.jp"), ("b.org", "org"), ("1.2.3.4", "")]
+
+
 def test_strength_finds_the_spread(shared):
     import random
 
@@ -107,6 +142,51 @@ def test_site_quality_agrees_with_labels(shared):
     assert sum(good) / len(good) > 0.97 and sum(poor) / len(poor) < 0.1
 
 
+def test_site_quality_on_hidden_labels(shared):
+    """A third of the labels is hidden from the fit and judged afterwards."""
+    docs, labels = read(shared, "documents", LARGE), read(shared, "labels", LARGE)
+    hidden = F.pmod(F.xxhash64("doc_id", F.lit("hidden")), F.lit(3)) == 0
+    rows = site_quality.judged(docs, labels.where(~hidden), F.col("source"), F.col("lang")).join(labels.where(hidden), "doc_id").collect()
+    good, poor = [r.kept for r in rows if r.quality], [r.kept for r in rows if not r.quality]
+    assert len(poor) > 100 and sum(good) / len(good) > 0.97 and sum(poor) / len(poor) < 0.1
+
+
+def test_posteriors_equal_plain_arithmetic(shared):
+    import math
+    import random
+
+    r = random.Random(8)
+    rows = [(k, f"h{k % 7 if k % 3 else 0}", f"p{k % 4}", r.random(), r.choice([None, 0, 1])) for k in range(500)]
+    said = [p if q is None else float(q) for _, _, _, p, q in rows]
+    overall = sum(said) / len(said)
+
+    def sums(key):
+        out = {}
+        for row, s in zip(rows, said):
+            n, g = out.get(key(row), (0, 0.0))
+            out[key(row)] = (n + 1, g + s)
+        return out
+
+    def strength(groups):
+        top = sum(n * (g / n - m) ** 2 - m * (1 - m) for n, g, m in groups)
+        bottom = sum((n - 1) * m * (1 - m) for n, _, m in groups if n > 1)
+        return 1 / min(max(top / bottom, shrinkage.LEAST_RHO), shrinkage.MOST_RHO) - 1
+
+    hosts, paths = sums(lambda x: x[1]), sums(lambda x: x[1:3])
+    mh = strength([(n, g, overall) for n, g in hosts.values()])
+    mean = {h: (g + mh * overall) / (n + mh) for h, (n, g) in hosts.items()}
+    mp = strength([(n, g, mean[h]) for (h, _), (n, g) in paths.items()])
+    logit = lambda p: math.log(max(1e-4, min(1 - 1e-4, p)) / (1 - max(1e-4, min(1 - 1e-4, p))))
+    df = shared.createDataFrame(rows, "doc_id long, host string, path string, p double, quality int")
+    found = {x.doc_id: x for x in site_quality.posteriors(df).collect()}
+    for (k, h, q, p, _), s in zip(rows, said):
+        host_mean = (hosts[h][1] - s + mh * overall) / (hosts[h][0] - 1 + mh)
+        path_mean = (paths[h, q][1] - s + mp * host_mean) / (paths[h, q][0] - 1 + mp)
+        odds = logit(path_mean) + logit(p) - logit(overall)
+        assert math.isclose(found[k].host_mean, host_mean, rel_tol=1e-9) and math.isclose(found[k].path_mean, path_mean, rel_tol=1e-9)
+        assert math.isclose(found[k].score, 1 / (1 + math.exp(-odds)), rel_tol=1e-9)
+
+
 def test_site_evidence_moves_unclear_documents(shared):
     rows = [(k, "good", "a", 0.99, None) for k in range(300)] + [(1000 + k, "poor", "a", 0.02, None) for k in range(300)]
     rows += [(5000, "good", "a", 0.5, None), (5001, "poor", "a", 0.5, None), (5002, "new", None, 0.5, None), (5003, None, "x", 0.5, None)]
