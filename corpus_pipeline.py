@@ -27,8 +27,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near-duplicates."""
-    return simhash.one_of_each(docs)
+    """Drops documents that share four fifths of their five-word shingles with one of a smaller id."""
+    return simhash.one_similar_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

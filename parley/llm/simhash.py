@@ -4,7 +4,9 @@
    word shingles. Equal fingerprints are reduced to one node, so a group of exact
    copies costs one row from here on, however large it is.
 2. Fingerprints within `MAX_DIFF` bits agree on at least one of MAX_DIFF + 1 bands
-   of bits. Each node is sent to its bands; rows of one band value form a bucket.
+   of bits, on two of MAX_DIFF + 2, on three of MAX_DIFF + 3. By the number of nodes
+   one, two or three bands make a key, so that about `BUCKET` nodes share one. Each
+   node is sent to its keys; rows of one key form a bucket.
 3. Range partitioning by (band, value, Gray rank) sorts the buckets, and a task
    cuts its rows into blocks of at most `BLOCK` neighbours. A bucket of any size
    thus spreads over many tasks. Two blocks of a bucket meet only if the bits that
@@ -17,23 +19,33 @@
 5. Blocks give spanning links, not pairs. Connected components of these links are
    found by alternating star operations over written tables.
 
+`one_similar_of_each` keeps one document of each group of similar ones. Its candidates
+are the components of wider links between fingerprints of `WORDS`-word shingles; a
+document goes when a smaller one of its component has at least `SIMILAR` of the
+shingles in common (Jaccard). A component is compared in slices of bounded size, then
+what is left of it slice against slice, so no task holds a component. Only texts of
+components with different texts are moved.
+
 Defined results: NULL or empty texts have fingerprint 0 and link like any other;
-texts below one shingle use their whole word sequence; a NULL id is never the id
-of a component (NULL when no member has one); repeated rows are answered each;
-an empty table gives an empty result.
+texts below one shingle use their whole word sequence; texts of any length are read
+whole; a NULL id is never the id of a component (NULL when no member has one);
+repeated rows are answered each; texts without a word are similar to each other; only
+id and text are looked at, and the functions that return documents keep all columns
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from parley.llm.common import free_name, keyed_texts
+from parley.llm.common import free_name, keyed_texts, mapped
+from parley.operators.keyed import broadcast_if_small
 from parley.session import written
 
 SHINGLE = 4
@@ -41,8 +53,14 @@ SEED = 42
 MAX_DIFF = 4
 BLOCK = 1024
 FANOUT = 8
-#: First bit and width of each band; one more band than differing bits.
-BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Nodes that may share a key before keys of more bands are used.
+BUCKET = 8 * BLOCK
+#: Shingles, differing bits and similarity for keeping one of each group of similar documents.
+WORDS = 5
+WIDE_DIFF = 6
+SIMILAR = 0.8
+#: Characters of the texts that a task compares with each other.
+SLICE_CHARS = 16_000_000
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -60,9 +78,9 @@ def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.array(found, np.uint64)
 
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     """Bits set in over half the shingle hashes, as a signed 64-bit number."""
-    hashes = shingle_hashes(text)
+    hashes = shingle_hashes(text, size)
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         part = hashes[at:at + (1 << 14)].view(np.uint8).reshape(-1, 8)
@@ -71,18 +89,22 @@ def fingerprint(text: str | None) -> int:
     return int(bits.view(np.int64)[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [fingerprint(t) for t in batch.column("text").to_pylist()]
-        columns = [batch.column("doc_id"), pa.array(found, pa.int64()), batch.column("text_hash")]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "text_hash"])
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE
+) -> DataFrame:
+    """One row (doc_id, fp, text_hash, chars) per input row."""
+    texts = keyed_texts(docs, id_col, text_col).withColumns({
+        "text_hash": F.xxhash64("text"), "chars": F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint"),
+    })
+    kind = texts.schema["doc_id"].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [fingerprint(t, size) for t in batch.column("text").to_pylist()]
+            columns = [batch.column("doc_id"), pa.array(found, pa.int64()), batch.column("text_hash"), batch.column("chars")]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "text_hash", "chars"])
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (doc_id, fp, text_hash) per input row."""
-    texts = keyed_texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(_fingerprints, f"doc_id {kind}, fp bigint, text_hash bigint")
+    return mapped(texts, run, f"doc_id {kind}, fp bigint, text_hash bigint, chars bigint")
 
 
 def gray_rank(fp: Column) -> Column:
@@ -92,10 +114,26 @@ def gray_rank(fp: Column) -> Column:
     return fp.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def _band_keys(fp: Column) -> Column:
+def band_masks(nodes: int, most: int = MAX_DIFF) -> list[int]:
+    """Masks of bits, one of which any two fingerprints within `most` bits agree under.
+
+    `most` differing bits touch at most that many of `most` + k pieces, so k pieces are
+    equal. More pieces give keys that fewer nodes share, but more of them.
+    """
+    for agree in (1, 2, 3):
+        pieces = most + agree
+        cuts = [64 * k // pieces for k in range(pieces + 1)]
+        parts = [(1 << high) - (1 << low) for low, high in zip(cuts, cuts[1:])]
+        masks = [sum(chosen) for chosen in combinations(parts, agree)]
+        if nodes <= BUCKET << min(mask.bit_count() for mask in masks):
+            break
+    return masks
+
+
+def _band_keys(fp: Column, masks: list[int]) -> Column:
     keys = [
-        F.struct(F.lit(b).alias("band"), F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")).alias("value"))
-        for b, (at, width) in enumerate(BANDS)
+        F.struct(F.lit(b).alias("band"), fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("bigint")).alias("value"))
+        for b, mask in enumerate(masks)
     ]
     return F.explode(F.array(*keys))
 
@@ -134,12 +172,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def blocks(nodes: DataFrame) -> DataFrame:
+def blocks(nodes: DataFrame, most: int = MAX_DIFF) -> DataFrame:
     """Blocks of the distinct fingerprints `nodes.fp`, per band value, in Gray order."""
-    rows = nodes.select("fp", gray_rank(F.col("fp")).alias("place"), _band_keys(F.col("fp")).alias("k"))
+    masks = band_masks(nodes.count(), most)
+    rows = nodes.select("fp", gray_rank(F.col("fp")).alias("place"), _band_keys(F.col("fp"), masks).alias("k"))
     rows = rows.select("k.band", "k.value", "place", "fp")
     ordered = rows.repartitionByRange("band", "value", "place").sortWithinPartitions("band", "value", "place")
-    return ordered.mapInArrow(
+    return mapped(
+        ordered,
         _cut, "band int, value bigint, place bigint, fps array<bigint>, pattern bigint, mask bigint"
     )
 
@@ -185,8 +225,8 @@ class GrayTree:
             node = child[real]
 
 
-def links(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Spanning links between fingerprints of two blocks that lie within MAX_DIFF bits.
+def links(left: np.ndarray, right: np.ndarray, most: int = MAX_DIFF) -> np.ndarray:
+    """Spanning links between fingerprints of two blocks that lie within `most` bits.
 
     Members are numbered through, those of `right` first. Returns for each member
     the smallest member it is connected with.
@@ -196,7 +236,7 @@ def links(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     covered = np.zeros(len(right) + 1, np.int64)  # members k and k + 1 belong to one linked group
     tree = GrayTree(right)
     for at in range(0, len(left), 256):
-        for q, first, end in tree.search(left[at:at + 256]):
+        for q, first, end in tree.search(left[at:at + 256], most):
             ends.append(np.stack([q + at + len(right), first]))
             np.add.at(covered, first, 1)
             np.add.at(covered, end - 1, -1)
@@ -216,23 +256,29 @@ def links(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return label
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = [], []
-        for left, right in zip(batch.column("left_fps"), batch.column("right_fps")):
-            own = not right.is_valid
-            x = np.asarray(left.values, np.int64)
-            y = x if own else np.asarray(right.values, np.int64)
-            label = links(x.view(np.uint64), y.view(np.uint64))
-            members = np.concatenate([y, x])
-            moved = np.flatnonzero(members != members[label])
-            a.append(members[moved])
-            b.append(members[label[moved]])
-        columns = [pa.array(np.concatenate(c) if c else np.empty(0, np.int64)) for c in (a, b)]
-        yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
-
-
-def block_pairs(cut: DataFrame) -> DataFrame:
+def _linked_within(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for left, right in zip(batch.column("left_fps"), batch.column("right_fps")):
+                own = not right.is_valid
+                x = np.asarray(left.values, np.int64)
+                y = x if own else np.asarray(right.values, np.int64)
+                label = links(x.view(np.uint64), y.view(np.uint64), most)
+                members = np.concatenate([y, x])
+                moved = np.flatnonzero(members != members[label])
+                a.append(members[moved])
+                b.append(members[label[moved]])
+            columns = [pa.array(np.concatenate(c) if c else np.empty(0, np.int64)) for c in (a, b)]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
+    return run
+
+
+_linked = _linked_within(MAX_DIFF)
+
+
+def block_pairs(cut: DataFrame, most: int = MAX_DIFF) -> DataFrame:
     """Each block by itself (`right_fps` NULL), and the pairs of blocks of one bucket that can hold a link."""
     alone = cut.select(F.col("fps").alias("left_fps"), F.lit(None).cast("array<bigint>").alias("right_fps"))
     heads = cut.select("band", "value", "place", "pattern", "mask")
@@ -241,7 +287,7 @@ def block_pairs(cut: DataFrame) -> DataFrame:
     near = left.join(
         right,
         (F.col("l.band") == F.col("r.band")) & (F.col("l.value") == F.col("r.value"))
-        & (F.col("l.place") < F.col("r.place")) & (F.bit_count(differ) <= MAX_DIFF),
+        & (F.col("l.place") < F.col("r.place")) & (F.bit_count(differ) <= most),
     ).select("l.band", "l.value", F.col("l.place").alias("lp"), F.col("r.place").alias("rp"))
     key = ["band", "value"]
     first = cut.select(*key, F.col("place").alias("lp"), F.col("fps").alias("left_fps"))
@@ -285,12 +331,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _in_components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: doc_id, fp, text_hash, root (smallest fp of the component), component_id."""
-    prints = written(fingerprints(docs, id_col, text_col), "prints")
+def _in_components(
+    docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, most: int = MAX_DIFF
+) -> DataFrame:
+    """One row per document: doc_id, fp, text_hash, chars, root (smallest fp of the component), component_id."""
+    prints = written(fingerprints(docs, id_col, text_col, size), "prints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
-    cut = written(blocks(nodes), "blocks")
-    edges = block_pairs(cut).mapInArrow(_linked, "a bigint, b bigint")
+    cut = written(blocks(nodes, most), "blocks")
+    edges = mapped(block_pairs(cut, most), _linked_within(most), "a bigint, b bigint")
     rooted = nodes.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -321,3 +369,100 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     order = W.partitionBy(root).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
     rows = docs.join(kept, same).withColumn(rank, F.row_number().over(order))
     return rows.where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> bool:
+    """Whether two sets, sorted and without repeats, share at least that part of their union."""
+    small, large = sorted((len(a), len(b)))
+    if small < least * large:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (small + large - both)
+
+
+_COMPARED = "root bigint, text_hash bigint, dropped boolean"
+
+
+def _compared(words: int, least: float, across: bool):
+    """Which texts of a sorted run of rows with one `part` are similar to an earlier one of it (of another slice)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, held = None, None, []
+        for batch in batches:
+            out = []
+            columns = (batch.column(c).to_pylist() for c in ("root", "part", "slice", "text_hash", "text"))
+            for root, part, slice_, text_hash, text in zip(*columns):
+                if (root, part) != now:
+                    now, last = (root, part), None
+                    held.clear()
+                if text_hash == last:  # the same row again
+                    continue
+                last = text_hash
+                own = np.unique(shingle_hashes(text, words))
+                dropped = any(similar(own, other, least) for at, other in held if not across or at != slice_)
+                held.append((slice_, own))
+                out.append((root, text_hash, dropped))
+            columns = list(zip(*out)) or [(), (), ()]
+            kinds = (pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["root", "text_hash", "dropped"])
+
+    return run
+
+
+def _dropped_texts(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
+    """(root, text_hash) of the texts that a smaller one of their component is similar to."""
+    groups = texts.groupBy("root").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).where("n > 1")
+    slices = F.ceil(F.col("chars") / F.lit(SLICE_CHARS)).cast("int")
+    groups = groups.select("root", F.greatest(slices, F.lit(1)).alias("slices"))
+    wanted = texts.drop("chars").join(groups, "root").withColumn("slice", F.pmod(F.xxhash64("text_hash"), F.col("slices")).cast("int"))
+    wanted = written(wanted, "compared-texts")
+    said = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
+
+    def placed(rows: DataFrame, across: bool) -> DataFrame:
+        met = said.join(broadcast_if_small(rows), F.col("id").eqNullSafe(F.col("first")) & (F.col("hash") == F.col("text_hash")))
+        ordered = met.select("root", "part", "slice", "first", "text_hash", "text").repartition("root", "part")
+        ordered = ordered.sortWithinPartitions("root", "part", F.asc_nulls_last("first"), "text_hash")
+        return written(mapped(ordered, _compared(words, least, across), _COMPARED), "compared")
+
+    alone = placed(wanted.withColumn("part", F.col("slice").cast("string")), False)
+    gone = alone.where("dropped").select("root", "text_hash")
+    left = wanted.where("slices > 1").join(gone, ["root", "text_hash"], "left_anti")
+    if not left.isEmpty():
+        # Slice against slice: each text goes to the pairs of slices that hold its own.
+        others = F.filter(F.sequence(F.lit(0), F.col("slices") - 1), lambda k: k != F.col("slice"))
+        pair = F.transform(others, lambda k: F.concat_ws(
+            "-", F.least(k, F.col("slice")).cast("string"), F.greatest(k, F.col("slice")).cast("string")
+        ))
+        crossed = placed(left.withColumn("part", F.explode(pair)), True)
+        gone = gone.unionByName(crossed.where("dropped").select("root", "text_hash").distinct())
+    return gone
+
+
+def one_similar_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, most: int = WIDE_DIFF,
+    least: float = SIMILAR,
+) -> DataFrame:
+    """Documents without those that a smaller document (by id) of their component is similar to.
+
+    Rows of one text are one document, known by the smallest id and the hash of the
+    text; of rows equal in both any one stays. Documents are joined once with the
+    narrow list of what is kept; only rows that repeat are ranked.
+    """
+    found = _in_components(docs, id_col, text_col, words, most)
+    texts = written(
+        found.groupBy("root", "text_hash").agg(F.min("doc_id").alias("first"), F.max("chars").alias("chars")), "texts"
+    )
+    gone = _dropped_texts(docs, texts, id_col, text_col, words, least)
+    rows = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    same = F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("text_hash") == F.col("kept_hash"))
+    kept = texts.join(gone, ["root", "text_hash"], "left_anti").select("first", F.col("text_hash").alias("kept_hash"))
+    kept = written(rows.join(kept, same).select("first", "kept_hash", "rows"), "kept")
+    first, kept_hash, rank = (free_name(docs.columns, name) for name in ("_first", "_hash", "_rank"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+
+    def joined(side: DataFrame) -> DataFrame:
+        side = broadcast_if_small(side.select(F.col("first").alias(first), F.col("kept_hash").alias(kept_hash)))
+        return docs.join(side, F.col(id_col).eqNullSafe(F.col(first)) & (F.xxhash64(F.col(text_col)) == F.col(kept_hash)))
+
+    order = W.partitionBy(first, kept_hash).orderBy(F.xxhash64(*columns))
+    repeated = joined(kept.where("rows > 1")).withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
+    return joined(kept.where("rows = 1")).select(*columns).unionByName(repeated.select(*columns))

@@ -6,13 +6,15 @@ import numpy as np
 import public_tokenizers
 import pytest
 from llm_helpers import SMALL, read
+from test_decontaminate import plain_pairs
 from test_quality_rules import plain as plain_counts
-from test_simhash import plain_components, plain_fingerprint
+from test_secret_scan import plain_base
+from test_simhash import plain_similar_of_each
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry_points
 import corpus_pipeline
-from parley.llm import decontaminate, quality_rules, secret_scan
+from parley.llm import quality_rules
 
 
 def plain_good(text):
@@ -33,25 +35,24 @@ def plain_good(text):
 
 
 def test_equals_plain_pipeline(shared):
+    """Stage by stage; the fourth is held to plain patterns, and to the library on what it returns."""
     docs = [(r.doc_id, r.text) for r in read(shared, "documents").collect()]
     items = [tuple(r) for r in read(shared, "benchmark").select("item_id", "text").collect()]
     good = [(i, t) for i, t in docs if plain_good(t)]
-    one = [d for d, c in zip(good, plain_components([(i, plain_fingerprint(t)) for i, t in good])) if d[0] == c]
-    held = decontaminate.Items([i for i, _ in items], [decontaminate._hash_words(decontaminate._folded(t))[0] for _, t in items])
-    clean = [
-        (i, t) for i, t in one
-        if not list(held.matches(decontaminate._hash_words(decontaminate._folded(t))[0], decontaminate.THRESHOLD))
-    ]
+    one = plain_similar_of_each(good)
+    leaked = {d for d, _ in plain_pairs(one, items)}
+    clean = [(i, t) for i, t in one if i not in leaked]
     assert 0 < len(clean) < len(one) < len(good) < len(docs)
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rows = {r.doc_id: r for r in entry_points.queries()["pipeline"](shared, SMALL).collect()}
     assert set(rows) == {i for i, _ in clean}
+    left = shared.createDataFrame(clean, "doc_id long, text string")
+    hidden = {r.doc_id: r.text for r in corpus_pipeline.STAGES[3][1](shared, left, SMALL).collect()}
     for i, text in clean:
-        for span in reversed(secret_scan.base_spans(text)):
-            assert len(span.value) >= 8
-        if not secret_scan.base_spans(text):
-            ids = np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            assert rows[i].ids_sha256 == hashlib.sha256(ids).hexdigest() and rows[i].n_tokens == len(ids) // 4
+        spans = plain_base(text)
+        assert all(text[a:b] not in hidden[i] for a, _, b in spans) and (spans or hidden[i] == text or "[SECRET]" in hidden[i])
+        ids = np.array(library.encode(hidden[i], add_special_tokens=False).ids, "<u4").tobytes()
+        assert rows[i].ids_sha256 == hashlib.sha256(ids).hexdigest() and rows[i].n_tokens == len(ids) // 4
 
 
 @pytest.mark.parametrize("k", range(4))

@@ -9,23 +9,51 @@ from pyspark.sql import functions as F
 from parley.llm import simhash
 
 
-def plain_fingerprint(text):
+def plain_runs(text, size=4):
     words = (text or "").encode().lower().split()
-    runs = [b" ".join(words[i:i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    return [b" ".join(words[i:i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
+
+
+def plain_fingerprint(text, size=4):
+    runs = plain_runs(text, size)
     hashes = [xxhash.xxh64_intdigest(r, 42) for r in runs]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def plain_components(rows):
-    """doc ids and fingerprints -> smallest id reachable, by comparing all pairs."""
-    prints = np.array([p for _, p in rows], np.uint64)
-    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= simhash.MAX_DIFF
-    label = np.arange(len(rows))
+def plain_labels(prints, most):
+    prints = np.array(prints, np.uint64)
+    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= most
+    label = np.arange(len(prints))
     while True:
         new = np.array([label[n].min() for n in near])
         if (new == label).all():
-            break
+            return label
         label = new
+
+
+def plain_similar_of_each(rows, words=5, most=6, least=0.8):
+    """(id, text) rows that stay: each text of a component compared with every smaller one."""
+    label = plain_labels([plain_fingerprint(t, words) for _, t in rows], most) if rows else []
+    texts = {}
+    for (i, t), k in zip(rows, label):
+        had = texts.get((k, t))
+        texts[k, t] = i if had is None else had if i is None else min(i, had)
+    kept, sets = [], {t: set(plain_runs(t, words)) for _, t in rows}
+    for (k, t), i in texts.items():
+        def smaller(other):
+            return (texts[other] is None, texts[other] or 0, other[1] or "") < (i is None, i or 0, t or "")
+
+        def alike(a, b):
+            return len(a & b) >= least * len(a | b)
+
+        if not any(o[0] == k and o[1] != t and smaller(o) and alike(sets[t], sets[o[1]]) for o in texts):
+            kept.append((i, t))
+    return kept
+
+
+def plain_components(rows):
+    """doc ids and fingerprints -> smallest id reachable, by comparing all pairs."""
+    label = plain_labels([p for _, p in rows], simhash.MAX_DIFF)
     out = []
     for k in label:
         ids = [i for (i, _), other in zip(rows, label) if other == k and i is not None]
@@ -96,6 +124,66 @@ def test_gray_rank_of_neighbours_differs_in_one_bit(shared):
     assert all((a ^ b).bit_count() == 1 for a, b in zip(order, order[1:]))
 
 
+@pytest.mark.parametrize("nodes,keys", [(1000, 5), (10 ** 9, 15), (10 ** 12, 35)])
+def test_any_two_near_fingerprints_share_a_key(nodes, keys):
+    masks = simhash.band_masks(nodes)
+    assert len(masks) == keys
+    rng = random.Random(nodes)
+    for _ in range(2000):
+        flips = sum(1 << k for k in rng.sample(range(64), rng.randint(0, simhash.MAX_DIFF)))
+        assert any(not flips & mask for mask in masks)
+
+
+def test_more_bands_give_the_same(shared, monkeypatch):
+    docs = read(shared, "documents")
+    want = sorted(map(tuple, simhash.near_duplicates(docs).collect()))
+    monkeypatch.setattr(simhash, "BUCKET", 0)
+    assert sorted(map(tuple, simhash.near_duplicates(docs).collect())) == want
+
+
+def edited(rng, words, share):
+    return [w if rng.random() > share else f"new{rng.getrandbits(20)}" for w in words]
+
+
+def similar_rows():
+    """Groups of edited copies, exact copies, short, empty and missing texts."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(12):
+        base = [f"w{rng.getrandbits(16)}" for _ in range(rng.randint(30, 300))]
+        rows += [(len(rows) + k, " ".join(edited(rng, base, share))) for k, share in enumerate((0, 0, 0.005, 0.01, 0.02, 0.03, 0.2))]
+    rows += [(900, None), (901, ""), (902, " "), (903, "one"), (904, "one"), (None, "one"), (None, rows[0][1]), (905, rows[0][1])]
+    return rows
+
+
+@pytest.mark.parametrize("slice_chars", [16_000_000, 2_000])
+def test_one_similar_of_each(shared, monkeypatch, slice_chars):
+    monkeypatch.setattr(simhash, "SLICE_CHARS", slice_chars)
+    rows = similar_rows()
+    kept = simhash.one_similar_of_each(shared.createDataFrame(rows, "doc_id long, text string"))
+    found = [(r.doc_id, r.text) for r in kept.collect()]
+    want = plain_similar_of_each(rows)
+    if slice_chars > 10_000:
+        assert sorted(found, key=repr) == sorted(want, key=repr)
+    # Whatever the slices: nothing that stays is similar to another that stays, nothing goes without a similar smaller one.
+    sets = {t: set(plain_runs(t, 5)) for _, t in rows}
+    label = dict(zip([t for _, t in rows], plain_labels([plain_fingerprint(t, 5) for _, t in rows], simhash.WIDE_DIFF)))
+    alike = lambda a, b: label[a] == label[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    texts = [t for _, t in found]
+    assert len(set(texts)) == len(texts)
+    assert not any(alike(a, b) for k, a in enumerate(texts) for b in texts[:k])
+    for i, t in rows:
+        assert t in texts or any(o is not None and (i is None or o < i) and alike(t, u) for o, u in rows if u != t)
+
+
+def test_one_similar_of_each_odd_rows(odd_documents):
+    kept = simhash.one_similar_of_each(odd_documents)
+    assert kept.columns == odd_documents.columns
+    rows = [(r.doc_id, r.text) for r in odd_documents.collect()]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(plain_similar_of_each(rows), key=repr)
+    assert simhash.one_similar_of_each(odd_documents.limit(0)).count() == 0
+
+
 def test_long_chains_and_stars(shared):
     chain = [(i + 1, i) for i in range(200)]
     star = [(1000, 1000 + k) for k in range(1, 300)]
