@@ -20,9 +20,10 @@
    found by alternating star operations over written tables.
 
 `one_similar_of_each` keeps one document of each group of similar ones. Its candidates
-are the components of wider links between fingerprints of `WORDS`-word shingles; a
-document goes when a smaller one of its component has at least `SIMILAR` of the
-shingles in common (Jaccard). A component is compared in slices of bounded size, then
+are the components of wider links between fingerprints of word pairs (`SKETCH` words:
+a changed word costs two of them, but five shingles of five words, so similar texts
+lie closer); a document goes when a smaller one of its component has at least
+`SIMILAR` of the `WORDS`-word shingles in common (Jaccard). A component is compared in slices of bounded size, then
 what is left of it slice against slice, so no task holds a component. Only texts of
 components with different texts are moved.
 
@@ -55,10 +56,12 @@ BLOCK = 1024
 FANOUT = 8
 #: Nodes that may share a key before keys of more bands are used.
 BUCKET = 8 * BLOCK
-#: Shingles, differing bits and similarity for keeping one of each group of similar documents.
+#: For keeping one of each group of similar documents: shingles and similarity, and words of a
+#: fingerprint's shingles and differing bits of its candidates.
 WORDS = 5
-WIDE_DIFF = 6
 SIMILAR = 0.8
+SKETCH = 2
+WIDE_DIFF = 6
 #: Characters of the texts that a task compares with each other.
 SLICE_CHARS = 16_000_000
 
@@ -438,8 +441,8 @@ def _dropped_texts(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str
 
 
 def one_similar_of_each(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, most: int = WIDE_DIFF,
-    least: float = SIMILAR,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = SIMILAR,
+    sketch: int = SKETCH, most: int = WIDE_DIFF,
 ) -> DataFrame:
     """Documents without those that a smaller document (by id) of their component is similar to.
 
@@ -447,7 +450,7 @@ def one_similar_of_each(
     text; of rows equal in both any one stays. Documents are joined once with the
     narrow list of what is kept; only rows that repeat are ranked.
     """
-    found = _in_components(docs, id_col, text_col, words, most)
+    found = _in_components(docs, id_col, text_col, sketch, most)
     texts = written(
         found.groupBy("root", "text_hash").agg(F.min("doc_id").alias("first"), F.max("chars").alias("chars")), "texts"
     )

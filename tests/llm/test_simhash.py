@@ -31,9 +31,9 @@ def plain_labels(prints, most):
         label = new
 
 
-def plain_similar_of_each(rows, words=5, most=6, least=0.8):
+def plain_similar_of_each(rows, words=5, most=6, least=0.8, sketch=2):
     """(id, text) rows that stay: each text of a component compared with every smaller one."""
-    label = plain_labels([plain_fingerprint(t, words) for _, t in rows], most) if rows else []
+    label = plain_labels([plain_fingerprint(t, sketch) for _, t in rows], most) if rows else []
     texts = {}
     for (i, t), k in zip(rows, label):
         had = texts.get((k, t))
@@ -167,7 +167,7 @@ def test_one_similar_of_each(shared, monkeypatch, slice_chars):
         assert sorted(found, key=repr) == sorted(want, key=repr)
     # Whatever the slices: nothing that stays is similar to another that stays, nothing goes without a similar smaller one.
     sets = {t: set(plain_runs(t, 5)) for _, t in rows}
-    label = dict(zip([t for _, t in rows], plain_labels([plain_fingerprint(t, 5) for _, t in rows], simhash.WIDE_DIFF)))
+    label = dict(zip([t for _, t in rows], plain_labels([plain_fingerprint(t, 2) for _, t in rows], simhash.WIDE_DIFF)))
     alike = lambda a, b: label[a] == label[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
     texts = [t for _, t in found]
     assert len(set(texts)) == len(texts)
