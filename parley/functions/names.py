@@ -7,6 +7,10 @@ from pyspark.sql import Column, functions as F
 from parley.functions.text import blank_to_null
 
 
+# How conversations without a name of their own are called.
+DM_PREFIX, PAIR, OTHERS = "DM: ", " & ", " others"
+
+
 def first_non_empty(*cols: Column) -> Column:
     return F.coalesce(*[blank_to_null(c) for c in cols])
 
@@ -17,13 +21,13 @@ def dm_name(names: Column, conversation_id: Column | None = None, ordered: bool
     kept = F.array_sort(kept) if ordered else kept
     count = F.coalesce(F.size(kept), F.lit(0))
     first, second = F.get(kept, F.lit(0)), F.get(kept, F.lit(1))
-    nobody = F.lit(None).cast("string") if conversation_id is None else F.concat(F.lit("DM: "), conversation_id)
+    nobody = F.lit(None).cast("string") if conversation_id is None else F.concat(F.lit(DM_PREFIX), conversation_id)
     return (
         F.when(count < 1, nobody)
         .when(count == 1, first)
-        .when(count == 2, F.concat(first, F.lit(" & "), second))
+        .when(count == 2, F.concat(first, F.lit(PAIR), second))
         .otherwise(
-            F.concat(first, F.lit(", "), second, F.lit(" + "), (count - 2).cast("string"), F.lit(" others"))
+            F.concat(first, F.lit(", "), second, F.lit(" + "), (count - 2).cast("string"), F.lit(OTHERS))
         )
     )
 

@@ -11,6 +11,8 @@ USER_MENTION = r"<@([UW][A-Z0-9]+)>"
 CHANNEL_MENTION = r"<#(C[A-Z0-9]+)(\|([^>]+))?>"
 SPECIAL_MENTION = r"<!(everyone|channel|here)>"
 LINK = r"https?://"
+# How a message shows its first file.
+FILE_OPEN, FILE_CLOSE, NAMELESS_FILE = "[File: ", "]", "Unknown"
 
 
 def blank_to_null(c: Column) -> Column:
@@ -118,7 +120,7 @@ def rich_text(blocks: Column, names: Column) -> Column:
 def first_file_text(files: Column) -> Column:
     """`[File: name] title` of the first file."""
     first = F.get(parse_items(files, FILE_ITEM), F.lit(0))
-    label = F.concat(F.lit("[File: "), F.coalesce(first["name"], F.lit("Unknown")), F.lit("]"))
+    label = F.concat(F.lit(FILE_OPEN), F.coalesce(first["name"], F.lit(NAMELESS_FILE)), F.lit(FILE_CLOSE))
     titled = F.concat(label, F.coalesce(F.concat(F.lit(" "), blank_to_null(first["title"])), F.lit("")))
     return F.when(first.isNotNull(), titled)
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, functions as F
 
 HOUR_US = 3_600_000_000
 DAY_US = 24 * HOUR_US
+# Fixed value: shown for a time that is not a number.
+INVALID = "Invalid Timestamp"
 
 
 def epoch_us(ts: Column) -> Column:
@@ -31,7 +33,7 @@ def ts_text(us: Column) -> Column:
 
 def datetime_text(us: Column) -> Column:
     """'YYYY-MM-DD HH:MM:SS' in UTC, independent of the session zone."""
-    return F.coalesce(F.substring(to_ntz(us).cast("string"), 1, 19), F.lit("Invalid Timestamp"))
+    return F.coalesce(F.substring(to_ntz(us).cast("string"), 1, 19), F.lit(INVALID))
 
 
 def date_text(us: Column) -> Column:

@@ -19,8 +19,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK_CHARS = 15_000
 TRANSCRIPT_BUDGET = 50_000
+# Headers of a transcript, and the author of messages without one.
+CHANNEL_HEADER, DM_HEADER, HEADER_END, NO_AUTHOR = "\n=== CHANNEL: ", "\n=== DM: ", " ===", "None"
 # Shortest possible transcript: line break and a header without names.
-SHORTEST_TRANSCRIPT = len("\n=== DM:  ===")
+SHORTEST_TRANSCRIPT = len(DM_HEADER + HEADER_END)
 BLOCK_CHARS = 4_000_000
 
 
@@ -262,7 +264,7 @@ def _lines(
     said = body(F.col("clean_text"), F.col("text"))
     if line_chars is not None:
         said = F.substring(said, 1, line_chars)
-    line = F.concat(F.coalesce("user_name", F.lit("None")), F.lit(": "), said)
+    line = F.concat(F.coalesce("user_name", F.lit(NO_AUTHOR)), F.lit(": "), said)
     return _first_messages(messages, per_conversation, order).select(
         F.col("conversation_name").alias("name"), "ts_us", "id", line.alias("line")
     )
@@ -270,12 +272,12 @@ def _lines(
 
 def _header():
     return F.when(
-        F.col("type") == "channel", F.concat(F.lit("\n=== CHANNEL: "), "name", F.lit(" ==="))
+        F.col("type") == "channel", F.concat(F.lit(CHANNEL_HEADER), "name", F.lit(HEADER_END))
     ).otherwise(
         F.concat(
-            F.lit("\n=== DM: "),
+            F.lit(DM_HEADER),
             F.coalesce(F.array_join("participants", " & "), F.lit("")),
-            F.lit(" ==="),
+            F.lit(HEADER_END),
         )
     )
 

@@ -172,7 +172,7 @@ def resolve_config_channels(names: Sequence[str], listed: DataFrame, channels: D
     `listed` (name, id) is what the service lists and wins; the stored dimension
     is asked next.
     """
-    asked = channels.sparkSession.createDataFrame([(n,) for n in sorted(set(names))], "name string")
+    asked = channels.sparkSession.createDataFrame([(n,) for n in merge_names(names)], "name string")
     by_list = listed.select("name", F.col("id").alias("_listed"))
     stored = channel_ids_for_names(names, channels).withColumnRenamed("asked", "name")
     return (

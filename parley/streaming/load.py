@@ -129,6 +129,15 @@ def load_batch(
         _load_batch(spark, raw, store, conversations, users, channels, batch_id, as_of_us)
 
 
+def load_records(
+    spark: SparkSession, records: DataFrame, store: Store, conversations: DataFrame, users: DataFrame,
+    channels: DataFrame, batch_id: int, as_of_us: int,
+) -> None:
+    """Load message records handed over by an application; what their raw payload says wins."""
+    raw = landing.records_to_raw(records)
+    load_batch(spark, raw, store, conversations, users, channels, batch_id, as_of_us)
+
+
 def _load_batch(spark, raw, store, conversations, users, channels, batch_id, as_of_us) -> None:
     marked = written(mark_bad_rows(raw), "batch")
     marked.where("reason is not null").select("conversation_id", "ts", "reason", schemas.CORRUPT).write.mode(
