@@ -463,9 +463,9 @@ def one_similar_of_each(
     columns = [F.col(f"`{c}`") for c in docs.columns]
 
     def joined(side: DataFrame) -> DataFrame:
-        side = broadcast_if_small(side.select(F.col("first").alias(first), F.col("kept_hash").alias(kept_hash)))
+        side = side.select(F.col("first").alias(first), F.col("kept_hash").alias(kept_hash))
         return docs.join(side, F.col(id_col).eqNullSafe(F.col(first)) & (F.xxhash64(F.col(text_col)) == F.col(kept_hash)))
 
     order = W.partitionBy(first, kept_hash).orderBy(F.xxhash64(*columns))
-    repeated = joined(kept.where("rows > 1")).withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
+    repeated = joined(broadcast_if_small(kept.where("rows > 1"))).withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
     return joined(kept.where("rows = 1")).select(*columns).unionByName(repeated.select(*columns))
