@@ -12,7 +12,9 @@ each Python worker parses it once and keeps the answers for short pre-tokens in
 table of bounded size.
 
 Defined results: NULL texts count as empty and give no ids and an empty decoded
-text; repeated rows are answered each; an empty table gives an empty result.
+text; texts of any length are read whole; repeated rows are answered each; only id
+and text are read, so other columns may have any name; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations

@@ -23,7 +23,9 @@ tokens, so one huge conversation is formatted by many tasks.
 Defined results: NULL texts are empty turns; a NULL role reads back as an empty
 one; a NULL conversation id is a conversation of its own; rows are ordered by turn
 (NULL first), then role and text, and repeated rows are turns of their own; a
-conversation of a system turn only gives one window; an empty table gives none.
+conversation of a system turn only gives one window; a turn longer than the budget is
+a window of its own; other columns are not read and may have any name; an empty
+table gives none.
 """
 
 from __future__ import annotations

@@ -5,8 +5,9 @@ its words and its lines, so the whole table becomes columns of a single row-wise
 projection: no shuffle, no user function, nothing kept beyond one row.
 
 Defined results: a NULL or empty text has no words and fails; measures with an
-empty denominator are 0; repeated rows are judged each by itself; an empty table
-gives an empty result; other columns pass through untouched.
+empty denominator are 0; texts of any length are read whole; repeated rows are judged
+each by itself; an empty table gives an empty result; other columns pass through
+untouched, whatever their names.
 """
 
 from __future__ import annotations

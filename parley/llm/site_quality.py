@@ -13,8 +13,9 @@
 
 Defined results: NULL texts count as empty; a NULL host or path is a group of its
 own; several labels of one document count as the lowest; without labels of both
-classes the evidence is neutral and everything is kept; repeated rows are judged
-each; an empty table gives an empty result.
+classes the evidence is neutral and everything is kept; texts of any length are read
+whole; repeated rows are judged each; only id, text, host and path are read, so other
+columns may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations

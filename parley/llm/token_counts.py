@@ -7,8 +7,9 @@ occurrences of their own lowest pair at the same time, and rows without a pair
 leave the batch. The symbols that survive are counted.
 
 Defined results: NULL texts count as empty (0 bytes, 0 tokens); special strings in
-a text are one token each; repeated rows are answered each; an empty table gives
-an empty result.
+a text are one token each; texts of any length are read whole; repeated rows are
+answered each; only id and text are read, so other columns may have any name; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
