@@ -569,6 +569,43 @@ def stored_dms(spark, sf):
     )
 
 
+#: The messages of the store with the names it knows, for the tables beside them.
+SENT = STORED.rstrip() + """,
+filed AS (SELECT m.event_id, m.user_id, m.conversation_type, m.ts_us, r.name AS cname, strftime(make_timestamp(m.ts_us), '%Y-%m-%d') AS dt,
+    concat(r.name, ':', m.ts_us // 1000000, '.', lpad(CAST(m.ts_us % 1000000 AS VARCHAR), 6, '0')) AS mid,
+    coalesce(a.name, m.user_name) AS author, coalesce(x.name, concat('U', m.event_id % 15)) AS eyes, coalesce((SELECT name FROM su WHERE slack_id = 'U3'), 'U3') AS third
+  FROM messages m JOIN rooms r ON r.id = m.conversation_id LEFT JOIN su a ON a.slack_id = m.user_name
+  LEFT JOIN su x ON x.slack_id = concat('U', m.event_id % 15) WHERE m.event_id % 97 NOT IN (5, 6, 7))
+"""
+
+
+@query("stored_marks", SENT + "SELECT conversation_id, max(ts_us) AS last_ts_us FROM messages WHERE event_id % 97 NOT IN (5, 6, 7) GROUP BY conversation_id")
+def stored_marks(spark, sf):
+    return tables.read_small(spark, loaded_store(spark, sf).path("sync_state"), schemas.SYNC_STATE)
+
+
+@query("stored_attachments", SENT + """SELECT concat(mid, ':file:0') AS id, mid AS message_id, concat('f', event_id, '.pdf') AS file_name, dt FROM filed WHERE event_id % 17 IN (1, 4)
+  UNION ALL SELECT concat(mid, ':file:2'), mid, 'pic.png', dt FROM filed WHERE event_id % 17 IN (1, 4)
+  UNION ALL SELECT concat(mid, ':attachment:0'), mid, concat('link ', event_id), dt FROM filed WHERE event_id % 13 = 2""")
+def stored_attachments(spark, sf):
+    rows = tables.read_table(spark, loaded_store(spark, sf).path("attachments"), load.ATTACHMENT_TABLE)
+    return rows.select("id", "message_id", "file_name", "dt")
+
+
+@query("stored_reactions", SENT + f"""SELECT DISTINCT message_id, emoji, user_name, {SECOND_AT} AS ts_us FROM (
+  SELECT mid AS message_id, ':tada:' AS emoji, author AS user_name FROM filed WHERE event_id % 7 = 0
+  UNION ALL SELECT mid, ':tada:', third FROM filed WHERE event_id % 7 = 0 UNION ALL SELECT mid, ':eyes:', eyes FROM filed WHERE event_id % 7 = 0)""")
+def stored_reactions(spark, sf):
+    rows = tables.read_table(spark, loaded_store(spark, sf).path("reactions"), load.REACTION_TABLE)
+    return rows.select("message_id", "emoji", "user_name", "ts_us")
+
+
+@query("stored_daily", SENT + """SELECT conversation_type, dt, cname AS conversation_name, author AS user_name, count(*) AS messages, min(ts_us) AS first_ts_us, max(ts_us) AS last_ts_us
+  FROM filed GROUP BY conversation_type, dt, cname, author""")
+def stored_daily(spark, sf):
+    return load.read_daily(spark, loaded_store(spark, sf))
+
+
 CONFIG_NAMES = ["nation_1", "nation_4", "#nation_8", "##nation_2", "ation_2", "no such channel"]
 
 
