@@ -43,12 +43,12 @@ def with_totals(conversations: DataFrame, days: DataFrame) -> DataFrame:
 
 def text_grams(text: Column) -> Column:
     """The distinct runs of three characters of a text; linear in its length."""
-    letters = F.split(F.coalesce(text, F.lit("")), "")
-    rest = F.greatest(F.size(letters) - 1, F.lit(0))
-    second = F.slice(letters, F.lit(2), rest)
-    third = F.slice(letters, F.lit(3), rest)
-    pairs = F.zip_with(letters, second, lambda a, b: F.concat(a, b))
-    return F.array_distinct(F.filter(F.zip_with(pairs, third, lambda a, b: F.concat(a, b)), lambda g: F.char_length(g) == GRAM))
+    return F.array_distinct(_runs(text))
+
+
+def _runs(text: Column) -> Column:
+    """The run that begins at each character, as far as there is one: read ahead, then one character on."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?s)(?=({'.' * GRAM}))."), F.lit(1))
 
 
 def grams(messages: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def grams(messages: DataFrame) -> DataFrame:
     Taken from both texts that a search looks at. Runs of replaced messages may stay
     in a kept table: it only names candidates, the texts themselves decide.
     """
-    found = F.array_union(text_grams(F.col("search_text")), text_grams(F.col("clean_text")))
+    found = F.concat(_runs(F.col("search_text")), _runs(F.col("clean_text")))  # distinct below, not per text
     rows = messages.select("conversation_type", "dt", "conversation_name", F.explode(found).alias("gram"))
     return rows.withColumn("dt", F.col("dt").cast("string")).select(*GRAMS.names).distinct()
 

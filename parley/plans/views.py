@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parley.functions.times import DAY_US, HOUR_US, datetime_text, ntz_us
 from parley.operators import kept
+from parley.operators.keyed import broadcast_if_small, is_small
 from parley.session import scratch_path
 from parley.sources import tables
 
@@ -72,10 +73,34 @@ CLEAN_TEXT = _text(
 
 
 def messages(
-    spark: SparkSession, sf_dir: str, threads: bool = True, clean: bool = True
+    spark: SparkSession, sf_dir: str, threads: bool = True, clean: bool = True, spread: int | None = None
 ) -> DataFrame:
-    """Event messages; the thread columns and the readable text only on request."""
-    e = _events(spark, sf_dir).selectExpr(
+    """Event messages; the thread columns and the readable text only on request.
+
+    Threads and names are looked up for the few columns of an event; the texts are built
+    after that, so they do not move. `spread` deals the events out to so many tasks first.
+    """
+    e = _events(spark, sf_dir)
+    if threads:
+        parent = e.selectExpr("event_id as parent_id", "ts_us as thread_ts_us")
+        replies = e.where("parent_id <> event_id").groupBy(F.col("parent_id").alias("event_id")).agg(
+            F.count(F.lit(1)).alias("_replies")
+        )
+        e = e.join(parent, "parent_id", "left").join(replies, "event_id", "left")
+        e = e.withColumn("is_thread_parent", F.expr("event_id = parent_id"))
+        e = e.withColumn("reply_count", F.expr("case when is_thread_parent then coalesce(_replies, 0) else 0 end"))
+    if clean:
+        e = e.withColumn("_named", F.expr("concat('U', (user_id * 7 + event_id) % 15)"))
+        un = users(spark, sf_dir).selectExpr("slack_id as un_id", "name as un_name")
+        if not is_small(un):
+            named = _events(spark, sf_dir).selectExpr("concat('U', (user_id * 7 + event_id) % 15) as un_id").distinct()
+            un = broadcast_if_small(un.join(named, "un_id", "left_semi"))
+        cn = channels(spark, sf_dir).selectExpr("slack_id as cn_id", "name as cn_name")
+        e = e.join(un, F.col("un_id") == F.col("_named"), "left")
+        e = e.join(cn, F.expr("cn_id = concat('C', event_id % 30)"), "left")
+    if spread:
+        e = e.repartition(spread)
+    e = e.selectExpr(
         "*",
         "concat(k, ':', event_id) as id",
         "case when k < 25 then concat('nation_', k) else concat('DM: D', k) end as conversation_name",
@@ -91,22 +116,10 @@ def messages(
     kept = ["id", "event_id", "conversation_id", "conversation_name", "conversation_type", "ts_us", "datetime",
             "user_name", "text", "subtype", "bot_id"]
     if clean:
-        un = users(spark, sf_dir).selectExpr("slack_id as un_id", "name as un_name")
-        cn = channels(spark, sf_dir).selectExpr("slack_id as cn_id", "name as cn_name")
-        e = e.join(un, F.expr("un_id = concat('U', (user_id * 7 + event_id) % 15)"), "left")
-        e = e.join(cn, F.expr("cn_id = concat('C', event_id % 30)"), "left")
         e = e.withColumn("clean_text", F.expr(CLEAN_TEXT.replace("un.name", "un_name").replace("cn.name", "cn_name")))
         e = e.withColumn("search_text", F.expr("lower(concat_ws(' ', clean_text, user_name, conversation_name))"))
         kept += ["clean_text", "search_text"]
     if threads:
-        src = _events(spark, sf_dir)
-        parent = src.selectExpr("event_id as parent_id", "ts_us as thread_ts_us")
-        replies = src.where("parent_id <> event_id").groupBy(F.col("parent_id").alias("event_id")).agg(
-            F.count(F.lit(1)).alias("_replies")
-        )
-        e = e.join(parent, "parent_id", "left").join(replies, "event_id", "left")
-        e = e.withColumn("is_thread_parent", F.expr("event_id = parent_id"))
-        e = e.withColumn("reply_count", F.expr("case when is_thread_parent then coalesce(_replies, 0) else 0 end"))
         kept += ["thread_ts_us", "is_thread_parent", "reply_count"]
     return e.select(*kept)
 
@@ -168,12 +181,12 @@ def broken_dms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def landed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def landed_lines(spark: SparkSession, sf_dir: str, spread: int | None = None) -> DataFrame:
     """Raw JSON lines made from the events: rich text, files, links, reactions, edits, bad rows.
 
     Whole seconds and six decimals, as the service writes ts.
     """
-    m = messages(spark, sf_dir, threads=True, clean=False)
+    m = messages(spark, sf_dir, threads=True, clean=False, spread=spread)
     ts = "format_string('%d.%06d', ({0}) div 1000000, ({0}) % 1000000)"
     m = m.selectExpr(
         "event_id", "conversation_id", "conversation_type",
@@ -248,11 +261,9 @@ def landing_dir(spark: SparkSession, sf_dir: str) -> str:
     known = (spark.sparkContext.applicationId, sf_dir)
     if known not in _landed:
         path = scratch_path(spark, "landing")
-        lines = landed_lines(spark, sf_dir).select("value")
         cores = spark.sparkContext.defaultParallelism
-        if len(load(spark, sf_dir, "events").inputFiles()) < cores:
-            lines = lines.repartition(cores)
-        lines.write.text(path)
+        few = len(load(spark, sf_dir, "events").inputFiles()) < cores
+        landed_lines(spark, sf_dir, spread=cores if few else None).select("value").write.text(path)
         _landed[known] = path
     return _landed[known]
 
