@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from parley.functions import message as ms, text as tx, times as tm
-from parley.operators.keyed import latest_per_key
-from parley.operators.resolve import DIRECT_IDS, attach_names, mention_ids, resolve_ids, with_clean_text
+from parley.operators.keyed import broadcast_if_small, latest_of_stored
+from parley.operators.resolve import DIRECT_IDS, attach_names, book_for, mention_ids, resolve_ids, with_clean_text
 from parley.schemas import CORRUPT, FILE_ITEM, LINK_ITEM, MESSAGES, REACTION_ITEM
 from parley.session import written
 
@@ -34,14 +34,21 @@ def split_bad_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, marked.where("reason is not null")
 
 
-def with_conversation_name(raw: DataFrame, conversations: DataFrame, book: DataFrame) -> DataFrame:
-    """Stored conversation name, else channel name, else `DM: id` / the id; type from the landed field."""
+def with_conversation_name(
+    raw: DataFrame, conversations: DataFrame, book: DataFrame, ids: DataFrame | None = None
+) -> DataFrame:
+    """Stored conversation name, else channel name, else `DM: id` / the id; type from the landed field.
+
+    Conversations are fewer than messages: of a large book only their entries are looked
+    at. `ids` holds `conversation_id` where it is read more cheaply than from `raw`.
+    """
     known = conversations.select(
         F.col("id").alias("conversation_id"), tx.blank_to_null(F.col("name")).alias("_stored")
     )
     kind = ms.conversation_type(F.col("conversation_id"), F.col("conversation_type"))
-    typed = raw.withColumn("conversation_type", kind).join(known, "conversation_id", "left")
-    named = resolve_ids(typed, book, "conversation_id", "_channel")
+    typed = raw.withColumn("conversation_type", kind).join(broadcast_if_small(known), "conversation_id", "left")
+    asked = (raw if ids is None else ids).select("conversation_id")
+    named = resolve_ids(typed, book_for(book, asked), "conversation_id", "_channel")
     fallback = F.when(F.col("conversation_type") == "dm", F.concat(F.lit("DM: "), "conversation_id")).otherwise(
         F.col("_channel")
     )
@@ -172,7 +179,7 @@ def reactions(raw: DataFrame, book: DataFrame, ingested_us: int, keep: Sequence[
     each = each.where("r is not null").select(
         "message_id", *keep, F.col("r.name").alias("emoji_name"), F.explode("r.users").alias("_who")
     )
-    named = resolve_ids(each, book, "_who", "user_name").where("user_name is not null")
+    named = resolve_ids(each, book_for(book, each.select("_who")), "_who", "user_name").where("user_name is not null")
     emoji = F.concat(F.lit(":"), F.coalesce("emoji_name", F.lit("None")), F.lit(":"))
     return (
         named.select("message_id", emoji.alias("emoji"), "emoji_name", "user_name", *keep)
@@ -182,5 +189,5 @@ def reactions(raw: DataFrame, book: DataFrame, ingested_us: int, keep: Sequence[
 
 
 def last_sent(raw: DataFrame, sent_order: list) -> DataFrame:
-    """Of several copies of one raw message, the one sent last."""
-    return latest_per_key(raw, RAW_KEY, sent_order)
+    """Of several copies of one raw message, the one sent last; `raw` is read more than once."""
+    return latest_of_stored(raw, RAW_KEY, sent_order)

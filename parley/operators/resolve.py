@@ -34,6 +34,18 @@ def name_book(*dims: DataFrame) -> DataFrame:
     return book.where("ref_name is not null").groupBy("ref_id").agg(F.min("ref_name").alias("ref_name"))
 
 
+def book_for(book: DataFrame, ids: DataFrame) -> DataFrame:
+    """What rows that need these `ids` (one column) have to know of a name book.
+
+    A small book is used whole. Of a large one only the entries of the ids that occur
+    are kept: these are often few enough to be broadcast, and then the rows never move.
+    """
+    if is_small(book):
+        return F.broadcast(book)
+    wanted = ids.toDF("ref_id").distinct()
+    return broadcast_if_small(written(book.join(wanted, "ref_id", "left_semi"), "book-part"))
+
+
 def resolve_ids(df: DataFrame, book: DataFrame, id_col: str, out: str) -> DataFrame:
     """Name of an id, the id itself when unknown, NULL when empty.
 
@@ -53,14 +65,17 @@ def attach_names(
 ) -> DataFrame:
     """Add to each row a small map id -> name holding just the ids the row mentions.
 
-    `book` is unique by id. Counted as small, it answers rows of up to `most` ids by
-    broadcast lookups, and those rows never move; only rows with more ids are
-    shuffled. With a larger book all rows go the second way.
+    `book` is unique by id. Counted as small, or with few of its ids mentioned, it answers
+    rows of up to `most` ids by broadcast lookups, and those rows never move; only rows
+    with more ids are shuffled. Where very many ids are mentioned all rows go the second way.
     """
     no_ids = F.array().cast("array<string>")
     tagged = df.withColumn("_wanted", F.array_distinct(F.coalesce(ids, no_ids)))
     if not is_small(book):
-        return _attach_by_pairs(tagged, book, out).select(*df.columns, out)
+        wanted = tagged.select(F.explode("_wanted").alias("ref_id")).distinct()
+        book = written(book.join(wanted, "ref_id", "left_semi"), "book-part")
+        if not is_small(book):
+            return _attach_by_pairs(tagged, book, out).select(*df.columns, out)
     few = tagged.where(F.size("_wanted") <= most)
     entries = []
     side = F.broadcast(book.select(F.col("ref_id").alias("_ref"), F.col("ref_name").alias("_ref_name")))
