@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from parley.functions.times import date_text
-from parley.operators.keyed import broadcast_if_small, latest_per_key
+from parley.operators.keyed import broadcast_if_small, latest_of_stored, latest_per_key
 from parley.session import written
 
 MESSAGE_PARTITIONS = ("conversation_type", "dt")
@@ -142,11 +142,14 @@ def _stored_schema(schema: T.StructType, partitions: Sequence[str]) -> T.StructT
     )
 
 
-def _replace_partitions(spark: SparkSession, path: str, rows: DataFrame, partitions: Sequence[str]) -> None:
-    """Put `rows` in place of all rows of the partitions they fall into."""
+def _replace_partitions(
+    spark: SparkSession, path: str, rows: DataFrame, partitions: Sequence[str], dealt: bool = False
+) -> None:
+    """Put `rows` in place of all rows of the partitions they fall into; `dealt` rows lie by partition already."""
     staged = f"{path}__staged"
     # Rebalancing gives few files per partition and still splits a swollen one.
-    rows.hint("rebalance", *partitions).write.mode("overwrite").partitionBy(*partitions).parquet(staged)
+    rows = rows if dealt else rows.hint("rebalance", *partitions)
+    rows.write.mode("overwrite").partitionBy(*partitions).parquet(staged)
     _swap_in(spark, staged, path, partitions)
 
 
@@ -156,16 +159,21 @@ def upsert_into(
 ) -> tuple[DataFrame, list[dict[str, str]]]:
     """Insert or replace `new` by key in the partitioned parquet table at `path`.
 
-    The new rows are computed once. Only the partitions they fall into are read and
-    rewritten. Returns the new rows as they were written, and these partitions.
+    The new rows are computed once and written aside by partition, so that they move once
+    where the table has nothing there yet. Only the partitions they fall into are read
+    and rewritten. Returns the new rows as they were written, and these partitions.
     """
     finish_pending_swap(spark, path, partitions)
     stored = _stored_schema(schema, partitions)
-    latest = written(latest_per_key(new, key, order).select(*stored.names), "fresh")
-    touched = touched_partitions(latest, partitions)
+    fresh = written(new.hint("rebalance", *partitions), "fresh", partitions)
+    latest = latest_of_stored(fresh, key, order).select(*stored.names)
+    touched = touched_partitions(fresh, partitions)
     if touched:
         old = in_partitions(read_table(spark, path, stored), touched)
-        _replace_partitions(spark, path, replaced(old, latest, key), partitions)
+        if old.isEmpty():
+            _replace_partitions(spark, path, latest, partitions, dealt=True)
+        else:
+            _replace_partitions(spark, path, replaced(old, latest, key), partitions)
     return latest, touched
 
 

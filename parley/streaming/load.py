@@ -153,7 +153,7 @@ def _load_batch(spark, raw, store, conversations, users, channels, batch_id, as_
     order = [F.desc_nulls_last(edited_ts_us(F.col("edited"))), F.desc(F.xxhash64(*good.columns))]
     latest = last_sent(good, order)
     known = known_conversations(spark, store, conversations)
-    named = with_date(with_conversation_name(latest, known, book).withColumn("ts_us", epoch_us(F.col("ts"))))
+    named = with_date(with_conversation_name(latest, known, book, ids=good).withColumn("ts_us", epoch_us(F.col("ts"))))
     drafts = written(with_draft(named), "drafts")
 
     fresh, touched = upsert_into(
