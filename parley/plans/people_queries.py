@@ -133,15 +133,14 @@ def channel_activity_status(spark, sf):
     rows = None
     for asked, later in ASKED:
         found = ac.channel_activity(*dims, asked, v.AS_OF_US + later * 86_400_000_000)
-        told = dims[0].limit(1).select(
+        told = [
             F.lit(asked).alias("asked"), F.lit(found.status).alias("status"),
             F.lit(found.resolved_name).cast("string").alias("resolved_name"), F.lit("|".join(found.suggestions)).alias("suggestions"),
-        )
-        summary = found.summary.select("conversation_name", *parts) if found.summary is not None else None
-        if summary is None:
-            told = told.select("*", *[F.lit(None).cast("bigint").alias(c) for c in parts])
+        ]
+        if found.summary is None:
+            told = dims[0].limit(1).select(*told, *[F.lit(None).cast("bigint").alias(c) for c in parts])
         else:
-            told = told.join(summary, told["resolved_name"] == summary["conversation_name"]).drop("conversation_name")
+            told = found.summary.where(F.col("conversation_name") == found.resolved_name).select(*told, *parts)
         rows = told if rows is None else rows.unionByName(told)
     return rows
 
